@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import canonical, split
+from quire.llm import canonical, near_dup, split
 from quire.llm.sql import SQL as SQL
 from quire.session import spread, table
 
@@ -39,4 +39,20 @@ def p3_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canonical.with_canonical(both, "canonical_text", "folded_text", fold_case=True).drop("cleaned_text")
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_canonical": p3_canonical}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of chunks whose contents differ as stored and share at least 0.70 of their 5-grams."""
+    rows = table(spark, d, "chunks").select("chunk_id", "content")
+    return near_dup.similar_rows(rows, "chunk_id", "content").toDF("chunk_id_a", "chunk_id_b")
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The group of near-duplicates of every chunk, and its number of links."""
+    rows = table(spark, d, "chunks").select("chunk_id", "content")
+    return near_dup.near_dup_classes(rows, "chunk_id", "content").withColumnRenamed("key", "chunk_id")
+
+
+QUERIES = {
+    "p2_found": p2_found, "p2_pieces": p2_pieces,
+    "p3_found": p3_found, "p3_canonical": p3_canonical,
+    "p4_found": p4_found, "p4_groups": p4_groups,
+}
