@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import canonical, near_dup, split
+from quire.llm import admission, canonical, mixing, near_dup, packing, similar_vectors, split, tokens
 from quire.llm.sql import SQL as SQL
-from quire.session import spread, table
+from quire.session import cut, spread, table
 
 
 def _long_items(spark: SparkSession, d: str) -> DataFrame:
@@ -51,8 +51,86 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_dup.near_dup_classes(rows, "chunk_id", "content").withColumnRenamed("key", "chunk_id")
 
 
+def _kinds(spark: SparkSession, d: str) -> dict[str, int]:
+    return {r["container_kind"]: r["capacity_tokens"] for r in table(spark, d, "container_sizes").collect()}
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    sizes = cut(tokens.token_counts(docs, "doc_id", "text"))
+    return packing.pack(sizes.withColumnRenamed("doc_id", "item"), _kinds(spark, d))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every document, or part of one above the capacity, for each kind of container."""
+    return _packed(spark, d).withColumnRenamed("item", "doc_id")
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers, tokens and the share of room filled, by kind of container."""
+    return packing.fill_report(_packed(spark, d), _kinds(spark, d))
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = spread(table(spark, d, "documents").select("doc_id", mixing.source_name(F.col("source")).alias("source"), "text"))
+    sizes = cut(tokens.token_counts(docs, "doc_id", "text", keep=("source",)))
+    targets = table(spark, d, "source_targets").withColumn("source", mixing.source_name(F.col("source")))
+    return mixing.mix(sizes.withColumnRenamed("doc_id", "item"), targets)
+
+
+def p9_copies(spark: SparkSession, d: str) -> DataFrame:
+    """How often each document is used so that each source has its share of all tokens."""
+    return _mixed(spark, d)[0].withColumnRenamed("item", "doc_id")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share of all tokens that each source was to have and has."""
+    return _mixed(spark, d)[1]
+
+
+def _reached_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of dense_vectors that some encoding points to."""
+    paths = table(spark, d, "encodings").select("dense_vector_path").where(F.col("dense_vector_path").isNotNull()).distinct()
+    return table(spark, d, "dense_vectors").join(paths, "dense_vector_path", "left_semi").select("vec_id", "dense_vector")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs with cosine of at least 0.90 of which one is among the 5 most similar of the other."""
+    near = similar_vectors.near_neighbours(_reached_vectors(spark, d), "vec_id", "dense_vector")
+    return near.select(F.least("id", "neighbour").alias("vec_id_a"), F.greatest("id", "neighbour").alias("vec_id_b")).distinct()
+
+
+def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 most similar of all vectors, for each vector whose id is divisible by 20."""
+    vectors = _reached_vectors(spark, d)
+    found = similar_vectors.nearest(vectors.where("vec_id % 20 = 0"), vectors, "vec_id", "dense_vector")
+    return found.select(F.col("id").alias("vec_id"), F.col("neighbour").alias("neighbour_id"), F.round("cosine", 6).alias("cosine"), "rank")
+
+
+def p6_refused(spark: SparkSession, d: str) -> DataFrame:
+    """The incoming rows to refuse, and why, all batches in their order against an index of the history."""
+    encodings, chunks = table(spark, d, "encodings"), table(spark, d, "chunks")
+    accepted = chunks.select("chunk_id", "content").join(encodings.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    history = near_dup.texts_of(accepted, "chunk_id", "content").select("id", "text")
+    index = admission.HistoryIndex(spark)
+    index.append_hashes(encodings.select(F.col("content_hash").alias("hash")))
+    index.append(spread(history))
+    batch = table(spark, d, "incoming_chunks").select("incoming_id", "batch_no", "content")
+    refused = admission.admit(index, batch, history, "incoming_id", "content", ["batch_no", "incoming_id"])
+    return refused.select(F.col("key").alias("incoming_id"), "reason")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """The incoming rows to refuse."""
+    return p6_refused(spark, d).select("incoming_id").distinct()
+
+
 QUERIES = {
+    "p1_found": p1_found, "p1_neighbours": p1_neighbours,
     "p2_found": p2_found, "p2_pieces": p2_pieces,
     "p3_found": p3_found, "p3_canonical": p3_canonical,
     "p4_found": p4_found, "p4_groups": p4_groups,
+    "p6_found": p6_found, "p6_refused": p6_refused,
+    "p8_containers": p8_containers, "p8_fill": p8_fill,
+    "p9_copies": p9_copies, "p9_shares": p9_shares,
 }
