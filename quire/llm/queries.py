@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import admission, canonical, mixing, near_dup, packing, similar_vectors, split, tokens
+from quire.llm import admission, canonical, encoding, mixing, near_dup, packing, similar_vectors, split, tokens
 from quire.llm.sql import SQL as SQL
 from quire.session import cut, spread, table
 
@@ -125,12 +125,25 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_refused(spark, d).select("incoming_id").distinct()
 
 
+def p7_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Garbled fields of cleaning_results with the chains undone and the text so restored."""
+    rows = table(spark, d, "cleaning_results").select("result_id", "original_text", "cleaned_text")
+    model = encoding.train_on(rows, "result_id", "cleaned_text")
+    return encoding.garbled_fields(spread(rows), "result_id", ["original_text", "cleaned_text"], model).withColumnRenamed("key", "result_id")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Fields garbled through a wrong encoding."""
+    return p7_restored(spark, d).select("result_id", "field_name").distinct()
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_neighbours": p1_neighbours,
     "p2_found": p2_found, "p2_pieces": p2_pieces,
     "p3_found": p3_found, "p3_canonical": p3_canonical,
     "p4_found": p4_found, "p4_groups": p4_groups,
     "p6_found": p6_found, "p6_refused": p6_refused,
+    "p7_found": p7_found, "p7_restored": p7_restored,
     "p8_containers": p8_containers, "p8_fill": p8_fill,
     "p9_copies": p9_copies, "p9_shares": p9_shares,
 }

@@ -20,6 +20,7 @@ from quire.session import cut, spread
 
 DIM = 64
 WORDS = 3
+SLOTS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -36,12 +37,12 @@ class Tables:
     def near(n: int) -> Tables:
         """For neighbours of cosine 0.90 or more among n vectors; buckets keep their size as n grows."""
         more = np.log2(max(n, 1) / 1e5)
-        return Tables(int(np.clip(round(10 + more), 4, 40)), 1.5, int(np.ceil(3 * max(1.0, (n / 1e5) ** 0.15))), 12)
+        return Tables(int(np.clip(round(11 + more), 5, 40)), 2.0, int(np.ceil(3 * max(1.0, (n / 1e5) ** 0.15))), 5)
 
     @staticmethod
     def wide(n: int) -> Tables:
         """For the nearest whatever their distance: few functions and many probes, as such neighbours differ much."""
-        return Tables(6, 1.0, 3, 120)
+        return Tables(6, 1.6, 3, 100)
 
 
 def probe_sets(functions: int, most: int) -> list[tuple[int, ...]]:
@@ -106,11 +107,6 @@ def usable(vectors: DataFrame, key: str, vector: str, dim: int = DIM) -> DataFra
     return rows.where((F.col("n") > 0) & (F.col("n") < F.lit(float("inf")))).select("id", F.transform("v", lambda x: x / F.col("n")).alias("unit"))
 
 
-def classes_of(units: DataFrame) -> DataFrame:
-    """(id, cls): vectors of the same direction, to six decimals, share a class, named by a hash."""
-    return units.select("id", F.xxhash64(F.transform("unit", lambda x: F.round(x * 1e6).cast("int"))).alias("cls"))
-
-
 def _matrix(col: pa.ListArray) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(col), -1)
 
@@ -122,47 +118,56 @@ def _bits(cosine: float) -> int:
 
 
 def near_pairs(units: DataFrame, least: float, t: Tables) -> DataFrame:
-    """Distinct (a, b), a < b, and cosine, of unit vectors (id, unit) with cosine of at least `least`.
+    """Distinct (a, b), a < b, and cosine, of vectors units(cls BIGINT, unit) with cosine of at least `least`.
 
-    A row of 48 bytes stands for a vector in each bucket; words of signs drop most false candidates in
-    the join, before any vector is moved. AQE splits a bucket that holds very many rows.
+    A row of 40 bytes stands for a vector in each bucket; words of signs drop most false candidates in
+    the join, before any vector is moved. Vectors are moved once for the classes that are left. Copies of a
+    class meet their buckets once per task at most; AQE splits a bucket that holds very many rows.
     """
     words = [f"w{i}" for i in range(WORDS)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = Hasher(t)
-        for batch in batches:
-            v = _matrix(batch.column(1))
-            w = [pa.array(np.ascontiguousarray(x)) for x in h.words(v).T]
-            for own, key in h.keys(v):
-                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0), pa.array(np.full(len(key), own, dtype=np.int32)), *w], names=["key", "id", "own", *words])
+    def hashed(probes: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            h, seen = Hasher(t), set()
+            for batch in batches:
+                cls = batch.column(0).to_pylist()
+                fresh = list({c: i for i, c in reversed(list(enumerate(cls))) if c not in seen}.values())
+                seen.update(cls)
+                part = batch.take(pa.array(fresh, pa.int64()))
+                if part.num_rows:
+                    v = _matrix(part.column(1))
+                    w = [pa.array(np.ascontiguousarray(x)) for x in h.words(v).T]
+                    for _, key in h.keys(v, probes):
+                        yield pa.RecordBatch.from_arrays([pa.array(key), part.column(0), *w], names=["key", "id", *words])
 
-    rows = units.mapInArrow(run, "key bigint, id bigint, own int, " + ", ".join(f"{w} bigint" for w in words)).repartition("key")
-    a, b = rows.alias("a"), rows.alias("b")
+        return units.select("cls", "unit").mapInArrow(run, "key bigint, id bigint, " + ", ".join(f"{w} bigint" for w in words))
+
+    a, b = hashed(False).alias("a"), hashed(True).alias("b")
     differ = sum((F.bit_count(F.col(f"a.{w}").bitwiseXOR(F.col(f"b.{w}"))) for w in words), F.lit(0))
-    met = (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.own") + F.col("b.own") > 0) & (differ <= _bits(least))
-    pairs = a.join(b, met).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    left, right = units.toDF("a", "va"), units.toDF("b", "vb")
-    cosine = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return pairs.join(left, "a").join(right, "b").select("a", "b", cosine.alias("cosine")).where(F.col("cosine") >= least)
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") != F.col("b.id")) & (differ <= _bits(least)))
+    pairs = cut(met.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct())
+    slot = lambda c: F.pmod(c, F.lit(SLOTS)).cast("int")
+    slots = pairs.select(F.explode(F.array("a", "b")).alias("c")).select(slot(F.col("c")).alias("slot")).distinct()
+    some = units.withColumn("slot", slot(F.col("cls"))).join(F.broadcast(slots), "slot", "left_semi").dropDuplicates(["cls"])
+    left, right = some.select(F.col("cls").alias("a"), F.col("unit").alias("va")), some.select(F.col("cls").alias("b"), F.col("unit").alias("vb"))
+    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return pairs.join(left, "a").join(right, "b").select("a", "b", dot.alias("cosine")).where(F.col("cosine") >= least)
 
 
 def near_neighbours(vectors: DataFrame, key: str, vector: str, k: int = 5, least: float = 0.90) -> DataFrame:
     """(id, neighbour, cosine, rank): of each usable vector, its k most similar of cosine of at least `least`.
 
-    Ties are ranked by id. Vectors of one direction, however many, are hashed once; of a class only the k + 1
-    least ids can be among the k most similar of any vector, so a hot class never multiplies rows.
+    Ties are ranked by id. Vectors of one direction, to six decimals, form a class that is hashed once; of a class
+    only the k + 1 least ids can be among the k most similar of any vector, so a hot class never multiplies
+    rows. Null, all-zero, short and non-finite vectors take no part; copied rows count once.
     """
-    units = spread(usable(vectors, key, vector)).withColumn("cls", F.xxhash64(F.transform("unit", lambda x: F.round(x * 1e6).cast("int"))))
+    units = spread(usable(vectors, key, vector)).select("id", F.xxhash64(F.transform("unit", lambda x: F.round(x * 1e6).cast("int"))).alias("cls"), F.col("unit").cast("array<float>").alias("unit"))
     members = cut(units.select("id", "cls").distinct())
-    heads = members.groupBy("cls").agg(F.min("id").alias("id"))
-    one = cut(units.join(heads, ["cls", "id"]).select(F.col("id"), "unit").dropDuplicates(["id"]))
-    pairs = cut(near_pairs(one, least, Tables.near(one.count())))
-    of = members.join(heads.withColumnRenamed("id", "head"), "cls").select("id", "head")
-    first = of.withColumn("n", F.row_number().over(Window.partitionBy("head").orderBy("id"))).where(F.col("n") <= k + 1).select(F.col("head").alias("other"), F.col("id").alias("neighbour"))
-    sides = pairs.select(F.col("a").alias("head"), F.col("b").alias("other"), "cosine").unionByName(pairs.select(F.col("b").alias("head"), F.col("a").alias("other"), "cosine"))
-    many = first.groupBy("other").agg(F.count("*").alias("n")).where("n > 1").select(F.col("other").alias("head"), "other", F.lit(1.0).alias("cosine"))
-    near = sides.unionByName(many).join(first, "other").join(of, "head").where("id <> neighbour")
+    pairs = cut(near_pairs(units.select("cls", "unit"), least, Tables.near(members.count())))
+    first = members.withColumn("n", F.row_number().over(Window.partitionBy("cls").orderBy("id"))).where(F.col("n") <= k + 1).select(F.col("cls").alias("other"), F.col("id").alias("neighbour"))
+    many = members.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select("cls", F.col("cls").alias("other"), F.lit(1.0).alias("cosine"))
+    sides = pairs.select(F.col("a").alias("cls"), F.col("b").alias("other"), "cosine").unionByName(pairs.select(F.col("b").alias("cls"), F.col("a").alias("other"), "cosine"))
+    near = sides.unionByName(many).join(first, "other").join(members, "cls").where("id <> neighbour")
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour"))
     return near.select("id", "neighbour", "cosine", rank.alias("rank")).where(F.col("rank") <= k)
 
@@ -172,7 +177,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: in
 
     All vectors are indexed; a query visits its own and its perturbed buckets in every table. A bucket is
     cut into blocks of about `block` vectors, and each visit goes to all of them, so no bucket is held
-    in one task. A block scores its visitors by one matrix product on 8-bit copies and keeps 4k of each;
+    in one task. A block scores its visitors by one matrix product on 8-bit copies and keeps the k + 2 best of each;
     the merged candidates are ranked by their exact cosines, ties by id. Copies of a vector all count as others.
     """
     base = cut(spread(usable(vectors, key, vector)).dropDuplicates(["id"]))
@@ -206,7 +211,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: in
         def visit(base_ids: np.ndarray, base_codes: np.ndarray, q_ids: np.ndarray, q_codes: np.ndarray) -> pa.RecordBatch:
             s = q_codes @ base_codes.T
             s[q_ids[:, None] == base_ids[None, :]] = -np.inf
-            n = min(4 * k, s.shape[1])
+            n = min(k + 2, s.shape[1])
             top = np.argpartition(-s, n - 1, 1)[:, :n] if n < s.shape[1] else np.broadcast_to(np.arange(n), s.shape)
             a, b = np.repeat(q_ids, n), base_ids[top].ravel()
             v = np.take_along_axis(s, top, 1).ravel()
