@@ -11,6 +11,7 @@ from quire.llm import grams, near_dup
 from quire.session import cut, shared_dir, spread
 
 PARTS = 16
+WORD_SLOTS = 1 << 19
 
 
 class HistoryIndex:
@@ -51,10 +52,21 @@ class HistoryIndex:
         wanted = [r[0] for r in batch_keys.select(F.pmod("key", F.lit(self.parts)).cast("int")).distinct().collect()]
         return self._read("keys", "key bigint, id bigint, s1 bigint, s2 bigint, part int").where(F.col("part").isin(wanted or [-1])).drop("part")
 
+    def _probed(self, batch_keys: DataFrame) -> DataFrame:
+        """Stored keys that may be among the batch's, by a bitmap of 2**25 bits of the batch's keys.
+
+        The bitmap is a table of at most WORD_SLOTS words of 64 bits, 8 MB whatever the batch, and is
+        broadcast; so nearly all stored keys that no row of the batch has are dropped before any shuffle.
+        """
+        slot = F.pmod("key", F.lit(WORD_SLOTS * 64))
+        bits = batch_keys.select((slot / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(key, {WORD_SLOTS * 64}) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+        stored = self.keys(batch_keys).withColumn("word", (slot / 64).cast("int"))
+        return stored.join(F.broadcast(bits), "word").where(F.expr(f"(shiftright(bits, cast(pmod(key, {WORD_SLOTS * 64}) & 63 as int)) & 1) = 1")).drop("word", "bits")
+
     def similar(self, batch: DataFrame, lookup: DataFrame, least: float) -> DataFrame:
         """(id_a of the batch, id_b accepted before, similarity) for batch(id, text)."""
         asked = cut(grams.keyed(batch))
-        known = self.keys(asked)
+        known = self._probed(asked)
         a, b = asked.alias("a"), known.alias("b")
         met = a.join(b, (F.col("a.key") == F.col("b.key")) & grams.alike("a", "b")).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
         pairs = cut(met)
