@@ -37,7 +37,7 @@ class Tables:
     def near(n: int) -> Tables:
         """For neighbours of cosine 0.90 or more among n vectors; buckets keep their size as n grows."""
         more = np.log2(max(n, 1) / 1e5)
-        return Tables(int(np.clip(round(11 + more), 5, 40)), 2.0, int(np.ceil(3 * max(1.0, (n / 1e5) ** 0.15))), 5)
+        return Tables(int(np.clip(round(12 + more), 5, 40)), 1.8, int(np.ceil(4 * max(1.0, (n / 1e5) ** 0.15))), 5)
 
     @staticmethod
     def wide(n: int) -> Tables:
