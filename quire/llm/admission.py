@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.llm import grams, near_dup
 from quire.session import cut, shared_dir, spread
 
-PARTS = 16
+PARTS = 8
 WORD_SLOTS = 1 << 19
 
 
@@ -45,7 +45,7 @@ class HistoryIndex:
     def append(self, texts: DataFrame) -> None:
         """Accept texts(id, text); copies within a task are written once."""
         keyed = grams.keyed(texts).withColumn("part", F.pmod("key", F.lit(self.parts)).cast("int"))
-        keyed.write.mode("append").partitionBy("part").parquet(f"{self.path}/keys")
+        keyed.write.mode("append").option("compression", "zstd").partitionBy("part").parquet(f"{self.path}/keys")
 
     def keys(self, batch_keys: DataFrame) -> DataFrame:
         """The keys of the parts that the batch's keys fall in; at most `parts` numbers reach the driver."""
