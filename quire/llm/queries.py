@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import admission, canonical, encoding, mixing, near_dup, packing, similar_vectors, split, tokens
+from quire.llm import admission, canonical, encoding, mixing, near_dup, packing, similar_vectors, split, tokens, toxicity
 from quire.llm.sql import SQL as SQL
 from quire.session import cut, spread, table
 
@@ -137,6 +137,28 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_restored(spark, d).select("result_id", "field_name").distinct()
 
 
+def _toxicity(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+    docs = table(spark, d, "documents").withColumn("source", mixing.source_name(F.col("source")))
+    rows = spread(docs.select("doc_id", *keep, "text"))
+    scorer = toxicity.train(rows, table(spark, d, "content_labels"))
+    return toxicity.scored(rows, scorer, keep)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with an abusive, hateful or sexually explicit statement."""
+    return toxicity.flagged(_toxicity(spark, d)).where("found").select("doc_id").distinct()
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of every document: -log10 of the chance of such passages in a harmless text."""
+    return _toxicity(spark, d)
+
+
+def p10_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Rates of such documents by source."""
+    return toxicity.source_rates(_toxicity(spark, d, "source"))
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_neighbours": p1_neighbours,
     "p2_found": p2_found, "p2_pieces": p2_pieces,
@@ -145,5 +167,6 @@ QUERIES = {
     "p6_found": p6_found, "p6_refused": p6_refused,
     "p7_found": p7_found, "p7_restored": p7_restored,
     "p8_containers": p8_containers, "p8_fill": p8_fill,
+    "p10_found": p10_found, "p10_scores": p10_scores, "p10_sources": p10_sources,
     "p9_copies": p9_copies, "p9_shares": p9_shares,
 }
