@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import admission, canonical, encoding, mixing, near_dup, packing, similar_vectors, split, tokens, toxicity
+from quire.llm import admission, canonical, encoding, mixing, near_dup, ocr, packing, similar_vectors, split, tokens, toxicity
 from quire.llm.sql import SQL as SQL
 from quire.session import cut, spread, table
 
@@ -159,11 +159,30 @@ def p10_sources(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.source_rates(_toxicity(spark, d, "source"))
 
 
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "loaded_pages").select(F.lit("loaded_pages").alias("record_table"), F.col("page_id").alias("record_id"), "file_path", "page_num", F.col("content").alias("text"))
+    cleaned = table(spark, d, "cleaning_results").select(F.lit("cleaning_results").alias("record_table"), F.col("result_id").alias("record_id"), F.col("filename").alias("file_path"), F.lit(None).cast("int").alias("page_num"), F.col("original_text").alias("text"))
+    return spread(pages.unionByName(cleaned))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of scanned texts that carry marks of page layout or recognition."""
+    records = _records(spark, d)
+    return ocr.defects(records, ocr.count_language(records))
+
+
+def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """The scanned texts as continuous paragraphs."""
+    records = _records(spark, d)
+    return ocr.repaired(records, ocr.count_language(records))
+
+
 QUERIES = {
     "p1_found": p1_found, "p1_neighbours": p1_neighbours,
     "p2_found": p2_found, "p2_pieces": p2_pieces,
     "p3_found": p3_found, "p3_canonical": p3_canonical,
     "p4_found": p4_found, "p4_groups": p4_groups,
+    "p5_found": p5_found, "p5_repaired": p5_repaired,
     "p6_found": p6_found, "p6_refused": p6_refused,
     "p7_found": p7_found, "p7_restored": p7_restored,
     "p8_containers": p8_containers, "p8_fill": p8_fill,
