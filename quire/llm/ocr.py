@@ -289,7 +289,7 @@ def paragraphs(lines: list[str]) -> str:
     """Body lines as continuous paragraphs: cut words joined, Han lines without a space between, others with one."""
     out: list[str] = []
     for x in lines:
-        x = x.strip()
+        x = re.sub(r"\s+[-‐‑¬]$", "", x.strip())
         if not x:
             out.append("\n\n")
         elif not out or out[-1].endswith(("\n\n", "\x00")):

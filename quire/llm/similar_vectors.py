@@ -100,11 +100,29 @@ class Hasher:
 
 
 def usable(vectors: DataFrame, key: str, vector: str, dim: int = DIM) -> DataFrame:
-    """(id, unit) of the vectors that take part, at length 1: not null, of `dim` values, finite, not all zero."""
-    v = F.col(vector).cast("array<double>")
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    rows = vectors.select(F.col(key).cast("bigint").alias("id"), v.alias("v"), norm.alias("n")).where(F.size("v") == dim)
-    return rows.where((F.col("n") > 0) & (F.col("n") < F.lit(float("inf")))).select("id", F.transform("v", lambda x: x / F.col("n")).alias("unit"))
+    """(id, cls, unit) of the vectors that take part, at length 1: not null, of `dim` values, finite, not all zero.
+
+    cls is a hash of the direction to six decimals, the same for all vectors of it.
+    """
+    mult = np.random.default_rng(11).integers(1, 2**62, dim, dtype=np.int64) | 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = np.fromiter((len(x) == dim and x.values.null_count == 0 if x.is_valid else False for x in batch.column(1)), dtype=bool, count=batch.num_rows) & np.asarray(batch.column(0).is_valid())
+            part = batch.filter(pa.array(ok))
+            if not part.num_rows:
+                continue
+            v = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            with np.errstate(all="ignore"):
+                norm = np.sqrt((v * v).sum(1))
+                good = np.isfinite(norm) & (norm > 0)
+                u = v[good] / norm[good, None]
+                cls = (np.round(u * 1e6).astype(np.int64) * mult).sum(1)
+            flat = pa.array(u.astype(np.float32).ravel())
+            unit = pa.ListArray.from_arrays(pa.array(np.arange(len(u) + 1, dtype=np.int32) * dim), flat)
+            yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(good)), pa.array(cls), unit], names=["id", "cls", "unit"])
+
+    return vectors.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v")).mapInArrow(run, "id bigint, cls bigint, unit array<float>")
 
 
 def _matrix(col: pa.ListArray) -> np.ndarray:
@@ -161,7 +179,7 @@ def near_neighbours(vectors: DataFrame, key: str, vector: str, k: int = 5, least
     only the k + 1 least ids can be among the k most similar of any vector, so a hot class never multiplies
     rows. Null, all-zero, short and non-finite vectors take no part; copied rows count once.
     """
-    units = spread(usable(vectors, key, vector)).select("id", F.xxhash64(F.transform("unit", lambda x: F.round(x * 1e6).cast("int"))).alias("cls"), F.col("unit").cast("array<float>").alias("unit"))
+    units = cut(usable(spread(vectors), key, vector))
     members = cut(units.select("id", "cls").distinct())
     pairs = cut(near_pairs(units.select("cls", "unit"), least, Tables.near(members.count())))
     first = members.withColumn("n", F.row_number().over(Window.partitionBy("cls").orderBy("id"))).where(F.col("n") <= k + 1).select(F.col("cls").alias("other"), F.col("id").alias("neighbour"))
@@ -180,8 +198,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: in
     in one task. A block scores its visitors by one matrix product on 8-bit copies and keeps the k + 2 best of each;
     the merged candidates are ranked by their exact cosines, ties by id. Copies of a vector all count as others.
     """
-    base = cut(spread(usable(vectors, key, vector)).dropDuplicates(["id"]))
-    asked = cut(usable(queries, key, vector).dropDuplicates(["id"]))
+    base = cut(usable(spread(vectors), key, vector).select("id", "unit").dropDuplicates(["id"]))
+    asked = cut(usable(queries, key, vector).select("id", "unit").dropDuplicates(["id"]))
     tables = t or Tables.wide(base.count())
 
     def hashed(probes: bool):
@@ -240,7 +258,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: in
 
     met = rows.mapInArrow(score, "id bigint, neighbour bigint, s float").groupBy("id", "neighbour").agg(F.max("s").alias("s"))
     some = met.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("s"), "neighbour"))).where(F.col("n") <= 4 * k).select("id", "neighbour")
-    cosine = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    cosine = F.aggregate(F.zip_with("va", "vb", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     exact = some.join(asked.toDF("id", "va"), "id").join(base.toDF("neighbour", "vb"), "neighbour").select("id", "neighbour", cosine.alias("cosine"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbour"))
     return exact.withColumn("rank", rank).where(F.col("rank") <= k)
