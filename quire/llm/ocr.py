@@ -41,6 +41,7 @@ HYPHEN = re.compile(r"([^\W\d_]+)[-‐‑¬\xad–‒]\s*$")
 SUSPENDED = {"und", "oder", "bzw", "sowie", "bis", "and", "or", "et", "ou", "to", "als"}
 SENTENCE_END = re.compile(r"[.!?。！？；;，,…]['”’」）)]*\s*$")
 TOKEN = re.compile(r"\S+")
+LATIN = re.compile(r"[^\W\d_一-鿿]{3,}")
 HAN = re.compile("[一-鿿]")
 LOST_COMMA = re.compile(r"(?<=[一-鿿0-9A-Za-z])['`´](?=[一-鿿]|\s*$)")
 NUMBER = re.compile(r"^(?=.*\d)(?=.*[lOoISB|])[\dlOoISB|]+(?:[.,][\dlOoISB|]+)?%?$")
@@ -48,6 +49,10 @@ CODE = re.compile(r"^[A-Z]{2,3}$|^[A-Z]{1,3}-?\d[A-Z\d-]*$")
 CODE_MISREAD = re.compile(r"^[A-Z]{2}-(?=\d*[lOoIB|'])[\dlOoIB|']{2,6}$")
 
 
+# What a line of sound words doesn't have.
+ODD = re.compile(r"\d[^\s\d.,;:!?)%\]»”/-]|[lOI|]\d|[.,][lOI]|[@†$|]|!\w|[^\W\d_]\d")
+
+
 def _misread_ends() -> re.Pattern:
     """The usual ends of Chinese headings, with up to one character misread or lost."""
     forms = set()
@@ -161,6 +166,8 @@ def _parts(line: str) -> list[tuple[int, int]]:
 
 def decode_words(line: str, lang: Language, first: str = "", last: str = "") -> tuple[str, bool]:
     """(corrected line, whether a word of it was misread). first and last: what the line's cut words have on the neighbouring lines."""
+    if not first and not last and not ODD.search(line) and all(lang.words.get(w, 0) >= KNOWN_RARE * lang.least for w in LATIN.findall(line.lower())):
+        return line, False
     spans = [(a, b) for a, b in _parts(line) if not HAN.search(line[a:b])]
     states: list[list[tuple[str, float, bool]]] = []
     misread = False

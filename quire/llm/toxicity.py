@@ -16,13 +16,14 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.canonical import canonical
 
-FUNCTION_WORDS = {"en": {"the", "of", "and", "was", "with", "in", "to", "you", "a"}, "fr": {"les", "des", "la", "ont", "le", "et", "une", "de", "tu"}, "de": {"die", "der", "und", "das", "den", "mit", "nach", "du", "ist"}}
+FUNCTION_WORDS = {"en": (" the ", " of ", " and ", " you ", " in "), "fr": (" les ", " des ", " la ", " le ", " tu "), "de": (" die ", " der ", " und ", " den ", " du ")}
 LANGUAGES = ("en", "fr", "de", "zh")
 KINDS = ("abusive", "hateful", "sexual")
 # Besides, all kinds together, whose weights pool the evidence of all labels.
@@ -47,6 +48,10 @@ PHRASES = {p for v in SEEDS.values() for p in v.split("|") if re.fullmatch(r"(sh
 NEEDS_FORM = re.compile("[\\xad\\u0300-\\u036f\\u0370-\\u052f\\u200b-\\u200f\\u2060\\ufeff\\uff01-\\uff5e\\u0530-\\u058f\\u2010\\u2011]")
 SPACED = re.compile(r"(?<![^\W_])(?:[a-zß-ÿœ][ .\-_*·]{1,2}){2,}[a-zß-ÿœ]{1,3}(?![^\W_])")
 LEETED = re.compile(r"(?<![\w@$!-])(?=[a-zß-ÿ0-9@$!|]*[a-zß-ÿ])(?=[a-zß-ÿ0-9@$!|]*[0-9@$!|])[a-zß-ÿ0-9@$|](?:[a-zß-ÿ0-9@$|]|!(?=[a-z]))+(?![\w-])")
+MAY_BE_SPACED = re.compile(r"[a-zß-ÿ][ .\-_*·]{1,2}[a-zß-ÿ][ .\-_*·]{1,2}[a-zß-ÿ]")
+MAY_BE_LEETED = re.compile(r"[a-zß-ÿ][0-9@$|]|[0-9@$|!][a-zß-ÿ]")
+UNIT = re.compile(r"[a-zß-ÿœ]+|[一-鿿]+")
+HAN_RUN = re.compile("[一-鿿]+")
 STRETCHED = re.compile(r"([a-zß-ÿ])\1{2,}")
 HAN_GAP = re.compile(r"(?<=[一-鿿])[ *·.\-_、](?=[一-鿿])")
 MASKED = re.compile(r"(?<=[a-zß-ÿ])\*+|(?<=[一-鿿])\*")
@@ -61,9 +66,10 @@ def plain(text: str) -> str:
     if "*" in t:
         t = HAN_GAP.sub(lambda m: "" if m[0] in "*" else m[0], t)
         t = MASKED.sub(" " + MASK + " ", t)
-    t = SPACED.sub(lambda m: re.sub(r"[^\w]", "", m[0]) if len(m[0]) > 5 else m[0], t)
+    if MAY_BE_SPACED.search(t):
+        t = SPACED.sub(lambda m: re.sub(r"[^\w]", "", m[0]) if len(m[0]) > 5 else m[0], t)
     t = STRETCHED.sub(r"\1", t)
-    if re.search(r"[0-9@$!|]", t):
+    if MAY_BE_LEETED.search(t):
         t = LEETED.sub(lambda m: m[0].translate(LEET), t)
     return t
 
@@ -148,6 +154,7 @@ class Scorer:
 
     weights: dict[str, dict[str, float]]
     lam: dict[str, float]
+    calls: Calls | None = None
     k: float = 0.1
 
     def scan(self, here: list[list[str]], kind: str) -> list[tuple[int, int, float]]:
@@ -164,8 +171,11 @@ class Scorer:
         out = dict.fromkeys(MODELS, 0.0)
         if not text:
             return out
-        sents = [tokens(words) for words in sentences(plain(text))]
-        n = sum(map(len, sents))
+        t = plain(text)
+        sents = [tokens(words) for words in (self.calls.sentences(t) if self.calls else sentences(t))]
+        if not sents:
+            return out
+        n = extent(t)[1]
         for kind in MODELS:
             least = math.log(max(1.0, self.k * n))
             lam = self.lam[kind]
@@ -179,20 +189,66 @@ Cut = tuple[str, list[list[list[str]]]]
 
 def cut_up(text: str) -> Cut:
     """Language of a text, and the tokens that end at each position of each of its sentences."""
-    sents = list(sentences(plain(text)))
-    return tongue(sents), [tokens(words) for words in sents]
+    t = plain(text)
+    return extent(t)[0], [tokens(words) for words in sentences(t)]
+
+
+def extent(t: str) -> tuple[str, int]:
+    """(language group, positions) of a plain text: by script and function words, and words plus Han characters.
+
+    Rates of tokens are compared within a language group.
+    """
+    han = sum(map(len, HAN_RUN.findall(t))) if not t.isascii() else 0
+    n = han + t.count(" ") + 1
+    if han > 0.3 * n:
+        return "zh", n
+    return max(FUNCTION_WORDS, key=lambda k: sum(t.count(w) for w in FUNCTION_WORDS[k])), n
+
+
+# What stands between words, as spaces.
+SEPARATORS = {ord(c): " " for c in ".,;:!?()[]{}\"'’‘“”«»„…/\\-–—\n\t0123456789。，；：！？（）、"}
+
+
+class Calls:
+    """Of each wanted token the rarest word, or pair of Han characters; a text without any has none of the tokens."""
 
+    def __init__(self, wanted, frequency: Counter) -> None:
+        out = {MASK}
+        for t in wanted:
+            u = min(units_of(t), key=lambda u: (frequency[u], u))
+            out.add(u if HAN_RUN.match(u) else f" {u} ")
+        self.strings = sorted(out)
+        self._machine = None
 
-def tongue(sents: list[list[str]]) -> str:
-    """Language group by script and function words; rates of tokens are compared within it."""
-    n = sum(map(len, sents))
-    if sum("一" <= w[0] <= "鿿" for s in sents for w in s) > 0.3 * n:
-        return "zh"
-    votes = {k: sum(w in v for s in sents for w in s) for k, v in FUNCTION_WORDS.items()}
-    return max(votes, key=votes.get)
+    def __getstate__(self):
+        return {"strings": self.strings, "_machine": None}
 
+    def among(self, text: str) -> bool:
+        if self._machine is None:
+            self._machine = ahocorasick.Automaton()
+            for x in self.strings:
+                self._machine.add_word(x, 1)
+            self._machine.make_automaton()
+        return next(self._machine.iter(f" {text.translate(SEPARATORS)} "), None) is not None
 
-def fit(docs: list[Cut], labels: list[dict[str, bool]], background: dict[str, Counter], positions: Counter) -> Scorer:
+    def sentences(self, text: str) -> Iterator[list[str]]:
+        """The sentences of a plain text that have one of the strings."""
+        if self.among(text):
+            for part in END.split(text):
+                if part and self.among(part):
+                    yield from sentences(part)
+
+
+def frequencies(texts: list[str]) -> Counter:
+    """Counts of words and of pairs of Han characters in plain texts."""
+    seen: Counter = Counter()
+    for t in texts:
+        for u in UNIT.findall(t):
+            seen.update([u] if not HAN_RUN.match(u) else [u[i : i + 2] for i in range(len(u) - 1)])
+    return seen
+
+
+def fit(docs: list[Cut], labels: list[dict[str, bool]], wanted: frozenset[str], harmless: Counter, background: dict[str, Counter], positions: Counter) -> Scorer:
     """Weights from labelled documents; background: counts over all documents by language, of `positions` positions.
 
     A token's weight is the log of its sightings inside labelled passages over those expected of a text of
@@ -204,10 +260,6 @@ def fit(docs: list[Cut], labels: list[dict[str, bool]], background: dict[str, Co
     for kind in MODELS:
         seeds = seed_tokens(kind)
         own = [d for d, y in zip(docs, labels) if (any(y.values()) if kind == "toxic" else y[kind])]
-        harmless: Counter = Counter()
-        for (_, sents), y in zip(docs, labels):
-            if not any(y.values()):
-                harmless.update(t for here in sents for ts in here for t in ts)
         passages = [(lang, [h for here in sents for h in here]) for lang, sents in own]
         now: dict[str, float] = {}
         for step in range(ROUNDS):
@@ -217,7 +269,7 @@ def fit(docs: list[Cut], labels: list[dict[str, bool]], background: dict[str, Co
                 length[lang] += len(here)
                 inside.update({t for ts in here for t in ts} if step == 0 else [t for ts in here for t in ts])
             now = {}
-            for t in {*inside, *seeds}:
+            for t in {*(inside.keys() & wanted), *seeds}:
                 e = sum(n * background[lang][t] / max(1, positions[lang]) for lang, n in length.items())
                 x = inside[t] + SEED_SIGHTINGS * (t in seeds)
                 a = PRIOR_LEAST + PRIOR * sum(background[lang][t] / max(1, positions[lang]) for lang in LANGUAGES)
@@ -255,21 +307,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROW
     return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).select("text", *((F.col(k) >= 0.5).alias(k) for k in KINDS))
 
 
-def count_tokens(docs: DataFrame, wanted: frozenset[str]) -> tuple[dict[str, Counter], Counter]:
-    """Over all documents, by language: counts of the wanted tokens, at most those of the labelled sample, and positions."""
+def count_tokens(docs: DataFrame, wanted: frozenset[str], calls: Calls) -> tuple[dict[str, Counter], Counter]:
+    """Over all documents, by language: counts of the wanted tokens, at most those of the labelled sample, and positions.
+
+    Sentences without any string of `calls`, made from the wanted tokens, are counted in length only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                sents = list(sentences(plain(text)))
-                lang = tongue(sents)
-                for words in sents:
-                    seen[lang, ""] += len(words)
+                t = plain(text)
+                lang, n = extent(t)
+                seen[lang, ""] += n
+                for words in calls.sentences(t):
                     for ts in tokens(words):
-                        for t in ts:
-                            if t in wanted:
-                                seen[lang, t] += 1
+                        for x in ts:
+                            if x in wanted:
+                                seen[lang, x] += 1
         keys = list(seen)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([seen[k] for k in keys], pa.int64())], names=["lang", "token", "n"])
 
@@ -285,13 +340,30 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
     rows = labelled_sample(docs, labels).collect()
     cut_docs = [cut_up(r["text"]) for r in rows]
     y = [{k: bool(r[k]) for k in KINDS} for r in rows]
-    return fit(cut_docs, y, *count_tokens(docs, wanted_tokens(cut_docs, y)))
+    frequency = frequencies([plain(r["text"]) for r in rows])
+    wanted, harmless = wanted_tokens(cut_docs, y, frequency)
+    scorer = fit(cut_docs, y, wanted, harmless, *count_tokens(docs, wanted, Calls(wanted, frequency)))
+    scorer.calls = Calls({t for w in scorer.weights.values() for t in w}, frequency)
+    return scorer
+
+
+def units_of(token: str) -> list[str]:
+    """The words, or pairs of Han characters, of a token."""
+    return [token[i : i + 2] for i in range(len(token) - 1)] if HAN_RUN.match(token) and len(token) > 1 else token.split(" ")
 
 
-def wanted_tokens(docs: list[Cut], labels: list[dict[str, bool]]) -> frozenset[str]:
-    """The seeds, and all tokens of the documents labelled as of some kind."""
+def wanted_tokens(docs: list[Cut], labels: list[dict[str, bool]], frequency: Counter) -> tuple[frozenset[str], Counter]:
+    """(tokens, their counts in harmless documents). The tokens that can get a weight: the seeds, and those of documents labelled as of some kind, but for the
+    ones that stand in harmless documents so much more often that their weight stays below the least, and
+    for those of nothing but words that one in 200 labelled documents has."""
+    usual = max(5, len(docs) // 200)
     seeds = {t for k in KINDS for t in seed_tokens(k)}
-    return frozenset(seeds | {t for (_, sents), y in zip(docs, labels) if any(y.values()) for here in sents for ts in here for t in ts})
+    inside: Counter = Counter()
+    harmless: Counter = Counter()
+    for (_, sents), y in zip(docs, labels):
+        (inside if any(y.values()) else harmless).update(t for here in sents for ts in here for t in ts)
+    wanted = frozenset(seeds | {t for t, x in inside.items() if harmless[t] + 0.5 <= 1.83 * (x + 0.5) and min(frequency[u] for u in units_of(t)) <= usual})
+    return wanted, Counter({t: harmless[t] for t in wanted})
 
 
 def scored(docs: DataFrame, scorer: Scorer, keep: tuple[str, ...] = ()) -> DataFrame:
