@@ -49,7 +49,8 @@ NEEDS_FORM = re.compile("[\\xad\\u0300-\\u036f\\u0370-\\u052f\\u200b-\\u200f\\u2
 SPACED = re.compile(r"(?<![^\W_])(?:[a-zß-ÿœ][ .\-_*·]{1,2}){2,}[a-zß-ÿœ]{1,3}(?![^\W_])")
 LEETED = re.compile(r"(?<![\w@$!-])(?=[a-zß-ÿ0-9@$!|]*[a-zß-ÿ])(?=[a-zß-ÿ0-9@$!|]*[0-9@$!|])[a-zß-ÿ0-9@$|](?:[a-zß-ÿ0-9@$|]|!(?=[a-z]))+(?![\w-])")
 MAY_BE_SPACED = re.compile(r"[a-zß-ÿ][ .\-_*·]{1,2}[a-zß-ÿ][ .\-_*·]{1,2}[a-zß-ÿ]")
-MAY_BE_LEETED = re.compile(r"[a-zß-ÿ][0-9@$|]|[0-9@$|!][a-zß-ÿ]")
+MAY_BE_LEETED = re.compile(r"[0-9@$|!](?:(?=[a-zß-ÿ])|(?<=[a-zß-ÿ].))")
+TRIPLES = [c * 3 for c in "abcdefghijklmnopqrstuvwxyzßäöüéèàê"]
 UNIT = re.compile(r"[a-zß-ÿœ]+|[一-鿿]+")
 HAN_RUN = re.compile("[一-鿿]+")
 STRETCHED = re.compile(r"([a-zß-ÿ])\1{2,}")
@@ -68,7 +69,8 @@ def plain(text: str) -> str:
         t = MASKED.sub(" " + MASK + " ", t)
     if MAY_BE_SPACED.search(t):
         t = SPACED.sub(lambda m: re.sub(r"[^\w]", "", m[0]) if len(m[0]) > 5 else m[0], t)
-    t = STRETCHED.sub(r"\1", t)
+    if any(x in t for x in TRIPLES):
+        t = STRETCHED.sub(r"\1", t)
     if MAY_BE_LEETED.search(t):
         t = LEETED.sub(lambda m: m[0].translate(LEET), t)
     return t
@@ -205,8 +207,15 @@ def extent(t: str) -> tuple[str, int]:
     return max(FUNCTION_WORDS, key=lambda k: sum(t.count(w) for w in FUNCTION_WORDS[k])), n
 
 
-# What stands between words, as spaces.
-SEPARATORS = {ord(c): " " for c in ".,;:!?()[]{}\"'’‘“”«»„…/\\-–—\n\t0123456789。，；：！？（）、"}
+# What stands between words.
+SEPARATORS = ".,;:!?'\"()\n\t-…/’‘“”«»„–—，。；：！？"
+
+
+def spaced_out(text: str) -> str:
+    """The text with a space for each separator, and at both ends."""
+    for c in SEPARATORS:
+        text = text.replace(c, " ")
+    return f" {text} "
 
 
 class Calls:
@@ -229,7 +238,7 @@ class Calls:
             for x in self.strings:
                 self._machine.add_word(x, 1)
             self._machine.make_automaton()
-        return next(self._machine.iter(f" {text.translate(SEPARATORS)} "), None) is not None
+        return next(self._machine.iter(spaced_out(text)), None) is not None
 
     def sentences(self, text: str) -> Iterator[list[str]]:
         """The sentences of a plain text that have one of the strings."""
