@@ -42,7 +42,7 @@ class Tables:
     @staticmethod
     def wide(n: int) -> Tables:
         """For the nearest whatever their distance: few functions and many probes, as such neighbours differ much."""
-        return Tables(6, 1.6, 3, 100)
+        return Tables(6, 1.8, 3, 140)
 
 
 def probe_sets(functions: int, most: int) -> list[tuple[int, ...]]:

@@ -258,7 +258,7 @@ def frequencies(texts: list[str]) -> Counter:
 
 
 def fit(docs: list[Cut], labels: list[dict[str, bool]], wanted: frozenset[str], harmless: Counter, background: dict[str, Counter], positions: Counter) -> Scorer:
-    """Weights from labelled documents; background: counts over all documents by language, of `positions` positions.
+    """Weights from the documents labelled as of some kind; background: counts over all documents by language, of `positions` positions.
 
     A token's weight is the log of its sightings inside labelled passages over those expected of a text of
     the same languages, both with the prior, less the spread of the sightings; it is at most the log of the
@@ -347,11 +347,12 @@ def count_tokens(docs: DataFrame, wanted: frozenset[str], calls: Calls) -> tuple
 def train(docs: DataFrame, labels: DataFrame) -> Scorer:
     """Scorer from the labelled documents and the counts over all documents."""
     rows = labelled_sample(docs, labels).collect()
-    cut_docs = [cut_up(r["text"]) for r in rows]
-    y = [{k: bool(r[k]) for k in KINDS} for r in rows]
+    some = [r for r in rows if any(r[k] for k in KINDS)]
+    labelled = [cut_up(r["text"]) for r in some]
+    y = [{k: bool(r[k]) for k in KINDS} for r in some]
     frequency = frequencies([plain(r["text"]) for r in rows])
-    wanted, harmless = wanted_tokens(cut_docs, y, frequency)
-    scorer = fit(cut_docs, y, wanted, harmless, *count_tokens(docs, wanted, Calls(wanted, frequency)))
+    wanted, harmless = wanted_tokens(labelled, [r["text"] for r in rows if not any(r[k] for k in KINDS)], frequency)
+    scorer = fit(labelled, y, wanted, harmless, *count_tokens(docs, wanted, Calls(wanted, frequency)))
     scorer.calls = Calls({t for w in scorer.weights.values() for t in w}, frequency)
     return scorer
 
@@ -361,18 +362,19 @@ def units_of(token: str) -> list[str]:
     return [token[i : i + 2] for i in range(len(token) - 1)] if HAN_RUN.match(token) and len(token) > 1 else token.split(" ")
 
 
-def wanted_tokens(docs: list[Cut], labels: list[dict[str, bool]], frequency: Counter) -> tuple[frozenset[str], Counter]:
+def wanted_tokens(labelled: list[Cut], harmless: list[str], frequency: Counter) -> tuple[frozenset[str], Counter]:
     """(tokens, their counts in harmless documents). The tokens that can get a weight: the seeds, and those of documents labelled as of some kind, but for the
     ones that stand in harmless documents so much more often that their weight stays below the least, and
     for those of nothing but words that one in 200 labelled documents has."""
-    usual = max(5, len(docs) // 200)
+    usual = max(5, (len(labelled) + len(harmless)) // 200)
     seeds = {t for k in KINDS for t in seed_tokens(k)}
-    inside: Counter = Counter()
-    harmless: Counter = Counter()
-    for (_, sents), y in zip(docs, labels):
-        (inside if any(y.values()) else harmless).update(t for here in sents for ts in here for t in ts)
-    wanted = frozenset(seeds | {t for t, x in inside.items() if harmless[t] + 0.5 <= 1.83 * (x + 0.5) and min(frequency[u] for u in units_of(t)) <= usual})
-    return wanted, Counter({t: harmless[t] for t in wanted})
+    inside = Counter(t for _, sents in labelled for here in sents for ts in here for t in ts)
+    outside: Counter = Counter()
+    for text in harmless:
+        for words in sentences(plain(text)):
+            outside.update(t for ts in tokens(words) for t in ts if t in inside or t in seeds)
+    wanted = frozenset(seeds | {t for t, x in inside.items() if outside[t] + 0.5 <= 1.83 * (x + 0.5) and min(frequency[u] for u in units_of(t)) <= usual})
+    return wanted, Counter({t: outside[t] for t in wanted})
 
 
 def scored(docs: DataFrame, scorer: Scorer, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -154,17 +154,17 @@ def test_spellings():
 def test_toxic_documents(spark):
     rnd = random.Random(4)
     harmless = ["The pump was drained.", "The valve of the station closed.", "The idiot-proof connector fits.", "A glossary was updated."]
-    toxic = ["You are a worthless idiot.", "Go to hell, you bastard!", "Shut up, moron, nobody asked you."]
+    toxic = ["Go to hell, you bastard, you idiot!", "Shut up, moron, you pathetic loser.", "Get lost, you scumbag and moron."]
     docs, labels = [], []
-    for i in range(300):
-        bad = i % 6 == 0
-        docs.append((i, " ".join([rnd.choice(harmless) for _ in range(6)] + [rnd.choice(toxic)] * bad)))
-        if i < 150:
+    for i in range(1500):
+        bad = i % 50 == 0
+        docs.append((i, " ".join([rnd.choice(harmless) for _ in range(30)] + [rnd.choice(toxic)] * bad)))
+        if i < 750:
             labels.append((i, "r", int(bad), 0, 0))
-    docs += [(900, ""), (901, None)]
+    docs += [(9000, ""), (9001, None)]
     d = spark.createDataFrame(docs, "doc_id bigint, text string")
     l = spark.createDataFrame(labels, "doc_id bigint, rater string, is_abusive int, is_hateful int, is_sexual int")
     found = {r["doc_id"] for r in toxicity.flagged(toxicity.scored(d, toxicity.train(d, l))).where("found").collect()}
-    held_out = set(range(150, 300))
-    assert found & held_out == {i for i in held_out if i % 6 == 0}
+    held_out = set(range(750, 1500))
+    assert found & held_out == {i for i in held_out if i % 50 == 0}
     assert toxicity.train(d, l.limit(0)).score("You idiot")["hateful"] == 0
