@@ -78,8 +78,8 @@ def page_group(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def file_metadata(s: SparkSession, d: str) -> DataFrame:
-    """Name, extension and size of every file record."""
-    return table(s, d, "file_records").select("file_path", text.file_name(F.col("file_path")).alias("filename"), text.extension(F.col("file_path")).alias("extension"), F.col("metadata")["size_bytes"].cast("bigint").alias("size_bytes"))
+    """Name, extension and size of every file record, 0 where the size isn't known."""
+    return table(s, d, "file_records").select("file_path", text.file_name(F.col("file_path")).alias("filename"), text.extension(F.col("file_path")).alias("extension"), F.coalesce(F.col("metadata")["size_bytes"].cast("bigint"), F.lit(0)).alias("size_bytes"))
 
 
 @query
@@ -217,7 +217,7 @@ def chunk_merge_short(s: SparkSession, d: str) -> DataFrame:
 @query
 def content_hash(s: SparkSession, d: str) -> DataFrame:
     c = F.col("content").cast("binary")
-    return table(s, d, "chunks").select("chunk_id", F.md5(c).alias("md5"), F.sha2(c, 256).alias("sha256"), (F.md5(c) == F.lower("content_hash")).alias("as_stored"))
+    return table(s, d, "chunks").select("chunk_id", F.md5(c).alias("md5"), F.sha2(c, 256).alias("sha256"), F.coalesce(F.md5(c) == F.lower("content_hash"), F.lit(False)).alias("as_stored"))
 
 
 @query

@@ -112,7 +112,7 @@ SQL: dict[str, str] = {
     "render_sheet_rows": "select p_partkey, concat_ws(' | ', p_partkey, p_name, p_brand, nullif(p_type, ''), p_size) as line from part",
     "html_title": "select doc_id, regexp_extract('<title>' || coalesce(title, '') || '</title>', '<title>([^<]*)</title>', 1) as title, length('<html><head><title>' || coalesce(title, '') || '</title></head><body><h1>h</h1></body></html>') as raw_length from documents",
     "page_group": "select file_path, count(*) as pages, min(page_num) as first_page, max(page_num) as last_page, cast(coalesce(sum(n), 0) as bigint) as chars from (select distinct page_id, file_path, page_num, length(content) as n from loaded_pages) group by 1",
-    "file_metadata": f"select file_path, regexp_extract(file_path, '([^/]*)$', 1) as filename, {_ext('file_path')} as extension, cast(metadata['size_bytes'] as bigint) as size_bytes from file_records",
+    "file_metadata": f"select file_path, regexp_extract(file_path, '([^/]*)$', 1) as filename, {_ext('file_path')} as extension, coalesce(cast(metadata['size_bytes'] as bigint), 0) as size_bytes from file_records",
     "failed_rows": "select result_id, filename, error as reason from cleaning_results where error is not null or not success",
     "query_file_key": "select doc_id, substr(md5(title), 1, 8) as file_key from documents where title is not null",
     "clean_structure": f"select result_id, {_clean('original_text')} as cleaned from cleaning_results",
@@ -142,7 +142,7 @@ SQL: dict[str, str] = {
         from (select doc_id, text, length(text) as n, unnest(range(0, greatest(1, cast(ceil((length(text) - 50) / 450) as bigint)))) as k from documents where length(text) > 0)
     """,
     "chunk_filter_short": "select chunk_id, chunk_index from chunks where length(content) >= 20",
-    "content_hash": "select chunk_id, md5(content) as md5, sha256(content) as sha256, md5(content) = lower(content_hash) as as_stored from chunks",
+    "content_hash": "select chunk_id, md5(content) as md5, sha256(content) as sha256, coalesce(md5(content) = lower(content_hash), false) as as_stored from chunks",
     "chunk_ids": "select chunk_id, source_file || '#' || chunk_index as rebuilt_id from chunks",
     "chunk_upsert": f"select source_file, chunk_id, content from chunks where source_file not in (select source_file from {_INCOMING}) union all select source_file, chunk_id, content from {_INCOMING}",
     "chunks_by_file": "select source_file, chunk_index, chunk_id from chunks",
