@@ -207,38 +207,66 @@ def extent(t: str) -> tuple[str, int]:
     return max(FUNCTION_WORDS, key=lambda k: sum(t.count(w) for w in FUNCTION_WORDS[k])), n
 
 
-# What stands between words.
-SEPARATORS = ".,;:!?'\"()\n\t-…/’‘“”«»„–—，。；：！？"
+# What sentences() skips between two Han characters; a word before a Han character; what is in no word of either script.
+HAN_SKIPPED = re.compile(r"(?<=[一-鿿])[\s、·\-_'’]+(?=[一-鿿])")
+LATIN_BEFORE_HAN = re.compile(r"[a-zß-ÿœ][\s、·\-_'’]*[一-鿿]")
+LATIN_RUN = re.compile("[a-zß-ÿœ]+")
+ASCII_RUN = re.compile("[a-z]+")
+NO_WORD = re.compile("[^a-zß-ÿœ一-鿿]+")
 
 
-def spaced_out(text: str) -> str:
-    """The text with a space for each separator, and at both ends."""
-    for c in SEPARATORS:
-        text = text.replace(c, " ")
-    return f" {text} "
+def call_of(token: str, frequency: Counter) -> str:
+    """What every text with the token has: its rarest word, pair of Han characters, or end of a word before a Han character.
+
+    A token whose only sure mark is a word of other letters gives the first of these.
+    """
+    words = token.split(" ")
+    han = [bool(HAN_RUN.fullmatch(w)) for w in words]
+    if len(words) > 1:
+        sure = [w for w in words if UNIT.fullmatch(w) and not HAN_RUN.match(w)]
+        sure += [a + b for a, b, x, y in zip(words, words[1:], han, han[1:]) if x and y]
+    elif han[0]:
+        sure = [token[i : i + 2] for i in range(len(token) - 1)]
+    elif UNIT.fullmatch(token):
+        sure = [token]
+    elif HAN_RUN.match(token[-1]) and not NO_WORD.search(token):  # Latin words before Han characters, without a mark between them
+        sure = [token[-2:] if HAN_RUN.match(token[-2]) else f"{token[-2]} {token[-1]}"]
+    else:
+        sure = []
+    return min(sure, key=lambda u: (frequency[u], u)) if sure else NO_WORD.search(token.replace(" ", ""))[0][0]
 
 
 class Calls:
     """Of each wanted token the rarest word, or pair of Han characters; a text without any has none of the tokens."""
 
     def __init__(self, wanted, frequency: Counter) -> None:
-        out = {MASK}
+        out: dict[str, set[str]] = {"word": set(), "han": set(), "mixed": set(), "letter": set()}
         for t in wanted:
-            u = min(units_of(t), key=lambda u: (frequency[u], u))
-            out.add(u if HAN_RUN.match(u) else f" {u} ")
-        self.strings = sorted(out)
+            u = call_of(t, frequency)
+            out["mixed" if " " in u else "han" if HAN_RUN.match(u) else "word" if UNIT.match(u) else "letter"].add(u)
+        self.words, self.mixed, self.han = frozenset(out["word"]), frozenset(out["mixed"]), sorted(out["han"])
+        self.letter = re.compile(f"[{re.escape(''.join(sorted(out['letter'])))}]") if out["letter"] else None
         self._machine = None
 
     def __getstate__(self):
-        return {"strings": self.strings, "_machine": None}
+        return self.__dict__ | {"_machine": None}
 
     def among(self, text: str) -> bool:
+        """Whether the text may have a wanted token; words and Han characters are met as sentences() would."""
+        if text.isascii():
+            return not self.words.isdisjoint(ASCII_RUN.findall(text))
+        if not self.words.isdisjoint(LATIN_RUN.findall(text)) or self.letter and self.letter.search(text):
+            return True
+        if not HAN_RUN.search(text):
+            return False
+        if self.mixed and any(f"{m[0]} {m[-1]}" in self.mixed for m in LATIN_BEFORE_HAN.findall(text)):
+            return True
         if self._machine is None:
             self._machine = ahocorasick.Automaton()
-            for x in self.strings:
+            for x in self.han:
                 self._machine.add_word(x, 1)
             self._machine.make_automaton()
-        return next(self._machine.iter(spaced_out(text)), None) is not None
+        return bool(self.han) and next(self._machine.iter(HAN_SKIPPED.sub("", text)), None) is not None
 
     def sentences(self, text: str) -> Iterator[list[str]]:
         """The sentences of a plain text that have one of the strings."""

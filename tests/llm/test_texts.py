@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -151,6 +152,29 @@ def test_spellings():
     assert "mass balance" in toxicity.plain("Assess the mass balance")
 
 
+CALLED = ["白痴", "人渣", "王八蛋", "idiot", "connard", "salaud ordure", "a白", "b 渣", "白 a", "白 痴 b", "ab白", "白a痴", "a白痴", "한글", "한글白", "白 한"]
+
+
+def unfiltered(text, token):
+    scorer = toxicity.Scorer({k: {token: 5.0} for k in toxicity.MODELS}, dict.fromkeys(toxicity.MODELS, 1.0))
+    whole = scorer.score(text)
+    scorer.calls = toxicity.Calls({token}, Counter())
+    return whole, scorer.score(text)
+
+
+@pytest.mark.parametrize(("text", "token"), [("白 痴", "白痴"), ("白·痴", "白痴"), ("白-痴", "白痴"), ("白_痴", "白痴"), ("白、痴", "白痴"), ("王\u3000八 - 蛋", "王八蛋"), ("connard\u00a0!", "connard"), ("你idiot啊", "idiot"), ("[idiot]", "idiot"), ("idiot2", "idiot"), ("a白痴", "a白"), ("ab 白", "ab白"), ("a b 白", "ab白"), ("白a", "白 a"), ("白痴b", "白 痴 b"), ("한글, a", "한글,")])
+def test_spellings_pass_the_filter(text, token):
+    whole, filtered = unfiltered(text, token)
+    assert filtered == whole and whole["abusive"] > 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("ab白痴渣한글 .、·-_'’*[2\n\u00a0!,"), max_size=12), st.sampled_from(CALLED))
+def test_the_filter_changes_no_score(text, token):
+    whole, filtered = unfiltered(text, token)
+    assert filtered == whole
+
+
 def test_toxic_documents(spark):
     rnd = random.Random(4)
     harmless = ["The pump was drained.", "The valve of the station closed.", "The idiot-proof connector fits.", "A glossary was updated."]
