@@ -108,7 +108,7 @@ def admit(index: HistoryIndex, batch: DataFrame, lookup: DataFrame, key: str, co
     order columns are copies of each other and refused but for one.
     """
     rows = spread(batch.select(F.col(key).alias("key"), F.struct(*order).alias("place"), F.col(content).alias("content"), F.md5(F.col(content).cast("binary")).alias("hash"), F.xxhash64(content).alias("raw")))
-    sized = cut(rows.withColumn("text", F.when(F.length("content") >= grams.MIN_LENGTH, grams.normal(F.col("content")))).withColumn("id", F.xxhash64("text")).drop("content"))
+    sized = cut(rows.withColumn("text", F.when(F.length("content") >= grams.MIN_LENGTH, grams.normal(F.col("content")))).withColumn("id", F.when(F.col("text").isNotNull(), F.xxhash64("text"))).drop("content"))
     first = sized.where("hash is not null").groupBy("hash").agg(F.min(F.struct("place", "key")).alias("f"))
     known = index.hashes().distinct().withColumn("known", F.lit(True))
     state = cut(

@@ -102,6 +102,14 @@ def test_admission_at_once_and_batch_by_batch(spark):
     assert set(got) == set(want)
 
 
+def test_contents_without_comparable_text_are_not_alike(spark):
+    rows = [(1, "one short"), (2, "another"), (3, None), (4, None), (5, ""), (6, "one short"), (7, "")]
+    batch = spark.createDataFrame(rows, "id bigint, c string")
+    none = spark.createDataFrame([], "id bigint, text string")
+    got = {r["key"]: r["reason"] for r in admission.admit(admission.HistoryIndex(spark), batch, none, "id", "c", ["id"]).collect()}
+    assert got == {6: "copy", 7: "copy"}
+
+
 def test_packing_is_whole_and_tight(spark):
     rnd = random.Random(3)
     sizes = [(i, rnd.randrange(1, 700)) for i in range(3000)] + [(3000, 5000), (3001, 0), (3002, None), (5, 9)]
