@@ -258,16 +258,17 @@ def cut_word(line: str, following: str | None) -> bool:
     return not (m[1].isupper() and len(m[1]) <= 3 and re.search(r"[-‐]\s*$", line) and not word[1].isupper() and len(m[1]) < 2)
 
 
-def examine(text: str, lang: Language, following: str | None = None) -> tuple[list[tuple[int, str]], list[str], str | None, int]:
+def examine(text: str, lang: Language, following: str | None = None, before: str = "") -> tuple[list[tuple[int, str]], list[str], str | None, int]:
     """Defects (line_no, defect) of a scanned text, its corrected body lines, its first body line, and
-    the number of its last body line if only the next page can tell whether its word goes on there (else 0)."""
+    the number of its last body line if only the next page can tell whether its word goes on there (else 0).
+    following: what the next page begins with; before: what this page's first word has on the page before."""
     lines = text.split("\n")
     kinds = layout(lines)
     found = [(i + 1, k) for i, k in enumerate(kinds) if k in ("header", "page_number")]
     body = [i for i, k in enumerate(kinds) if k == "body"]
     repaired: list[str] = []
     open_line = 0
-    joined = ""
+    joined = before
     for n, i in enumerate(body):
         line = lines[i]
         nxt = lines[body[n + 1]] if n + 1 < len(body) else following
@@ -378,13 +379,67 @@ def defects(records: DataFrame, lang: Language) -> DataFrame:
     return lines.where("defect not in ('goes on', 'open')").select(*own).unionByName(over.select(*own)).distinct()
 
 
+def page_ends(text: str) -> tuple[str, str]:
+    """(first word, last body line if a word may be cut there) of a scanned page; the word with the marks on it,
+    and whole if lines of nothing but a part of it follow each other."""
+    lines = text.split("\n")
+    body = (x for x in lines if layout([x]) == ["body"])
+    word, x = "", next(body, None)
+    while x is not None:
+        word += TOKEN.search(x)[0]
+        if x.strip() != TOKEN.search(x)[0] or not cut_word(x, x := next(body, None)):
+            break
+        word = HYPHEN.sub(r"\1", word)
+    last = next((x for x in reversed(lines) if layout([x]) == ["body"]), "")
+    return word, last if HYPHEN.search(last) else ""
+
+
+def repaired_page(text: str, lang: Language, following: str | None = None, ended: str | None = None) -> str:
+    """A scanned text as paragraphs; following: the first word of the next page, ended: the last body line of the page before.
+
+    A word cut between two pages is put whole at the end of the first.
+    """
+    lines = text.split("\n")
+    own = [x for x, k in zip(lines, layout(lines)) if k == "body"] if following or ended else []
+    taken = bool(ended and own) and cut_word(ended, own[0])
+    body = examine(text, lang, following, HYPHEN.search(ended)[1] if taken else "")[1]
+    if following and body and body[-1].endswith("\0"):
+        body.append(decode_words(following, lang, HYPHEN.search(own[-1])[1])[0])
+    while taken and body:
+        word = TOKEN.search(body[0])
+        body[0] = body[0][word.end() :] if word else ""
+        taken = bool(word) and word[0].endswith("\0")
+        if not body[0].strip():
+            body.pop(0)
+    return paragraphs(body)
+
+
 def repaired(records: DataFrame, lang: Language) -> DataFrame:
-    """(record_table, record_id, text) of scanned records: paragraphs without page marks, cut words joined, misread words corrected."""
+    """(record_table, record_id, text) of scanned records: paragraphs without page marks, cut words joined, misread words corrected.
+
+    A word that goes on on the next page of its file stands whole on the first of the two; pages meet by a join on
+    file and page number of one word and one line of the pages where a word may be cut. Of several records of one
+    page, the neighbours see that of least id.
+    """
+    page = ["record_table", "file_path", "page_num"]
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(t, i, f, n, *page_ends(x)) for t, i, f, n, x in zip(*(c.to_pylist() for c in batch.columns)) if scanned(x.split("\n"))]
+            cols = list(zip(*out)) or [()] * 6
+            types = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=["record_table", "record_id", "file_path", "page_num", "word", "line"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(t, i, paragraphs(examine(x, lang)[1])) for t, i, x in zip(*(c.to_pylist() for c in batch.columns)) if scanned(x.split("\n"))]
+            out = [(t, i, repaired_page(x, lang, following, ended)) for t, i, x, following, ended in zip(*(c.to_pylist() for c in batch.columns)) if scanned(x.split("\n"))]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in ((0, pa.string()), (1, pa.int64()), (2, pa.string()))], names=["record_table", "record_id", "text"])
 
-    rows = records.where("length(text) > 0").select("record_table", F.col("record_id").cast("bigint").alias("record_id"), "text").distinct()
-    return rows.mapInArrow(run, "record_table string, record_id bigint, text string")
+    rows = records.where("length(text) > 0").select("record_table", F.col("record_id").cast("bigint").alias("record_id"), "file_path", F.col("page_num").cast("int").alias("page_num"), "text")
+    ends = cut(rows.where("file_path is not null and page_num is not null").mapInArrow(look, "record_table string, record_id bigint, file_path string, page_num int, word string, line string"))
+    words = ends.where("word <> ''").groupBy(*page).agg(F.min_by("word", "record_id").alias("word"))
+    cuts = ends.groupBy(*page).agg(F.min_by("line", "record_id").alias("line"), F.max(F.col("line") != "").alias("any")).where("any").drop("any")
+    met = cuts.withColumn("next", F.col("page_num") + 1).join(words.withColumnRenamed("page_num", "next"), ["record_table", "file_path", "next"])
+    sides = met.select(*page, F.col("word").alias("following"), F.lit(None).cast("string").alias("ended")).unionByName(met.where("line <> ''").select("record_table", "file_path", F.col("next").alias("page_num"), F.lit(None).cast("string").alias("following"), F.col("line").alias("ended")))
+    near = sides.groupBy(*page).agg(F.max("following").alias("following"), F.max("ended").alias("ended"))
+    return rows.distinct().join(near, page, "left").select("record_table", "record_id", "text", "following", "ended").mapInArrow(run, "record_table string, record_id bigint, text string")

@@ -130,6 +130,19 @@ def test_defects_over_pages(spark):
     assert got == {("loaded_pages", 1, 6, "hyphen")}
 
 
+def test_words_cut_between_pages_are_joined(spark):
+    def page(first, last):
+        return "\n".join([first, *["the reliable committee of the station was drained"] * 4, last])
+
+    data = [("loaded_pages", 1, "f", 1, page("the glossary of the estuary and the pump", "simplified the harv-")), ("loaded_pages", 2, "f", 2, page("est, at a rate of units per hour and then", "before the even-")), ("loaded_pages", 3, "f", 3, "Page 3 of 9\n" + page("1ng the doors were sealed for a reason", "and the even-")), ("loaded_pages", 4, "f", 5, page("ing of the station was left alone by it", "the committee")), ("loaded_pages", 5, "g", 1, page("the glossary of the estuary and the pump", "simplified the harv-")), ("loaded_pages", 6, "g", 2, page("cst at a rate of units per hour and then", "the committee"))]
+    rows = spark.createDataFrame([*data, data[0]], "record_table string, record_id bigint, file_path string, page_num int, text string")
+    got = {r["record_id"]: r["text"] for r in ocr.repaired(rows, language()).collect()}
+    assert got[1].endswith("simplified the harvest,") and got[2].startswith("at a rate")
+    assert got[2].endswith("before the even-") and got[3].endswith("the even-") and got[4].startswith("ing of")
+    assert got[5].endswith("simplified the harvest") and got[6].startswith("at a rate")
+    assert ocr.page_ends("harv-\nest-\nate of it\nthe pump\nthe even-") == ("harvestate", "the even-")
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(-5, 5), max_size=25))
 def test_segments_are_the_maximal_ones(scores):
