@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,7 @@ from quire.session import cut, spread
 DIM = 64
 WORDS = 3
 SLOTS = 1 << 18
+RECALL = 0.97
 
 
 @dataclass(frozen=True)
@@ -35,9 +36,14 @@ class Tables:
 
     @staticmethod
     def near(n: int) -> Tables:
-        """For neighbours of cosine 0.90 or more among n vectors; buckets keep their size as n grows."""
-        more = np.log2(max(n, 1) / 1e5)
-        return Tables(int(np.clip(round(12 + more), 5, 40)), 1.8, int(np.ceil(4 * max(1.0, (n / 1e5) ** 0.15))), 5)
+        """For neighbours of cosine 0.90 or more among n vectors; buckets keep their size as n grows.
+
+        There are as many tables as find a pair at cosine 0.90 with a chance of RECALL, which is worked out
+        for the number of functions; so the tables grow in number with n, and the recall stays.
+        """
+        functions = int(np.clip(round(12 + np.log2(max(n, 1) / 1e5)), 5, 40))
+        one = success(Tables(functions, 2.4, 1, 4), 0.90)
+        return Tables(functions, 2.4, int(np.ceil(np.log(1 - RECALL) / np.log1p(-one))), 4)
 
     @staticmethod
     def wide(n: int) -> Tables:
@@ -99,6 +105,24 @@ class Hasher:
         return np.packbits(v @ self.signs > 0, axis=1).view(np.int64)
 
 
+def success(t: Tables, cosine: float, pairs: int = 2000, draws: int = 8) -> float:
+    """Chance that a pair of unit vectors at this cosine meets in some table when either looks for the other, by simulation from a seed."""
+    rng = np.random.default_rng(13)
+    hits = 0
+    for n in range(draws):
+        v, w = rng.standard_normal((2, pairs, DIM))
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        w -= (v * w).sum(1, keepdims=True) * v
+        w = cosine * v + np.sqrt(1 - cosine**2) * w / np.linalg.norm(w, axis=1, keepdims=True)
+        h, met = Hasher(replace(t, seed=t.seed + n)), np.zeros(pairs, bool)
+        for (own, a), (_, b) in zip(h.keys(v.astype(np.float32)), h.keys(w.astype(np.float32))):
+            if own:
+                at_v, at_w = a, b
+            met |= (a == at_w) | (b == at_v)
+        hits += int(met.sum())
+    return hits / (pairs * draws)
+
+
 def usable(vectors: DataFrame, key: str, vector: str, dim: int = DIM) -> DataFrame:
     """(id, cls, unit) of the vectors that take part, at length 1: not null, of `dim` values, finite, not all zero.
 

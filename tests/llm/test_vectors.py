@@ -57,3 +57,20 @@ def test_empty_tables(spark):
 def test_probe_sets_come_in_order_and_never_move_both_ways():
     sets = sv.probe_sets(6, 40)
     assert len(set(sets)) == 40 and all(len({min(a, 11 - a) for a in s}) == len(s) for s in sets)
+
+
+def test_recall_stays_as_the_collection_grows():
+    def recall(t, n=4000, cosine=0.90):
+        rng = np.random.default_rng(3)
+        v, w = rng.standard_normal((2, n, 64))
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        w -= (v * w).sum(1, keepdims=True) * v
+        w = cosine * v + (1 - cosine**2) ** 0.5 * w / np.linalg.norm(w, axis=1, keepdims=True)
+        met, h = np.zeros(n, bool), sv.Hasher(t)
+        for (own, a), (_, b) in zip(h.keys(v.astype(np.float32)), h.keys(w.astype(np.float32))):
+            if own:
+                at_v, at_w = a, b
+            met |= (a == at_w) | (b == at_v)
+        return met.mean()
+
+    assert all(recall(sv.Tables.near(n)) >= 0.955 for n in (1_000, 10_000, 96_000, 1_000_000))
