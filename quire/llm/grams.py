@@ -138,7 +138,7 @@ def _gram_array(text: str) -> np.ndarray:
 
 
 def similarity(a: str, b: str) -> float:
-    """Shared n-grams over all distinct n-grams, counted fragment by fragment through the sorted order."""
+    """Shared n-grams over all distinct n-grams, counted once over the whole texts."""
     x, y = _gram_array(a), _gram_array(b)
     both = np.concatenate((x, y))
     both.sort(kind="stable")
