@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -21,6 +21,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import spread
+
 SAMPLE_ROWS = 2000
 SAMPLE_LENGTH = 4000
 DICT_BYTES = 100_000
@@ -224,32 +226,60 @@ def language(text: str) -> str | None:
     return best if n[best] >= 3 else None
 
 
-def train(texts: list[str]) -> Model:
-    """A model of a sample. Texts with signs of garbling, or with characters that are rare in their language, stay out of the dictionaries."""
+def sound_language(t: str) -> str | None:
+    """Language of a text without signs of garbling."""
+    if LOST.search(t) or re.search("[\x80-\x9f]", t) or any(utf8_stretches(t, c) for c in MISREAD_AS[:6]):
+        return None
+    return language(t)
+
+
+def count_characters(texts: Iterable[str]) -> Counter:
+    """By language, the sound texts, as (language, ""), and those that have each character."""
+    seen: Counter = Counter()
+    for t in texts:
+        if lang := sound_language(t):
+            seen.update((lang, c) for c in {*t, ""})
+    return seen
+
+
+def train(texts: list[str], counts: Counter | None = None) -> Model:
+    """A model of a sample; the alphabet is that of `counts`, of the sample itself if not given. Texts with signs of
+    garbling, or with characters that are rare in their language, stay out of the dictionaries."""
+    counts = count_characters(texts) if counts is None else counts
     groups: dict[str, list[str]] = {}
     for t in texts:
-        if not LOST.search(t) and not re.search("[\x80-\x9f]", t) and not any(utf8_stretches(t, c) for c in MISREAD_AS[:6]):
-            if lang := language(t):
-                groups.setdefault(lang, []).append(t)
-    chars: set[str] = set()
+        if lang := sound_language(t):
+            groups.setdefault(lang, []).append(t)
+    usual: dict[str, set[str]] = {}
+    for (lang, c), n in counts.items():
+        if c and n >= max(2, counts[lang, ""] // 100):
+            usual.setdefault(lang, set()).add(c)
     content = {}
     for lang, group in sorted(groups.items()):
-        seen = Counter(c for t in group for c in set(t))
-        usual = {c for c, n in seen.items() if n >= max(2, len(group) // 100)}
-        chars |= usual
-        clean = [t for t in group if usual.issuperset(t)]
+        clean = [t for t in group if usual.get(lang, set()).issuperset(t)]
         sentences = dict.fromkeys(s for t in clean for s in re.split(r"(?<=[.。!?！？；])\s*|\n+", t) if s)
         content[lang] = " ".join(sentences).encode()[-DICT_BYTES:] or b"        "
-    return Model(content or {"none": b"        "}, frozenset(chars))
+    return Model(content or {"none": b"        "}, frozenset().union(*usual.values()))
 
 
 def train_on(rows: DataFrame, key: str, text: str, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Model of at most `sample_rows` rows, those of least key hash, whose text has up to SAMPLE_LENGTH code points.
+    """Model whose alphabet is counted over all rows with 20 code points and more, and whose dictionaries are of at
+    most `sample_rows` rows, those of least key hash, whose text has up to SAMPLE_LENGTH code points.
 
-    That many rows of that length are collected, a fixed bound; the dictionaries hold DICT_BYTES a language.
+    That many rows of that length are collected, a fixed bound, and one number for each language and character;
+    the dictionaries hold DICT_BYTES a language.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            seen.update(count_characters(batch.column(0).to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", "char", "n"])
+
+    long = spread(rows.where(F.length(text) >= 20).select(text))
+    counts = Counter({(r["lang"], r["char"]): r["n"] for r in long.mapInArrow(run, "lang string, char string, n bigint").groupBy("lang", "char").agg(F.sum("n").alias("n")).collect()})
     short = rows.where(F.length(text).between(20, SAMPLE_LENGTH)).select(F.xxhash64(key).alias("h"), F.col(text).alias("t"))
-    return train([r["t"] for r in short.orderBy("h", "t").limit(sample_rows).collect()])
+    return train([r["t"] for r in short.orderBy("h", "t").limit(sample_rows).collect()], counts)
 
 
 def _windows(stretches: list[Stretch]) -> list[list[Stretch]]:

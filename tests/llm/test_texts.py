@@ -68,6 +68,12 @@ def model():
     return encoding.train([" ".join(random.Random(i).sample(x, 2)) for i in range(40) for x in (FRENCH, CHINESE, ENGLISH)])
 
 
+def test_the_alphabet_is_that_of_all_rows(spark):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate((FRENCH[0], CHINESE[0], ENGLISH[0]) * 20)], "id bigint, t string")
+    got = encoding.train_on(rows, "id", "t", sample_rows=1).alphabet
+    assert got >= set(FRENCH[0]) | set(CHINESE[0]) | set(ENGLISH[0])
+
+
 @pytest.mark.parametrize("text", [FRENCH[0], CHINESE[0]])
 @pytest.mark.parametrize("wrong", ["cp1252", "latin-1", "cp437", "mac_roman"])
 def test_garbled_utf8_is_restored(model, text, wrong):
