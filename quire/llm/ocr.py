@@ -1,17 +1,24 @@
 """Marks of page layout and recognition in scanned texts: find the lines, and repair them into paragraphs.
 
 Words are corrected by a noisy channel: a candidate's chance is that of the characters being confused so, times
-that of the word after the one before, both from counts over the whole corpus. Viterbi picks the best
-sequence of candidates of a line. Han text is decoded the same way, character by character.
+that of the word after the one before. Both are estimated from the corpus: the n-grams from all texts, the
+confusions from the scanned ones, where rare words that differ from frequent ones in one place show them.
+Viterbi picks the best sequence of candidates of a line. Han text is decoded the same way, character by character.
+
+Running headers are lines at a page's edge that come again, in nearly the same letters, on pages around it; page
+numbers are short lines there whose number grows with the pages. The forms of lines found so are counted over the
+corpus, and tell the rest.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
+from functools import lru_cache
+from operator import add
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,278 +26,451 @@ from pyspark.sql import functions as F
 
 from quire.session import cut
 
-# What is printed, and what it is often recognised as.
-CONFUSIONS = {
-    "e": "c é è ê o", "c": "e o", "i": "! 1 l í", "l": "1 ! i t | I", "s": "5 $", "t": "† l f + r", "a": "@ o", "o": "0 c", "d": "cl", "u": "ii n v", "n": "ri u r", "g": "9 q", "h": "b li",
-    "m": "rn nn", "rn": "m", "w": "vv", "b": "8 h 6", "z": "2", "f": "t", "r": "t", "y": "v", "v": "y", "k": "lc", "q": "g 9", "é": "c e è", "è": "e é c", "ê": "e", "ü": "ii u", "ö": "o", "ä": "a", "cl": "d", "ri": "n", "ii": "u", "li": "h", "vv": "w",
-}
-HAN_PAIRS = "的旳 库厍 大太 大犬 日曰 目日 目曰 间问 人入 未末 本木 己已 已巳 士土 千干 天夭 王玉 由甲 由田 甲申 力刀 午牛 贝见 候侯 拔拨 折拆 析折 密蜜 准淮 冶治 辨辩 科料 侍待 白自 乌鸟 今令 免兔 住往 用甩 元无 因困 儿几 九丸 埋理 测侧 土工 上土 水永 木术 术木 体休 季李 形彤 名各 在任 有冇 子孑 主王 电申 了丁 值植 检捡 末木 处外 料科 少小 石右 文丈 风凤 车东 办力 面而 后石 被披 网冈 时吋 标际 温湿 量里 未朱 没设 受爱 坏环 场扬"
+# Least share of all of its kind that a word, word pair or Han pair has to have to be kept, hence at most 1 / SIZE of each.
 SIZE = 1e-5
+# The same for the words that confusions are learned from.
+LEARN = 5e-5
 LEAST = 4
-CONFUSED = -5.0
-KNOWN_RARE = 30
-# Digits as recognised, in a page number.
+# Different words, or sightings in Han text, that a confusion has to be seen in.
+SIGHTINGS = 3
+# Sightings given to a word that was never seen.
+UNSEEN = 0.05
+EDGE = 3
+REACH = (-2, -1, 1, 2)
+FORM_SHARE = 0.9
+# Digits and what they are often recognised as.
+LIKE_DIGITS = str.maketrans("lI|OoSBZ", "11100582")
 _D = r"[0-9lOoISB|]"
+# Usual styles of page numbers, for pages without neighbours that show theirs.
 PAGE_NUMBER = re.compile(
-    rf"^\s*(?:P\S{{2,4}}\s+{_D}{{1,5}}(?:\s+\S{{2,3}}\s+{_D}{{1,5}})?|[Pp]\s?[.,]\s*{_D}{{1,5}}|S(?:eite|\.)\s*{_D}{{1,5}}(?:\s+von\s+{_D}{{1,5}})?|[\[(（【]\s*{_D}{{1,5}}\s*[\])）】]|[-–—―·•~*]+\s*{_D}{{1,5}}\s*[-–—―·•~*]+|\S?\s*{_D}{{1,5}}\s*页(?:\s*[,，/]?\s*共?\s*{_D}{{1,5}}\s*页)?|第\s*{_D}{{1,5}}\s*\S(?:\s*共\s*{_D}{{1,5}}\s*\S)?|{_D}{{1,5}}(?:\s*/\s*{_D}{{1,5}})?|[-–—·]?\s*[ivxlc]{{1,7}}\s*[-–—·]?|[-–—·]?\s*[IVXLC]{{1,7}}\s*[-–—·]?)\s*$"
+    rf"^\s*(?:P\S{{2,4}}\s+{_D}{{1,5}}(?:\s+\S{{2,3}}\s+{_D}{{1,5}})?|[Pp]\s?[.,]\s*{_D}{{1,5}}|S(?:eite|\.)\s*{_D}{{1,5}}(?:\s+von\s+{_D}{{1,5}})?|[\[(（【<{{]\s*{_D}{{1,5}}\s*[\])）】>}}]|[-–—―=·•~*/|]+\s*{_D}{{1,5}}\s*[-–—―=·•~*/|]+|\S?\s*{_D}{{1,5}}\s*页(?:\s*[,，/]?\s*共?\s*{_D}{{1,5}}\s*页)?|第\s*(?:{_D}{{1,5}}|[〇零一二三四五六七八九十百]+)\s*\S(?:\s*共\s*(?:{_D}{{1,5}}|[〇零一二三四五六七八九十百]+)\s*\S)?|{_D}{{1,5}}(?:\s*/\s*{_D}{{1,5}})?|[-–—·]?\s*[ivxlc]{{1,7}}\s*[-–—·]?|[-–—·]?\s*[IVXLC]{{1,7}}\s*[-–—·]?)\s*$"
 )
-NUMBERED = re.compile(rf"^\s*{_D}{{1,5}}\s{{2,}}|\s{{2,}}{_D}{{1,5}}\s*$")
-HEADING = re.compile(r"^[^\W\d_.][\w’'.,\- ]{2,70}?\s?[:/—;|.'-]{1,2}\s?[A-Z0-9'.]{1,3}[-'. ][\d'.lOoISB|]{2,7}$")
-HEADING_ENDS = ["年鉴", "研究报告", "技术手册（试行）", "的调查", "工作手册", "管理规定", "会议纪要", "实施细则"]
-HYPHEN = re.compile(r"([^\W\d_]+)[-‐‑¬\xad–‒]\s*$")
-SUSPENDED = {"und", "oder", "bzw", "sowie", "bis", "and", "or", "et", "ou", "to", "als"}
+NUMBER = re.compile(r"(?<![A-Za-zÀ-ɏ])[lOoISBZ|]*\d[\dlOoISBZ|]*(?![A-Za-zÀ-ɏ])|(?<!\w)[lO|]{2,4}(?!\w)|(?<!\w)[ivxlc]{1,7}(?!\w)|(?<!\w)[IVXLC]{1,7}(?!\w)|[〇零一二三四五六七八九十百]+(?=[\W页頁]|$)")
+ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}
+HAN_DIGITS = {c: i for i, c in enumerate("零一二三四五六七八九")} | {"〇": 0}
+# Signs that a word may be cut with; the second ones only where the joined word is known.
+HYPHENS = "-‐‑¬\xad–‒"
+RARE_HYPHENS = "—―⁃−﹣－֊⸗᠆=~_"
+HYPHEN = re.compile(rf"([^\W\d_]+)[{HYPHENS}{RARE_HYPHENS}]\s*$")
+# Words before which a prefix is left standing that shares the end of a later word.
+SUSPENDED = {"und", "oder", "bzw", "sowie", "bis", "and", "or", "et", "ou", "to", "als", "beziehungsweise", "wie", "nor", "than", "versus", "soit", "ni"}
+COMMON = 0.004
 SENTENCE_END = re.compile(r"[.!?。！？；;，,…]['”’」）)]*\s*$")
 TOKEN = re.compile(r"\S+")
-LATIN = re.compile(r"[^\W\d_一-鿿]{3,}")
 HAN = re.compile("[一-鿿]")
-LOST_COMMA = re.compile(r"(?<=[一-鿿0-9A-Za-z])['`´](?=[一-鿿]|\s*$)")
-NUMBER = re.compile(r"^(?=.*\d)(?=.*[lOoISB|])[\dlOoISB|]+(?:[.,][\dlOoISB|]+)?%?$")
-CODE = re.compile(r"^[A-Z]{2,3}$|^[A-Z]{1,3}-?\d[A-Z\d-]*$")
-CODE_MISREAD = re.compile(r"^[A-Z]{2}-(?=\d*[lOoIB|'])[\dlOoIB|']{2,6}$")
+WORD = re.compile(r"[^\W_一-鿿]+(?:[.,][^\W_一-鿿]+)*|[.;:?!]")
+LETTERS = re.compile(r"\s*([^\W\d_]+)")
+BEFORE, AFTER = "([{«»“”\"'’‘„—–-", ".,;:?!)]}«»“”\"'’‘—–-‐‑¬\xad"
+ZEROS = str.maketrans("123456789", "000000000")
+# Han text is seen with all letters and digits as one.
+ONE_SIGN = str.maketrans({c: "0" for c in "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 
 
-# What a line of sound words doesn't have.
-ODD = re.compile(r"\d[^\s\d.,;:!?)%\]»”/-]|[lOI|]\d|[.,][lOI]|[@†$|]|!\w|[^\W\d_]\d")
+def scanned(lines: list[str]) -> bool:
+    """Whether the lines are broken at a page's width: several, most about as long as the longest, many running on into the next."""
+    own = [x.strip() for x in lines]
+    sizes = sorted(len(x) for x in own if x)
+    if len(sizes) < 4 or sizes[-1] > 160 or sizes[len(sizes) // 2] < 0.5 * sizes[-1]:
+        return False
+    on = sum(1 for x, y in zip(own, own[1:]) if x and y and not SENTENCE_END.search(x) and any(map(str.isalpha, x)))
+    return on >= 0.3 * len(sizes)
+
+
+def edge_lines(lines: list[str]) -> list[str]:
+    """The first and last lines of a page that aren't blank: at most EDGE of each, in their order, '' between them."""
+    own = [x for x in lines if x.strip()]
+    return [*own[:EDGE], "", *own[max(EDGE, len(own) - EDGE) :]]
+
+
+@lru_cache(maxsize=100_000)
+def style(line: str) -> str:
+    """A line with its numbers as '#' and its space squeezed."""
+    return re.sub(r"\s+", " ", NUMBER.sub("#", line.strip()))
+
+
+def value(number: str) -> int | None:
+    """The value of digits, misread ones included, of Roman or of Han numerals."""
+    if (x := number.translate(LIKE_DIGITS)).isdigit() and not (number.isalpha() and set(number.lower()) <= ROMAN.keys() and number.islower()):
+        return int(x) if len(x) < 10 else None
+    if set(low := number.lower()) <= ROMAN.keys():
+        n = [ROMAN[c] for c in low]
+        return sum(-a if a < b else a for a, b in zip(n, [*n[1:], 0]))
+    if set(number) <= HAN_DIGITS.keys():
+        return int("".join(str(HAN_DIGITS[c]) for c in number))
+    total, now = 0, 0
+    for c in number:
+        if c in HAN_DIGITS:
+            now = HAN_DIGITS[c]
+        elif c in "十百":
+            total, now = total + (now or 1) * (10 if c == "十" else 100), 0
+        else:
+            return None
+    return total + now
 
 
-def _misread_ends() -> re.Pattern:
-    """The usual ends of Chinese headings, with up to one character misread or lost."""
-    forms = set()
-    for end in HEADING_ENDS:
-        forms.add(re.escape(end))
-        if len(end) > 2:
-            for i in range(len(end)):
-                forms.add(re.escape(end[:i]) + ".?" + re.escape(end[i + 1 :]))
-        else:
-            forms |= {"[^。，；？]" + end[1] + "(?<!。)", end[0] + r"['.]"}
-    return re.compile("(?:" + "|".join(sorted(forms, key=len, reverse=True)) + ")$")
+def counts_on(line: str, other: str, pages: int | None) -> bool:
+    """Whether two lines are of one style of page numbers; `pages` apart, or by an unknown number of pages."""
+    x, y = style(line), style(other)
+    if x != y or not numbered(x):
+        return False
+    for a, b in zip(NUMBER.findall(line), NUMBER.findall(other)):
+        v, w = value(a), value(b)
+        if v is not None and w is not None and (w - v == pages if pages is not None else 0 < abs(w - v) < 100):
+            return True
+    return False
 
 
-HEADING_END = _misread_ends()
+@lru_cache(maxsize=100_000)
+def numbered(x: str) -> bool:
+    """Whether a style may be that of a page number: short, and little but the number."""
+    return "#" in x and len(x) <= 24 and sum(map(str.isalpha, x)) <= 10 and len(HAN.findall(x)) <= 4 and not re.search(r"[。；，]|[.,;]$|[^\W\d_]-#|\|.*\|", x)
 
 
-def scanned(lines: list[str]) -> bool:
-    """Whether the lines are broken at a page's width: several, none long, most about as long as the longest."""
-    own = [len(x.strip()) for x in lines if x.strip()]
-    if len(own) < 4 or max(own) > 100:
-        return False
-    own.sort()
-    return own[len(own) // 2] >= 0.6 * own[-1]
+@lru_cache(maxsize=100_000)
+def folded(line: str) -> str:
+    """A line without numbers, case and signs."""
+    return " ".join(re.findall(r"[^\W_]+", NUMBER.sub(" ", line).lower()))
+
+
+@lru_cache(maxsize=100_000)
+def needed(line: str) -> int:
+    """How often a line has to come again to be a header: once; more often if it is one word or ends like a sentence, never if it is too short or a row of a table."""
+    x = folded(line)
+    if line.count("|") > 1 or not (len(x) >= 8 or len(HAN.findall(x)) >= 4):
+        return 1000
+    return 1 + (" " not in x and not HAN.search(x)) + bool(SENTENCE_END.search(line))
 
 
-def is_heading(line: str) -> bool:
-    """Whether a line has the form of a title: a name and a code, or one of the usual ends; not that of a sentence."""
-    x = NUMBERED.sub("", line).strip()
-    if not 3 <= len(x) <= 80 or SENTENCE_END.search(x):
+def nearly(a: str, b: str) -> bool:
+    """Whether two strings differ in at most two single places, or in one stretch of up to two characters; one end of them is the same."""
+    if a == b:
+        return True
+    if abs(len(a) - len(b)) > 2 or min(len(a), len(b)) < 4 or a[:3] != b[:3] and a[-3:] != b[-3:]:
         return False
-    if HAN.search(x):
-        return len(x) <= 30 and not re.search(r"[。；，]", x) and bool(HEADING_END.search(x))
-    return bool(HEADING.match(x))
+    p = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    s = next((i for i, (x, y) in enumerate(zip(reversed(a[p:]), reversed(b[p:]))) if x != y), min(len(a), len(b)) - p)
+    if max(len(a), len(b)) - p - s <= 2:
+        return True
+    return len(a) == len(b) and len(a) >= 6 and sum(x != y for x, y in zip(a, b)) <= 2
 
 
-def layout(lines: list[str]) -> list[str]:
-    """'header', 'page_number', 'blank' or 'body' for each line of a scanned text."""
-    kinds = []
-    for x in lines:
-        if not x.strip():
-            kinds.append("blank")
-        elif PAGE_NUMBER.match(x) and re.search(r"\d|[ivxlcIVXLC]{1,7}\s*\W*$", x) and not re.fullmatch(r"\s*[a-zA-Z]\s*", x):
-            kinds.append("page_number")
-        else:
-            kinds.append("header" if is_heading(x) else "body")
+def shape(line: str) -> str:
+    """The form of a line: of Latin words the case and of numbers the place; of Han text the last two characters."""
+    x = re.sub(r"^\S?\s*#\s\s+|\s\s+#\s*\S?$", "", NUMBER.sub("#", line.strip())).strip()
+    if HAN.search(x):
+        return "…" + x[-2:]
+    return re.sub(r"\s+", " ", re.sub(r"[^\W\d_]+", lambda m: "a" if not m[0][0].isupper() else "A" if m[0].isupper() else "Aa", x))
+
+
+Edges = dict[int, list[str]]
+
+
+def judged(line: str, page: int, edges: Edges, forms: dict[str, str]) -> str:
+    """'header', 'page_number' or 'body' for a line at the edge of page number `page`, by the edges of pages around it."""
+    fold, need = folded(line), needed(line)
+    again = 0
+    if numbered(style(line)):
+        if any(counts_on(line, x, k - page) for k, lines in edges.items() if k != page for x in lines):
+            return "page_number"
+        if len(style(line)) == 1 and any(len(style(x)) > 1 and numbered(style(x)) and PAGE_NUMBER.match(x) for lines in edges.values() for x in lines):
+            return "body"
+    elif need < 1000:
+        for k, lines in edges.items():
+            again += k != page and any(nearly(fold, folded(x)) for x in lines)
+    return "header" if again >= need else by_form(line, forms, page and edges.get(page) or edges.get(0, ()))
+
+
+def by_form(line: str, forms: dict[str, str], lines: Iterable[str] = ()) -> str:
+    """The kind of a line by its form alone; a line as wide as the others around it is no header."""
+    if PAGE_NUMBER.match(line) and re.search(r"\d|[ivxlcIVXLC]{1,7}\s*\W*$|[〇零一二三四五六七八九十百]", line) and not re.fullmatch(r"\s*[a-zA-Z]\s*", line):
+        return "page_number"
+    if not forms or SENTENCE_END.search(line) or (kind := forms.get(shape(line))) is None:
+        return "body"
+    return "body" if kind == "header" and len(line.strip()) > 0.9 * max((len(x.strip()) for x in lines), default=1000) else kind
+
+
+def layout(lines: list[str], forms: dict[str, str], edges: Edges | None = None) -> list[str]:
+    """'header', 'page_number', 'blank' or 'body' for each line of a scanned text; edges: those of the pages around it,
+    None for a text that may have several pages itself."""
+    kinds = ["body" if x.strip() else "blank" for x in lines]
+    own = [i for i, k in enumerate(kinds) if k == "body"]
+    if edges is not None:
+        around = {**edges, 0: lines}
+        for edge in (own[:EDGE], own[: -EDGE - 1 : -1]):
+            for i in edge:
+                if (kind := judged(lines[i], 0, around, forms)) == "body":
+                    break
+                kinds[i] = kind
+        return one_style(lines, kinds)
+    width = sorted(len(lines[i].strip()) for i in own)[len(own) * 9 // 10]
+    seen: dict[str, list[int]] = defaultdict(list)
+    folds = {}
+    for i in own:
+        x = lines[i]
+        if numbered(style(x)):
+            seen["#" + style(x)].append(i)
+        elif len(x.strip()) < 0.95 * width or i == own[0]:
+            if needed(x) < 1000:
+                folds[i] = f = folded(x)
+                for key in {f[:5], f[-5:]}:
+                    seen[key].append(i)
+    for i in own:
+        x = lines[i]
+        if i in folds:
+            near = {j for key in (folds[i][:5], folds[i][-5:]) for j in seen[key] if abs(j - i) > EDGE and nearly(folds[i], folds[j])}
+            kinds[i] = "header" if len(near) >= needed(x) + bool(SENTENCE_END.search(x)) else "body"
+        elif numbered(style(x)) and (len(style(x)) > 1 or i in (own[0], own[-1])) and any(counts_on(x, lines[j], None) for j in seen["#" + style(x)] if j != i):
+            kinds[i] = "page_number"
+        if kinds[i] == "body" and (len(x.strip()) < 0.9 * width or i == own[0]):
+            kinds[i] = by_form(x, forms)
+    return one_style(lines, kinds)
+
+
+def one_style(lines: list[str], kinds: list[str]) -> list[str]:
+    """kinds, where a number alone is no page number beside page numbers with more to them."""
+    at = [i for i, k in enumerate(kinds) if k == "page_number"]
+    if len({style(lines[i]) for i in at}) > 1:
+        for i in at:
+            if style(lines[i]) == "#":
+                kinds[i] = "body"
     return kinds
 
 
 @dataclass
 class Language:
-    """Counts of frequent words, word pairs, Han pairs; each has at least a fixed share of all, so at most 1 / share entries."""
+    """What the corpus shows: counts of frequent words, word pairs, Han pairs; confusions by what is seen, as (true, log chance); forms of lines."""
 
     words: dict[str, int]
     pairs: dict[tuple[str, str], int]
     han: dict[str, int]
     n_words: int
-    least: int
+    size: int = 0
+    confused: dict[str, list[tuple[str, float]]] = field(default_factory=dict)
+    han_confused: dict[str, list[tuple[str, float]]] = field(default_factory=dict)
+    forms: dict[str, str] = field(default_factory=dict)
+    _known: dict[str, bool] = field(default_factory=dict, repr=False)
+    _made: dict[str, list[tuple[str, float]]] = field(default_factory=dict, repr=False)
+
+    def __getstate__(self):
+        return self.__dict__ | {"_known": {}, "_made": {}}
 
     def after(self, a: str, b: str) -> float:
         """log P(b | a), interpolated with the frequency of b."""
-        alone = self.words.get(b, 0.1) / max(1, self.n_words)
+        alone = self.words.get(b, UNSEEN) / max(1, self.n_words)
         return math.log(0.6 * self.pairs.get((a, b), 0) / max(1, self.words.get(a, 1)) + 0.4 * alone)
 
-
-_BACK: dict[str, list[str]] = {}
-for _true, _seen in CONFUSIONS.items():
-    for _x in _seen.split():
-        _BACK.setdefault(_x, []).append(_true)
-_HAN_BACK: dict[str, str] = {}
-for _pair in HAN_PAIRS.split():
-    _HAN_BACK[_pair[0]] = _HAN_BACK.get(_pair[0], "") + _pair[1]
-    _HAN_BACK[_pair[1]] = _HAN_BACK.get(_pair[1], "") + _pair[0]
-
-
-def candidates(word: str, lang: Language) -> list[str]:
-    """Known words that one or two confusions turn into this one."""
-    out: set[str] = set()
-    todo, odd = [word], sum(not c.isalpha() for c in word)
-    for _ in range(1 if odd < 2 else 2):
-        new = []
-        for w in todo:
-            for i in range(len(w)):
-                for n in (1, 2):
-                    for true in _BACK.get(w[i : i + n], ()) if i + n <= len(w) else ():
-                        new.append(w[:i] + true + w[i + n :])
-        out |= {w for w in new if lang.words.get(w, 0) >= lang.least}
-        todo = new
-    return sorted(out)
-
-
-def _parts(line: str) -> list[tuple[int, int]]:
-    """Spans of words: tokens without punctuation around them, cut at hyphens and apostrophes."""
+    def candidates(self, word: str) -> list[tuple[str, float]]:
+        """(known word, log chance) that a confusion turns into this one, or two into one that has signs in it, where
+        so many such words are to be expected that this one can't be left as it is without a look at its neighbours."""
+        if (made := self._made.get(word)) is not None:
+            return made
+        got: dict[str, float] = {}
+        todo, own = [(word, 0.0)], self.words.get(word, 0)
+        for _ in range(2 if sum(not c.isalpha() for c in word) > 1 and not word.replace(".", "").isdigit() else 1):
+            new = []
+            for w, p in todo:
+                for i in range(len(w)):
+                    for n in (1, 2):
+                        if i + n <= len(w):
+                            new += [(w[:i] + true + w[i + n :], p + cost) for true, cost in self.confused.get(w[i : i + n], ())]
+            for w, p in new:
+                if w != word and self.words.get(w, 0) * math.exp(p) * 5 >= own:
+                    got[w] = max(p, got.get(w, -99.0))
+            todo = new
+        made = [(w, p) for w, p in sorted(got.items()) if w in self.words]
+        if len(self._made) < 1_000_000:
+            self._made[word] = made
+        return made
+
+    def as_is(self, word: str, others: list[tuple[str, float]]) -> float:
+        """log of the share of a word's sightings that confusions of the others don't explain."""
+        own = self.words.get(word, UNSEEN)
+        spared = max(UNSEEN, own - 2 * sum(self.words[w] * math.exp(p) for w, p in others))
+        return math.log(min(1.0, spared / own))
+
+    def sound(self, token: str) -> bool:
+        """Whether no word of a token, as it stands between spaces, can be misread."""
+        if (known := self._known.get(token)) is None:
+            known = not any(self.candidates(w) for w, _, _ in word_parts(token))
+            if len(self._known) < 1_000_000:
+                self._known[token] = known
+        return known
+
+
+def word_parts(token: str) -> list[tuple[str, int, int]]:
+    """(normal form, start, end) of the words of a token: without signs around them, cut at hyphens, apostrophes and Han characters."""
     out = []
-    for m in TOKEN.finditer(line):
+    for m in re.finditer(r"[^一-鿿，。；、？！：（）「」《》“”\-‐‑'’]+", token):
         a, b = m.span()
-        while a < b and line[a] in "([{«»“”\"'’‘„—–-":
+        while a < b and token[a] in BEFORE:
             a += 1
-        while b > a and line[b - 1] in ".,;:?!)]}«»“”\"'’‘—–-‐‑¬\xad":
+        while b > a and token[b - 1] in AFTER:
             b -= 1
-        at = a
-        if CODE.match(line[a:b]) or CODE_MISREAD.match(line[a:b]):
-            out.append((a, b))
-            continue
-        for k in range(a, b + 1):
-            if k == b or line[k] in "-‐‑'’":
-                if k > at:
-                    out.append((at, k))
-                at = k + 1
+        w = token[a:b].lower().translate(ZEROS)
+        # letters before a number in a code mean nothing; short words are like too many others
+        if len(w) >= 3 or len(w) == 2 and not w.isalpha() and any(map(str.isalnum, w)):
+            if not w.replace(".", "").isdigit():
+                out.append((w, a, b))
     return out
 
 
 def decode_words(line: str, lang: Language, first: str = "", last: str = "") -> tuple[str, bool]:
     """(corrected line, whether a word of it was misread). first and last: what the line's cut words have on the neighbouring lines."""
-    if not first and not last and not ODD.search(line) and all(lang.words.get(w, 0) >= KNOWN_RARE * lang.least for w in LATIN.findall(line.lower())):
-        return line, False
-    spans = [(a, b) for a, b in _parts(line) if not HAN.search(line[a:b])]
-    states: list[list[tuple[str, float, bool]]] = []
-    misread = False
-    for n, (a, b) in enumerate(spans):
-        own = line[a:b]
-        if CODE_MISREAD.match(own) or NUMBER.match(own):
-            misread = True
-        head = first if n == 0 and not line[:a].strip() else ""
-        tail = last if n == len(spans) - 1 and not re.sub(r"[-‐‑¬\xad–‒\s]", "", line[b:]) else ""
-        w = (head + own + tail).lower()
-        here = [(w, 0.0, False)]
-        if len(w) >= 3 and any(c.isalpha() for c in own) and not CODE.match(own) and not CODE_MISREAD.match(own) and not NUMBER.match(own):
-            if lang.words.get(w, 0) < KNOWN_RARE * lang.least:
-                lo, hi = len(head), len(w) - len(tail)
-                for c in candidates(w, lang):
-                    k = next((i for i, (x, y) in enumerate(zip(c, w)) if x != y), min(len(c), len(w)))
-                    if lo <= k < hi + 1:
-                        here.append((c, CONFUSED, True))
+    tokens = line.split()
+    if all(map(lang.sound, tokens[bool(first) : len(tokens) - bool(last)])):
+        ends = [first.lower() + w for w, _, _ in word_parts(tokens[0])[:1]] if first and tokens else []
+        ends += [w + last.lower() for w, _, _ in word_parts(tokens[-1])[-1:]] if last and len(tokens) > bool(first) else []
+        if (not last or len(tokens) > bool(first)) and not any(map(lang.candidates, ends)):
+            return line, False
+    spans: list[tuple[str, int, int, str, str]] = []
+    matches = list(TOKEN.finditer(line))
+    for n, m in enumerate(matches):
+        parts = word_parts(m[0])
+        for k, (w, a, b) in enumerate(parts):
+            head = first.lower() if not n and not k and not re.search(r"\w", m[0][:a]) else ""
+            tail = last.lower() if n == len(matches) - 1 and k == len(parts) - 1 and not re.search(r"\w", m[0][b:]) else ""
+            spans.append((head + w + tail, m.start() + a, m.start() + b, head, tail))
+    states: list[list[tuple[str, float]]] = []
+    for w, a, b, head, tail in spans:
+        others = lang.candidates(w)
+        here = [(w, lang.as_is(w, others))]
+        for c, p in others:
+            k = next((i for i, (x, y) in enumerate(zip(c, w)) if x != y), min(len(c), len(w)))
+            if len(head) <= k <= len(w) - len(tail):
+                here.append((c, p))
         states.append(here)
     if all(len(s) == 1 for s in states):
-        return line, misread
-    best: list[dict[int, tuple[float, int]]] = []
-    before = ""
+        return line, False
+    best: list[list[tuple[float, int]]] = []
     for n, here in enumerate(states):
-        row = {}
-        for i, (w, cost, _) in enumerate(here):
+        row = []
+        for w, cost in here:
             if n == 0:
-                row[i] = (cost + lang.after(before, w), -1)
+                row.append((cost + lang.after("", w), -1))
             else:
-                row[i] = max((best[n - 1][j][0] + lang.after(states[n - 1][j][0], w) + cost, j) for j in best[n - 1])
+                row.append(max((best[n - 1][j][0] + lang.after(states[n - 1][j][0], w) + cost, j) for j in range(len(best[n - 1]))))
         best.append(row)
-    i = max(best[-1], key=lambda k: best[-1][k][0])
-    out = line
+    i = max(range(len(best[-1])), key=lambda k: best[-1][k][0])
+    out, misread = line, False
     for n in range(len(states) - 1, -1, -1):
-        w, _, changed = states[n][i]
-        if changed:
+        if i:
             misread = True
-            a, b = spans[n]
-            own = line[a:b]
-            head = first.lower() if n == 0 and not line[:a].strip() else ""
-            tail = last.lower() if n == len(states) - 1 and not re.sub(r"[-‐‑¬\xad–‒\s]", "", line[b:]) else ""
-            new = w[len(head) : len(w) - len(tail)] if w.startswith(head) and w.endswith(tail) else own
+            w, a, b, head, tail = spans[n]
+            new, own = states[n][i][0], line[a:b]
+            new = new[len(head) : len(new) - len(tail)] if new.startswith(head) and new.endswith(tail) else own.lower()
+            if re.search(r"\d", own) and not re.search(r"[^\W\d_]", new):  # a number: its own digits, the rest as the digits they look like
+                new = own.translate(LIKE_DIGITS)
             out = out[:a] + (new.upper() if own.isupper() and len(own) > 1 else new[:1].upper() + new[1:] if own[:1].isupper() else new) + out[b:]
         i = best[n][i][1]
     return out, misread
 
 
-def decode_han(line: str, lang: Language) -> tuple[str, bool]:
-    """(corrected line, whether a character was misread), by Viterbi over characters that are taken for one another."""
-    out = LOST_COMMA.sub("，", line) if HAN.search(line) else line
-    misread = out != line
-    low = math.log(0.2)
-    pair = lambda a, b: math.log(n + 0.2) if (n := lang.han.get(a + b, 0)) else low
-    for m in re.finditer("[一-鿿]+", out):
-        run = m[0]
-        if not any(c in _HAN_BACK for c in run):
-            continue
-        states = [[c, *_HAN_BACK.get(c, "")] for c in run]
-        score = {c: pair("^", c) + (0.0 if c == run[0] else CONFUSED) for c in states[0]}
-        back: list[dict[str, str]] = []
-        for n in range(1, len(run)):
-            row, link = {}, {}
-            for c in states[n]:
-                p = max(score, key=lambda q: score[q] + pair(q, c))
-                row[c] = score[p] + pair(p, c) + (0.0 if c == run[n] else CONFUSED)
-                link[c] = p
-            score = row
-            back.append(link)
-        c = max(score, key=lambda q: score[q] + pair(q, "$"))
-        path = [c]
-        for link in reversed(back):
-            c = link[c]
-            path.append(c)
-        new = "".join(reversed(path))
-        if new != run:
+def decode_han(line: str, lang: Language, before: str = "", behind: str = "") -> tuple[str, bool]:
+    """(corrected line, whether a character was misread), by Viterbi over characters that are taken for one another.
+
+    before and behind: the characters that the text has on both sides of the line.
+    """
+    if lang.han_confused.keys().isdisjoint(line) or not HAN.search(line):
+        return line, False
+    a, b = len(line) - len(line.lstrip()), len(line.rstrip())
+    run = line[a:b]
+    text = (before[-1:] + run + behind[:1]).translate(ONE_SIGN)
+    at = len(before[-1:])
+    pair = lambda x, y: math.log(lang.han.get(x + y, 0) + 0.2)
+    doubt = False
+    for i in range(at, at + len(run)):
+        for true, p in lang.han_confused.get(run[i - at], ()):
+            gain = p
+            if i:
+                gain += pair(text[i - 1], true) - pair(text[i - 1], text[i])
+            if i + 1 < len(text):
+                gain += pair(true, text[i + 1]) - pair(text[i], text[i + 1])
+            doubt = doubt or gain > -1.0
+    if not doubt:
+        return line, False
+    states = [[(c, 0.0)] for c in text]
+    for i, c in enumerate(run):
+        states[at + i] += lang.han_confused.get(c, [])
+    score: list[tuple[float, int]] = [(p + 0.0, -1) for _, p in states[0]]
+    back: list[list[tuple[float, int]]] = [score]
+    for n in range(1, len(states)):
+        score = [max((back[-1][j][0] + pair(states[n - 1][j][0], c) + p, -j) for j in range(len(states[n - 1]))) for c, p in states[n]]
+        back.append([(s, -j) for s, j in score])
+    i = max(range(len(back[-1])), key=lambda k: (back[-1][k][0], -k))
+    new = list(run)
+    misread = False
+    for n in range(len(states) - 1, -1, -1):
+        if i and at <= n < at + len(run):
             misread = True
-            out = out[: m.start()] + new + out[m.end() :]
-    return out, misread
+            new[n - at] = states[n][i][0]
+        i = back[n][i][1]
+    return line[:a] + "".join(new) + line[b:], misread
 
 
-def cut_word(line: str, following: str | None) -> bool:
-    """Whether the last word of a body line is cut by a hyphen and goes on in the following body line."""
+def cut_word(line: str, following: str | None, lang: Language) -> bool:
+    """Whether the last word of a body line is cut by a hyphen and goes on in the following body line.
+
+    A prefix before a word like 'and' shares the end of a later word, unless the two make a known one.
+    """
     if following is None or not (m := HYPHEN.search(line)):
         return False
-    word = re.match(r"\s*([^\W\d_]+)", following)
-    if not word or word[1].lower() in SUSPENDED or HAN.search(m[1]):
+    word = LETTERS.match(following)
+    if not word or HAN.search(m[1]) or HAN.search(word[1]):
         return False
-    return not (m[1].isupper() and len(m[1]) <= 3 and re.search(r"[-‐]\s*$", line) and not word[1].isupper() and len(m[1]) < 2)
+    left, right = m[1].lower(), word[1].lower()
+    known = left + right in lang.words
+    if line.rstrip()[-1] in RARE_HYPHENS:
+        return known
+    if not known and (right in SUSPENDED or lang.words.get(right, 0) > COMMON * lang.n_words and left not in lang.words):
+        return False
+    return not (m[1].isupper() and len(m[1]) < 2 and not word[1].isupper())
+
 
+def examine(text: str, lang: Language, edges: Edges | None = None) -> tuple[list[tuple[int, str]], list[str]]:
+    """Defects (line_no, defect) of a scanned text, and its corrected body lines; a cut word's line ends with a NUL.
 
-def examine(text: str, lang: Language, following: str | None = None, before: str = "") -> tuple[list[tuple[int, str]], list[str], str | None, int]:
-    """Defects (line_no, defect) of a scanned text, its corrected body lines, its first body line, and
-    the number of its last body line if only the next page can tell whether its word goes on there (else 0).
-    following: what the next page begins with; before: what this page's first word has on the page before."""
+    edges: edge lines of the pages around this one, by distance; None where the text isn't one page of a file.
+    A word cut between two pages is put whole at the end of the first.
+    """
     lines = text.split("\n")
-    kinds = layout(lines)
+    kinds = layout(lines, lang.forms, edges)
     found = [(i + 1, k) for i, k in enumerate(kinds) if k in ("header", "page_number")]
     body = [i for i, k in enumerate(kinds) if k == "body"]
+    following = before = None
+    if edges:
+        around = {**edges, 0: lines}
+        side = lambda k, order: next((x for x in order(edges[k]) if x and judged(x, k, around, lang.forms) == "body"), None)
+        following = side(1, iter) if 1 in edges else None
+        before = side(-1, reversed) if -1 in edges else None
     repaired: list[str] = []
-    open_line = 0
-    joined = before
+    joined = HYPHEN.search(before)[1] if before and body and cut_word(before, lines[body[0]], lang) else ""
+    taken = bool(joined)
     for n, i in enumerate(body):
         line = lines[i]
         nxt = lines[body[n + 1]] if n + 1 < len(body) else following
-        is_cut = cut_word(line, nxt)
-        if n + 1 == len(body) and following is None and HYPHEN.search(line):
-            open_line = i + 1
-        tail = re.match(r"\s*([^\W\d_]+)", nxt)[1] if is_cut else ""
-        last = tail if is_cut and HYPHEN.search(line)[0].rstrip()[-1:] else ""
-        fixed, bad = decode_words(line, lang, joined, last)
-        fixed, odd = decode_han(fixed, lang)
+        is_cut = cut_word(line, nxt, lang)
+        tail = LETTERS.match(nxt)[1] if is_cut else ""
+        fixed, bad = decode_words(line, lang, joined, tail)
+        prev = lines[body[n - 1]].rstrip() if n else ""
+        fixed, odd = decode_han(fixed, lang, prev, (nxt or "").lstrip())
         if is_cut:
             found.append((i + 1, "hyphen"))
-            joined = HYPHEN.search(line)[1]
-        else:
-            joined = ""
+        joined = HYPHEN.search(line)[1] if is_cut else ""
         if bad or odd:
             found.append((i + 1, "misread"))
         gap = n and any(kinds[j] == "blank" for j in range(body[n - 1] + 1, i)) and not any(kinds[j] in ("header", "page_number") for j in range(body[n - 1] + 1, i))
         if gap:
             repaired.append("")
         repaired.append(HYPHEN.sub(lambda m: m[1] + "\0", fixed) if is_cut else fixed)
-    return found, repaired, lines[body[0]] if body else None, open_line
+    if repaired and repaired[-1].endswith("\0") and following:
+        whole = decode_words(following, lang, joined)[0]
+        repaired.append(TOKEN.search(whole)[0])
+    if taken and repaired:
+        word = TOKEN.search(repaired[0])
+        repaired[0] = repaired[0][word.end() :] if word else ""
+        if not repaired[0].strip():
+            repaired.pop(0)
+    return found, repaired
 
 
 def paragraphs(lines: list[str]) -> str:
@@ -313,133 +493,244 @@ def count_language(texts: DataFrame, share: float = SIZE) -> Language:
     least `share` of all of their kind, and LEAST, are collected, hence at most 1 / share of each kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, pairs, han = Counter(), Counter(), Counter()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for kind, seen in (("w", words), ("p", pairs), ("h", han)):
+                keys = list(seen) if kind != "p" else [a + " " + b for a, b in seen]
+                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), pa.string()), pa.array(keys, pa.string()), pa.array(list(seen.values()), pa.int64())], names=["kind", "key", "n"])
+                seen.clear()
+
+        size = 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                size += len(text)
+                if not text.isascii() and HAN.search(text):
+                    for line in text.translate(ONE_SIGN).split("\n"):
+                        if HAN.search(line):
+                            line = line.strip()
+                            han.update(map(add, line, line[1:]))
+                found = WORD.findall(text.lower().translate(ZEROS))
+                words.update(found)
+                pairs.update(zip(found, found[1:]))
+            if len(words) + len(pairs) + len(han) > 300_000:
+                yield from flush()
+        yield from flush()
+        yield pa.RecordBatch.from_arrays([pa.array(["s"]), pa.array([""]), pa.array([size], pa.int64())], names=["kind", "key", "n"])
+
+    counts = cut(texts.where("length(text) > 0").select("text").mapInArrow(run, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    total = {r["kind"]: r["n"] for r in counts.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    least = F.create_map(*(F.lit(x) for k in "whp" for x in (k, max(LEAST, int(share * total.get(k, 0))))))
+    got: dict[str, dict[str, int]] = {"w": {}, "p": {}, "h": {}}
+    for r in counts.where(F.col("n") >= least[F.col("kind")]).collect():
+        got[r["kind"]][r["key"]] = r["n"]
+    return Language(got["w"], {tuple(k.split(" ")): n for k, n in got["p"].items()}, got["h"], total.get("w", 0), total.get("s", 0))
+
+
+Event = tuple[str, str, str, str, float]
+
+
+class Observer:
+    """Sees in scanned lines what may be confusions: rare words one place from a frequent one, and Han characters that
+    fit their neighbours badly where another fits well."""
+
+    def __init__(self, lang: Language) -> None:
+        self.lang = lang
+        self.open: dict[tuple[str, str], list[tuple[str, int]]] = defaultdict(list)
+        for w, n in lang.words.items():
+            if n >= LEARN * lang.n_words and (len(w) >= 4 or w[0].isdigit() and len(w) > 1):
+                for i in range(len(w)):
+                    for k in (1, 2):
+                        if i + k <= len(w):
+                            self.open[w[:i], w[i + k :]].append((w[i : i + k], n))
+        self.next: dict[str, dict[str, int]] = defaultdict(dict)
+        for p, n in lang.han.items():
+            self.next[p[0]][p[1]] = n
+        self.rare = 20 * max(LEAST, int(SIZE * sum(lang.han.values())))
+        self.seen: dict[str, list[Event]] = {}
+
+    def words(self, text: str) -> Counter:
+        """Words of a text that may be misread."""
+        own = self.lang.words
+        return Counter(w for t in text.split() for w, _, _ in word_parts(t) if own.get(w, 0) < LEARN * 20 * self.lang.n_words)
+
+    def of_word(self, w: str) -> list[Event]:
+        """('word', true, seen, word, weight) for each confusion that turns a much more frequent word into this one."""
+        if w in self.seen:
+            return self.seen[w]
+        own, out = self.lang.words.get(w, 0), []
+        for i in range(len(w)):
+            for k in (1, 2):
+                if i + k > len(w):
+                    continue
+                seen = w[i : i + k]
+                for true, n in self.open.get((w[:i], w[i + k :]), ()):
+                    # a letter more, a letter less, another last letter: words are so inflected
+                    if true == seen or n < 20 * own or k + len(true) > 3 or k > 1 and true in seen or len(true) > 1 and seen in true or i + k == len(w) and seen.isalpha() and len(true) == 1 and not true.isdigit():
+                        continue
+                    out.append(("word", true, seen, w, float(n)))
+        total = sum(e[4] for e in out)
+        out = [(*e[:4], e[4] / total) for e in out]
+        if len(self.seen) < 300_000:
+            self.seen[w] = out
+        return out
+
+    def of_han(self, line: str) -> list[Event]:
+        """('han', true, seen, neighbours, weight) of a line's characters."""
+        s = line.strip().translate(ONE_SIGN)
+        n = list(map(self.lang.han.get, map(add, s, s[1:]), [0] * len(s)))
+        out = []
+        for i in range(1, len(n)):
+            if n[i - 1] < self.rare and n[i] < self.rare and s[i] != "0":
+                a, b = s[i - 1], s[i + 1]
+                fit = {c: (x, y) for c, x in self.next[a].items() if c != "0" and c != " " and x >= 20 * max(1, n[i - 1]) and (y := self.lang.han.get(c + b, 0)) >= 20 * max(1, n[i])}
+                total = sum(x * y for x, y in fit.values())
+                out += [("han", c, s[i], a + b, x * y / total) for c, (x, y) in fit.items() if c != s[i]]
+        return out
+
+
+def learn_confusions(pages: DataFrame, lang: Language) -> None:
+    """Fill in the confusions of `lang` from all scanned pages(text); those are kept that
+    several different words show, or whose Han character does so often, and that have a ten-thousandth of all sightings; at most some 10,000 reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        eye = Observer(lang)
         seen: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
             keys = list(seen)
-            made = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([seen[k] for k in keys], pa.int64())], names=["kind", "key", "n"])
+            made = pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.string()) for i in range(4)), pa.array([seen[k] for k in keys], pa.float64())], names=["kind", "true", "seen", "place", "n"])
             seen.clear()
             return made
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for line in text.split("\n"):
-                    if not line.isascii() and HAN.search(line):
-                        for m in re.finditer("[一-鿿]+", line):
-                            r = f"^{m[0]}$"
-                            seen.update(("h", r[i : i + 2]) for i in range(len(r) - 1))
-                    words = re.findall(r"[^\W\d_一-鿿]{2,}|[.;:?!]", line.lower())
-                    seen.update(("w", w) for w in words if len(w) > 1)
-                    seen.update(("p", a + " " + b) for a, b in zip(words, words[1:]) if len(a) > 1 and len(b) > 1)
-            if len(seen) > 300_000:
+                seen["size", "", "", ""] += len(text)
+                for w, n in eye.words(text).items():
+                    for *key, p in eye.of_word(w):
+                        seen[tuple(key)] += n * p
+                if not text.isascii():
+                    for line in text.split("\n"):
+                        if HAN.search(line):
+                            for *key, p in eye.of_han(line):
+                                seen[tuple(key)] += p
+            if len(seen) > 200_000:
                 yield flush()
         yield flush()
 
-    counts = cut(texts.where("length(text) > 0").mapInArrow(run, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    total = {r["kind"]: r["n"] for r in counts.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-    least = F.create_map(*(F.lit(x) for k in "whp" for x in (k, max(LEAST, int(share * total.get(k, 0))))))
-    got: dict[str, dict[str, int]] = {"w": {}, "p": {}, "h": {}}
-    for r in counts.where(F.col("n") >= least[F.col("kind")]).collect():
-        got[r["kind"]][r["key"]] = r["n"]
-    return Language(got["w"], {tuple(k.split(" ")): n for k, n in got["p"].items()}, got["h"], total.get("w", 0), max(LEAST, int(share * total.get("w", 0))))
+    events = pages.select("text").mapInArrow(run, "kind string, true string, seen string, place string, n double").groupBy("kind", "true", "seen", "place").agg(F.sum("n").alias("n"))
+    sums = cut(events.groupBy("kind", "true", "seen").agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") > 0.3, 1)).alias("places")))
+    total = {r["kind"]: r["n"] for r in sums.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    least = F.greatest(F.lit(SIGHTINGS), F.create_map(*(F.lit(x) for k in ("word", "han", "size") for x in (k, 1e-4 * total.get(k, 0.0))))[F.col("kind")])
+    words = sums.where((F.col("kind") == "word") & (F.col("n") >= least) & (F.col("places") >= SIGHTINGS))
+    of_seen = sums.where("kind = 'han'").groupBy("seen").agg(F.sum("n").alias("all"), F.max("n").alias("top"), F.lit("han").alias("kind")).where(F.col("all") >= least)
+    han = sums.join(F.broadcast(of_seen), ["kind", "seen"]).where("n >= 0.05 * top").select(*words.columns)
+    rows = words.unionByName(han).collect()
+    chances(lang, [(r["kind"], r["true"], r["seen"], r["n"]) for r in rows], total.get("size", 0.0) / max(1, lang.size))
+
+
+def chances(lang: Language, sums: list[tuple[str, str, str, float]], share: float) -> None:
+    """Set the confusions of `lang` from (kind, true, seen, sightings): the log of the share of a true character's places
+    in scanned text, which is `share` of all."""
+    places: Counter = Counter()
+    for w, n in lang.words.items():
+        for k in (1, 2):
+            for i in range(len(w) - k + 1):
+                places["word", w[i : i + k]] += n
+    for p, n in lang.han.items():
+        places["han", p[0]] += n
+    top: dict[tuple[str, str], float] = defaultdict(float)
+    for kind, _, seen, n in sums:
+        top[kind, seen] = max(top[kind, seen], n)
+    for kind, true, seen, n in sorted(sums):
+        if n >= 0.05 * top[kind, seen]:
+            into = lang.confused if kind == "word" else lang.han_confused
+            into.setdefault(seen, []).append((true, math.log(min(0.2, n / max(n, share * places[kind, true])))))
+
+
+def scanned_pages(records: DataFrame) -> DataFrame:
+    """(record_table, record_id, text, paged, around) of the scanned texts of records(record_table, record_id, file_path, page_num, text).
+
+    paged: whether the text is a page of a known file; around: edge lines of the page itself and the pages up to two before and
+    behind, as (distance, lines). Pages meet by a join on file and page number, so that no file is held in one task;
+    of several records of one page, the neighbours see that of least id. Null, empty and other texts give no row.
+    """
+    shape_ = "record_table string, record_id bigint, file_path string, page_num int, text string, lines array<string>"
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            split = [t.split("\n") for t in batch.column(4).to_pylist()]
+            keep = [scanned(x) for x in split]
+            kept = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([edge_lines(x) for x, k in zip(split, keep) if k], pa.list_(pa.string()))], names=["record_table", "record_id", "file_path", "page_num", "text", "lines"])
 
+    rows = records.where("length(text) > 0").select("record_table", F.col("record_id").cast("bigint").alias("record_id"), "file_path", F.col("page_num").cast("int").alias("page_num"), "text")
+    own = cut(rows.mapInArrow(look, shape_))
+    key = ["record_table", "file_path", "page_num"]
+    pages = own.where("file_path is not null and page_num is not null").groupBy(*key).agg(F.min_by("lines", F.struct("record_id", "lines")).alias("lines"))
+    distances = F.explode(F.array(*(F.lit(k) for k in sorted({*REACH, 0})))).alias("distance")
+    sides = pages.select(*key, "lines", distances).select("record_table", "file_path", (F.col("page_num") - F.col("distance")).alias("page_num"), F.struct("distance", "lines").alias("side"))
+    around = sides.groupBy(*key).agg(F.sort_array(F.collect_list("side")).alias("around"))
+    return own.drop("lines").join(around, key, "left").select("record_table", "record_id", "text", (F.col("file_path").isNotNull() & F.col("page_num").isNotNull()).alias("paged"), "around")
 
-def defects(records: DataFrame, lang: Language) -> DataFrame:
-    """(record_table, record_id, line_no, defect) of records(record_table, record_id, file_path, page_num, text).
 
-    Texts that aren't scanned, null and empty ones give no row; copied rows give theirs once. Whether a word
-    cut at the end of a page goes on is read from the first body line of the page after it in the same file, found
-    by a join on file and page number, so that no file is held in one task.
-    """
+def _edges(sides: list[dict] | None) -> Edges:
+    return {s["distance"]: s["lines"] for s in sides or ()}
+
+
+def learn_forms(pages: DataFrame, lang: Language) -> None:
+    """Fill in the forms of `lang`: shapes of lines at page edges of which FORM_SHARE are headers or page numbers by the pages around them,
+    and that at least five pages and a ten-thousandth of all such lines have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
         for batch in batches:
-            out: list[tuple] = []
-            for table, rid, path, page, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if not scanned(text.split("\n")):
-                    continue
-                found, _, first, open_line = examine(text, lang)
-                out += [(table, rid, path, page, n, d) for n, d in found]
-                if page is not None:
-                    word = re.match(r"\s*([^\W\d_]+)", first or "")
-                    if word and word[1].lower() not in SUSPENDED:
-                        out.append((table, rid, path, page - 1, 0, "goes on"))
-                    if open_line:
-                        out.append((table, rid, path, page, open_line, "open"))
-            cols = list(zip(*out)) or [()] * 6
-            types = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=["record_table", "record_id", "file_path", "page_num", "line_no", "defect"])
-
-    shape = "record_table string, record_id bigint, file_path string, page_num int, line_no int, defect string"
-    rows = records.where("length(text) > 0").select("record_table", F.col("record_id").cast("bigint").alias("record_id"), "file_path", F.col("page_num").cast("int").alias("page_num"), "text")
-    lines = cut(rows.mapInArrow(run, shape))
-    own = ["record_table", "record_id", "line_no", "defect"]
-    ahead = lines.where("defect = 'goes on'").select("record_table", "file_path", "page_num").distinct()
-    over = lines.where("defect = 'open'").join(ahead, ["record_table", "file_path", "page_num"], "left_semi").withColumn("defect", F.lit("hyphen"))
-    return lines.where("defect not in ('goes on', 'open')").select(*own).unionByName(over.select(*own)).distinct()
+            for sides in batch.column(0).to_pylist():
+                edges = _edges(sides)
+                for x in edges.get(0, ()):
+                    if x and not SENTENCE_END.search(x):
+                        seen[shape(x), judged(x, 0, edges, {})] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["shape", "kind", "n"])
 
+    counts = cut(pages.where("size(around) > 1").select("around").mapInArrow(run, "shape string, kind string, n bigint").groupBy("shape", "kind").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    all_ = counts.groupBy("shape").agg(F.sum("n").alias("all"), F.max_by("kind", "n").alias("kind"), F.max("n").alias("n"))
+    for r in all_.where((F.col("all") >= max(5, int(1e-4 * total))) & (F.col("n") >= FORM_SHARE * F.col("all")) & (F.col("kind") != "body")).collect():
+        lang.forms[r["shape"]] = r["kind"]
 
-def page_ends(text: str) -> tuple[str, str]:
-    """(first word, last body line if a word may be cut there) of a scanned page; the word with the marks on it,
-    and whole if lines of nothing but a part of it follow each other."""
-    lines = text.split("\n")
-    body = (x for x in lines if layout([x]) == ["body"])
-    word, x = "", next(body, None)
-    while x is not None:
-        word += TOKEN.search(x)[0]
-        if x.strip() != TOKEN.search(x)[0] or not cut_word(x, x := next(body, None)):
-            break
-        word = HYPHEN.sub(r"\1", word)
-    last = next((x for x in reversed(lines) if layout([x]) == ["body"]), "")
-    return word, last if HYPHEN.search(last) else ""
 
+def train(records: DataFrame, pages: DataFrame) -> Language:
+    """Language of all records(text), with the confusions and forms of the scanned pages."""
+    lang = count_language(records)
+    learn_confusions(pages, lang)
+    learn_forms(pages, lang)
+    return lang
 
-def repaired_page(text: str, lang: Language, following: str | None = None, ended: str | None = None) -> str:
-    """A scanned text as paragraphs; following: the first word of the next page, ended: the last body line of the page before.
 
-    A word cut between two pages is put whole at the end of the first.
-    """
-    lines = text.split("\n")
-    own = [x for x, k in zip(lines, layout(lines)) if k == "body"] if following or ended else []
-    taken = bool(ended and own) and cut_word(ended, own[0])
-    body = examine(text, lang, following, HYPHEN.search(ended)[1] if taken else "")[1]
-    if following and body and body[-1].endswith("\0"):
-        body.append(decode_words(following, lang, HYPHEN.search(own[-1])[1])[0])
-    while taken and body:
-        word = TOKEN.search(body[0])
-        body[0] = body[0][word.end() :] if word else ""
-        taken = bool(word) and word[0].endswith("\0")
-        if not body[0].strip():
-            body.pop(0)
-    return paragraphs(body)
-
-
-def repaired(records: DataFrame, lang: Language) -> DataFrame:
-    """(record_table, record_id, text) of scanned records: paragraphs without page marks, cut words joined, misread words corrected.
-
-    A word that goes on on the next page of its file stands whole on the first of the two; pages meet by a join on
-    file and page number of one word and one line of the pages where a word may be cut. Of several records of one
-    page, the neighbours see that of least id.
-    """
-    page = ["record_table", "file_path", "page_num"]
+def defects(pages: DataFrame, lang: Language) -> DataFrame:
+    """(record_table, record_id, line_no, defect) of scanned_pages; copied rows give theirs once."""
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(t, i, f, n, *page_ends(x)) for t, i, f, n, x in zip(*(c.to_pylist() for c in batch.columns)) if scanned(x.split("\n"))]
-            cols = list(zip(*out)) or [()] * 6
-            types = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=["record_table", "record_id", "file_path", "page_num", "word", "line"])
+            out: list[tuple] = []
+            for table, rid, text, paged, sides in zip(*(c.to_pylist() for c in batch.columns)):
+                out += [(table, rid, n, d) for n, d in examine(text, lang, _edges(sides) if paged else None)[0]]
+            cols = list(zip(*out)) or [()] * 4
+            types = [pa.string(), pa.int64(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=["record_table", "record_id", "line_no", "defect"])
+
+    return pages.mapInArrow(run, "record_table string, record_id bigint, line_no int, defect string").distinct()
+
+
+def repaired(pages: DataFrame, lang: Language) -> DataFrame:
+    """(record_table, record_id, text) of scanned_pages: paragraphs without page marks, cut words joined, misread words corrected.
+
+    A word that goes on on the next page of its file stands whole on the first of the two. Copied rows give theirs once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(t, i, repaired_page(x, lang, following, ended)) for t, i, x, following, ended in zip(*(c.to_pylist() for c in batch.columns)) if scanned(x.split("\n"))]
+            out = [(t, i, paragraphs(examine(x, lang, _edges(sides) if paged else None)[1])) for t, i, x, paged, sides in zip(*(c.to_pylist() for c in batch.columns))]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in ((0, pa.string()), (1, pa.int64()), (2, pa.string()))], names=["record_table", "record_id", "text"])
 
-    rows = records.where("length(text) > 0").select("record_table", F.col("record_id").cast("bigint").alias("record_id"), "file_path", F.col("page_num").cast("int").alias("page_num"), "text")
-    ends = cut(rows.where("file_path is not null and page_num is not null").mapInArrow(look, "record_table string, record_id bigint, file_path string, page_num int, word string, line string"))
-    words = ends.where("word <> ''").groupBy(*page).agg(F.min_by("word", "record_id").alias("word"))
-    cuts = ends.groupBy(*page).agg(F.min_by("line", "record_id").alias("line"), F.max(F.col("line") != "").alias("any")).where("any").drop("any")
-    met = cuts.withColumn("next", F.col("page_num") + 1).join(words.withColumnRenamed("page_num", "next"), ["record_table", "file_path", "next"])
-    sides = met.select(*page, F.col("word").alias("following"), F.lit(None).cast("string").alias("ended")).unionByName(met.where("line <> ''").select("record_table", "file_path", F.col("next").alias("page_num"), F.lit(None).cast("string").alias("following"), F.col("line").alias("ended")))
-    near = sides.groupBy(*page).agg(F.max("following").alias("following"), F.max("ended").alias("ended"))
-    return rows.distinct().join(near, page, "left").select("record_table", "record_id", "text", "following", "ended").mapInArrow(run, "record_table string, record_id bigint, text string")
+    return pages.mapInArrow(run, "record_table string, record_id bigint, text string").distinct()

@@ -168,13 +168,15 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Lines of scanned texts that carry marks of page layout or recognition."""
     records = _records(spark, d)
-    return ocr.defects(records, ocr.count_language(records))
+    pages = ocr.scanned_pages(records)
+    return ocr.defects(pages, ocr.train(records, pages))
 
 
 def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
     """The scanned texts as continuous paragraphs."""
     records = _records(spark, d)
-    return ocr.repaired(records, ocr.count_language(records))
+    pages = ocr.scanned_pages(records)
+    return ocr.repaired(pages, ocr.train(records, pages))
 
 
 QUERIES = {

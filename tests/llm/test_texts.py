@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -100,21 +101,33 @@ PAGE = "Faded Index / PH-12345\nThe glossary of the stable estuary simplified th
 
 
 def language():
-    words = ocr.LATIN.findall(PAGE.lower().replace("stati0n", "station")) + ["harvest", "evening", "station"]
-    return ocr.Language({w: 500 for w in words}, {}, {}, 20_000, 4)
+    words = re.findall(r"[^\W\d_]+", PAGE.lower().replace("stati0n", "station")) + ["harvest", "evening", "station"]
+    return ocr.Language({w: 500 for w in words}, {}, {}, 20_000, 0, {"0": [("o", -4.0)], "1": [("i", -4.0)], "c": [("e", -4.0)]}, {}, {"Aa Aa / A-#": "header"})
 
 
 def test_scanned_page():
-    found, body, first, left = ocr.examine(PAGE, language())
+    found, body = ocr.examine(PAGE, language())
     assert sorted(found) == [(1, "header"), (2, "hyphen"), (4, "hyphen"), (4, "misread"), (5, "hyphen"), (8, "page_number")]
     text = ocr.paragraphs(body)
     assert "harvest at" in text and "station was" in text and "Page" not in text and "Index" not in text
-    assert first.startswith("The glossary") and left == 0
 
 
 @pytest.mark.parametrize("line", ["- 12 -", "[4]", "—77—", "· 4 ·", "第 3 页", "第3页 共9页", "p. l2", "Page 3 of 9", "42", "iv"])
 def test_page_numbers(line):
-    assert ocr.layout([line]) == ["page_number"]
+    assert ocr.layout([line], {}, {}) == ["page_number"]
+
+
+def test_page_numbers_of_any_style_count_on():
+    body = ["The glossary of the estuary and the pump of the station was drained"] * 8
+    edges = {k: ocr.edge_lines([*body, f"Blatt <{40 + k}>"]) for k in (-1, 1, 2)}
+    assert ocr.layout([*body, "Blatt <40>"], {}, edges)[-1] == "page_number"
+    assert ocr.layout([*body, "Blatt <57>"], {}, edges)[-1] == "body"
+    assert ocr.layout([*body, "was drained at", "80", "Blatt <40>"], {}, edges)[-2] == "body"
+
+
+@pytest.mark.parametrize(("number", "n"), [("l2", 12), ("5O", 50), ("xiv", 14), ("IX", 9), ("十二", 12), ("二百三十", 230), ("二〇", 20)])
+def test_numerals(number, n):
+    assert ocr.value(number) == n
 
 
 def test_digital_text_is_not_scanned():
@@ -123,30 +136,93 @@ def test_digital_text_is_not_scanned():
 
 
 def test_suspended_compounds_are_not_cut():
-    assert not ocr.cut_word("alle Vor-", "und Nachteile") and ocr.cut_word("die Mem-", "branen") and not ocr.cut_word("die Mem-", None)
+    lang = language()
+    assert not ocr.cut_word("alle Vor-", "und Nachteile", lang) and ocr.cut_word("die Mem-", "branen", lang) and not ocr.cut_word("die Mem-", None, lang)
+    assert ocr.cut_word("the harv=", "est", lang) and not ocr.cut_word("the pump=", "est", lang)
+
+
+RECORD = "record_table string, record_id bigint, file_path string, page_num int, text string"
 
 
 def test_defects_over_pages(spark):
     def page(n, last):
-        return "\n".join(["The reliable committee of the station was drained"] * 5 + [last])
+        return "\n".join([f"The {w} committee {n} of the {w} station was drained" for w in ("reliable", "stable", "narrow", "hollow", "porous")] + [last])
 
-    data = [("loaded_pages", 1, "f", 1, page(1, "the cart-")), ("loaded_pages", 2, "f", 2, "ridge " + page(2, "the term-")), ("loaded_pages", 3, "g", 1, None), ("loaded_pages", 4, "g", 2, ""), ("loaded_pages", 1, "f", 1, page(1, "the cart-"))]
-    rows = spark.createDataFrame(data, "record_table string, record_id bigint, file_path string, page_num int, text string")
-    got = {tuple(r) for r in ocr.defects(rows, ocr.count_language(rows)).collect()}
+    data = [("loaded_pages", 1, "f", 1, page(1, "the cart-")), ("loaded_pages", 2, "f", 2, "ridge " + page(2, "the term-")), ("loaded_pages", 3, "g", 1, None), ("loaded_pages", 4, "g", 2, ""), ("loaded_pages", 1, "f", 1, page(1, "the cart-")), ("cleaning_results", 5, None, None, page(1, "the cart-"))]
+    rows = spark.createDataFrame(data, RECORD)
+    pages = ocr.scanned_pages(rows)
+    got = {tuple(r) for r in ocr.defects(pages, ocr.train(rows, pages)).collect()}
     assert got == {("loaded_pages", 1, 6, "hyphen")}
+    none = ocr.scanned_pages(rows.limit(0))
+    assert ocr.defects(none, ocr.train(rows.limit(0), none)).count() == 0
 
 
 def test_words_cut_between_pages_are_joined(spark):
     def page(first, last):
-        return "\n".join([first, *["the reliable committee of the station was drained"] * 4, last])
+        return "\n".join([first, *["the reliable committee of the station was drained"] * 4, "the pump of the " + first[:6] + " glossary rests", last])
 
     data = [("loaded_pages", 1, "f", 1, page("the glossary of the estuary and the pump", "simplified the harv-")), ("loaded_pages", 2, "f", 2, page("est, at a rate of units per hour and then", "before the even-")), ("loaded_pages", 3, "f", 3, "Page 3 of 9\n" + page("1ng the doors were sealed for a reason", "and the even-")), ("loaded_pages", 4, "f", 5, page("ing of the station was left alone by it", "the committee")), ("loaded_pages", 5, "g", 1, page("the glossary of the estuary and the pump", "simplified the harv-")), ("loaded_pages", 6, "g", 2, page("cst at a rate of units per hour and then", "the committee"))]
-    rows = spark.createDataFrame([*data, data[0]], "record_table string, record_id bigint, file_path string, page_num int, text string")
-    got = {r["record_id"]: r["text"] for r in ocr.repaired(rows, language()).collect()}
+    rows = spark.createDataFrame([*data, data[0]], RECORD)
+    got = {r["record_id"]: r["text"] for r in ocr.repaired(ocr.scanned_pages(rows), language()).collect()}
     assert got[1].endswith("simplified the harvest,") and got[2].startswith("at a rate")
-    assert got[2].endswith("before the even-") and got[3].endswith("the even-") and got[4].startswith("ing of")
+    assert got[3].endswith("the even-") and got[4].startswith("ing of")
     assert got[5].endswith("simplified the harvest") and got[6].startswith("at a rate")
-    assert ocr.page_ends("harv-\nest-\nate of it\nthe pump\nthe even-") == ("harvestate", "the even-")
+
+
+def planted(seed=4, files=12, pages=10):
+    """Pages with noise of other kinds than the tables have: (rows, true defects)."""
+    rnd = random.Random(seed)
+    vocabulary = ["".join(rnd.choice("bdfgklmnprstvw") + rnd.choice("aeiou") for _ in range(rnd.randint(2, 5))) for _ in range(300)]
+    han = ["".join(chr(rnd.randint(0x5000, 0x5200)) for _ in range(rnd.randint(2, 4))) for _ in range(150)]
+    confused, shapes = [("g", "q"), ("k", "lc"), ("w", "\u03c9"), ("d", "ð")], [(w[0], "\u7c73") for w in han[:2]]
+    rows, true, rid = [], set(), 0
+    for f in range(files):
+        zh = f % 3 == 2
+        title = "".join(rnd.sample(han, 3)) if zh else " ".join(w.title() for w in rnd.sample(vocabulary, 3))
+        for p in range(pages):
+            rid += 1
+            lines = [title if rnd.random() < 0.8 else title.replace(title[2], "#", 1)]
+            defects = {(1, "header")}
+            for n in range(14):
+                line, bad = "", False
+                while len(line) < (28 if zh else 60):
+                    w = rnd.choice(han if zh else vocabulary)
+                    if rnd.random() < 0.03:
+                        new = w
+                        for a, b in shapes if zh else confused:
+                            if a in w:
+                                new = w.replace(a, b, 1)
+                                break
+                        bad, w = bad or new != w, new
+                    line += w + ("，" if zh and rnd.random() < 0.2 else "" if zh else " ")
+                if not zh and n < 13 and rnd.random() < 0.3:
+                    w = rnd.choice(vocabulary)
+                    lines.append(line + w[:2] + "‐")
+                    defects.add((len(lines), "hyphen"))
+                    rest = w[2:] + " "
+                else:
+                    lines.append(line.strip())
+                    rest = ""
+                if bad:
+                    defects.add((len(lines), "misread"))
+                if rest:
+                    lines.append(rest + rnd.choice(vocabulary) + " " + " ".join(rnd.sample(vocabulary, 6)))
+            lines.append(f"≡ Blatt {p + 31} ≡" if f % 2 else f"<{p + 7}>")
+            defects.add((len(lines), "page_number"))
+            rows.append(("loaded_pages", rid, f"f{f}", p, "\n".join(lines)))
+            true |= {("loaded_pages", rid, n, d) for n, d in defects}
+    return rows, true
+
+
+def test_noise_of_other_kinds(spark):
+    rows, true = planted()
+    records = spark.createDataFrame(rows, RECORD)
+    pages = ocr.scanned_pages(records)
+    got = {tuple(r) for r in ocr.defects(pages, ocr.train(records, pages)).collect()}
+    for kind, least in (("header", 0.97), ("page_number", 0.97), ("hyphen", 0.97), ("misread", 0.9)):
+        want, found = {x for x in true if x[3] == kind}, {x for x in got if x[3] == kind}
+        assert len(want & found) >= least * len(want), kind
+        assert len(want & found) >= 0.9 * len(found), kind
 
 
 @settings(max_examples=80, deadline=None)
