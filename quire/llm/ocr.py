@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -51,6 +52,7 @@ HAN_DIGITS = {c: i for i, c in enumerate("零一二三四五六七八九")} | {"
 # Signs that a word may be cut with; the second ones only where the joined word is known.
 HYPHENS = "-‐‑¬\xad–‒"
 RARE_HYPHENS = "—―⁃−﹣－֊⸗᠆=~_"
+ANY_HYPHEN = {*HYPHENS, *RARE_HYPHENS}
 HYPHEN = re.compile(rf"([^\W\d_]+)[{HYPHENS}{RARE_HYPHENS}]\s*$")
 # Words before which a prefix is left standing that shares the end of a later word.
 SUSPENDED = {"und", "oder", "bzw", "sowie", "bis", "and", "or", "et", "ou", "to", "als", "beziehungsweise", "wie", "nor", "than", "versus", "soit", "ni"}
@@ -61,9 +63,14 @@ HAN = re.compile("[一-鿿]")
 WORD = re.compile(r"[^\W_一-鿿]+(?:[.,][^\W_一-鿿]+)*|[.;:?!]")
 LETTERS = re.compile(r"\s*([^\W\d_]+)")
 BEFORE, AFTER = "([{«»“”\"'’‘„—–-", ".,;:?!)]}«»“”\"'’‘—–-‐‑¬\xad"
-ZEROS = str.maketrans("123456789", "000000000")
+ZEROS = bytes.maketrans(b"123456789", b"000000000")
 # Han text is seen with all letters and digits as one.
-ONE_SIGN = str.maketrans({c: "0" for c in "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+ONE_SIGN = bytes.maketrans((_ASCII := (string.digits + string.ascii_letters).encode()), b"0" * len(_ASCII))
+
+
+def translated(text: str, table: bytes) -> str:
+    """A text with ASCII characters replaced; on bytes, as that is much faster where other characters occur."""
+    return text.encode("utf-8", "surrogatepass").translate(table).decode("utf-8", "surrogatepass")
 
 
 def scanned(lines: list[str]) -> bool:
@@ -76,10 +83,10 @@ def scanned(lines: list[str]) -> bool:
     return on >= 0.3 * len(sizes)
 
 
-def edge_lines(lines: list[str]) -> list[str]:
-    """The first and last lines of a page that aren't blank: at most EDGE of each, in their order, '' between them."""
+def edge_lines(lines: list[str]) -> tuple[list[str], list[str]]:
+    """The first and the last lines of a page that aren't blank: at most EDGE of each, from the edge inwards."""
     own = [x for x in lines if x.strip()]
-    return [*own[:EDGE], "", *own[max(EDGE, len(own) - EDGE) :]]
+    return own[:EDGE], own[: -EDGE - 1 : -1]
 
 
 @lru_cache(maxsize=100_000)
@@ -162,22 +169,35 @@ def shape(line: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"[^\W\d_]+", lambda m: "a" if not m[0][0].isupper() else "A" if m[0].isupper() else "Aa", x))
 
 
-Edges = dict[int, list[str]]
+# The first and the last lines of pages, from the edge inwards, by distance.
+Edges = dict[int, tuple[list[str], list[str]]]
 
 
-def judged(line: str, page: int, edges: Edges, forms: dict[str, str]) -> str:
-    """'header', 'page_number' or 'body' for a line at the edge of page number `page`, by the edges of pages around it."""
-    fold, need = folded(line), needed(line)
-    again = 0
+def judged(line: str, page: int, end: int, edges: Edges, forms: dict[str, str]) -> str:
+    """'header', 'page_number' or 'body' for a line at the top (end 0) or bottom (end 1) of page `page`, by the edges of pages around it."""
+    need, again = needed(line), 0
     if numbered(style(line)):
-        if any(counts_on(line, x, k - page) for k, lines in edges.items() if k != page for x in lines):
+        if any(counts_on(line, x, k - page) for k, sides in edges.items() if k != page for x in sides[end]):
             return "page_number"
-        if len(style(line)) == 1 and any(len(style(x)) > 1 and numbered(style(x)) and PAGE_NUMBER.match(x) for lines in edges.values() for x in lines):
+        if len(style(line)) == 1 and any(len(x) < 40 and len(style(x)) > 1 and numbered(style(x)) and PAGE_NUMBER.match(x) for sides in edges.values() for x in sides[end]):
             return "body"
     elif need < 1000:
-        for k, lines in edges.items():
-            again += k != page and any(nearly(fold, folded(x)) for x in lines)
-    return "header" if again >= need else by_form(line, forms, page and edges.get(page) or edges.get(0, ()))
+        fold, size = folded(line), len(line.strip())
+        for k, sides in edges.items():
+            # a number beside the header may come or go, with the space between
+            again += k != page and any(abs(len(x.strip()) - size) < 16 and nearly(fold, folded(x)) for x in sides[end])
+    return "header" if again >= need else by_form(line, forms, [x for sides in edges.get(page, ()) for x in sides])
+
+
+def marks(page: int, edges: Edges, forms: dict[str, str]) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """(line, kind) of the top and of the bottom of a page, from the edge inwards; behind the first body line all are body."""
+    out: tuple[list, list] = ([], [])
+    for end, lines in enumerate(edges[page]):
+        kind = ""
+        for x in lines:
+            kind = kind if kind == "body" else judged(x, page, end, edges, forms)
+            out[end].append((x, kind))
+    return out
 
 
 def by_form(line: str, forms: dict[str, str], lines: Iterable[str] = ()) -> str:
@@ -195,12 +215,10 @@ def layout(lines: list[str], forms: dict[str, str], edges: Edges | None = None)
     kinds = ["body" if x.strip() else "blank" for x in lines]
     own = [i for i, k in enumerate(kinds) if k == "body"]
     if edges is not None:
-        around = {**edges, 0: lines}
-        for edge in (own[:EDGE], own[: -EDGE - 1 : -1]):
-            for i in edge:
-                if (kind := judged(lines[i], 0, around, forms)) == "body":
-                    break
-                kinds[i] = kind
+        for at, found in zip((own[:EDGE], own[: -EDGE - 1 : -1]), marks(0, {**edges, 0: edge_lines(lines)}, forms)):
+            for i, (_, kind) in zip(at, found):
+                if kind != "body":
+                    kinds[i] = kind
         return one_style(lines, kinds)
     width = sorted(len(lines[i].strip()) for i in own)[len(own) * 9 // 10]
     seen: dict[str, list[int]] = defaultdict(list)
@@ -249,10 +267,11 @@ class Language:
     han_confused: dict[str, list[tuple[str, float]]] = field(default_factory=dict)
     forms: dict[str, str] = field(default_factory=dict)
     _known: dict[str, bool] = field(default_factory=dict, repr=False)
+    _threes: dict[str, bool] = field(default_factory=dict, repr=False)
     _made: dict[str, list[tuple[str, float]]] = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
-        return self.__dict__ | {"_known": {}, "_made": {}}
+        return self.__dict__ | {"_known": {}, "_threes": {}, "_made": {}}
 
     def after(self, a: str, b: str) -> float:
         """log P(b | a), interpolated with the frequency of b."""
@@ -288,6 +307,16 @@ class Language:
         spared = max(UNSEEN, own - 2 * sum(self.words[w] * math.exp(p) for w, p in others))
         return math.log(min(1.0, spared / own))
 
+    def doubtful(self, three: str) -> bool:
+        """Whether the middle one of three characters, of which the others may be line ends, is nearly as likely or likelier another one."""
+        if (known := self._threes.get(three)) is None:
+            a, c, b = three
+            fit = lambda x: math.log(self.han.get(a + x, 0) + 0.2) * (a != "\n") + math.log(self.han.get(x + b, 0) + 0.2) * (b != "\n")
+            known = any(p + fit(true) - fit(c) > -1.0 for true, p in self.han_confused.get(c, ()))
+            if len(self._threes) < 1_000_000:
+                self._threes[three] = known
+        return known
+
     def sound(self, token: str) -> bool:
         """Whether no word of a token, as it stands between spaces, can be misread."""
         if (known := self._known.get(token)) is None:
@@ -306,7 +335,7 @@ def word_parts(token: str) -> list[tuple[str, int, int]]:
             a += 1
         while b > a and token[b - 1] in AFTER:
             b -= 1
-        w = token[a:b].lower().translate(ZEROS)
+        w = translated(token[a:b].lower(), ZEROS)
         # letters before a number in a code mean nothing; short words are like too many others
         if len(w) >= 3 or len(w) == 2 and not w.isalpha() and any(map(str.isalnum, w)):
             if not w.replace(".", "").isdigit():
@@ -374,19 +403,11 @@ def decode_han(line: str, lang: Language, before: str = "", behind: str = "") ->
         return line, False
     a, b = len(line) - len(line.lstrip()), len(line.rstrip())
     run = line[a:b]
-    text = (before[-1:] + run + behind[:1]).translate(ONE_SIGN)
+    text = translated(before[-1:] + run + behind[:1], ONE_SIGN)
     at = len(before[-1:])
     pair = lambda x, y: math.log(lang.han.get(x + y, 0) + 0.2)
-    doubt = False
-    for i in range(at, at + len(run)):
-        for true, p in lang.han_confused.get(run[i - at], ()):
-            gain = p
-            if i:
-                gain += pair(text[i - 1], true) - pair(text[i - 1], text[i])
-            if i + 1 < len(text):
-                gain += pair(true, text[i + 1]) - pair(text[i], text[i + 1])
-            doubt = doubt or gain > -1.0
-    if not doubt:
+    padded = "\n" + text + "\n"
+    if not any(c in lang.han_confused and lang.doubtful(padded[i + at : i + at + 3]) for i, c in enumerate(run)):
         return line, False
     states = [[(c, 0.0)] for c in text]
     for i, c in enumerate(run):
@@ -412,7 +433,7 @@ def cut_word(line: str, following: str | None, lang: Language) -> bool:
 
     A prefix before a word like 'and' shares the end of a later word, unless the two make a known one.
     """
-    if following is None or not (m := HYPHEN.search(line)):
+    if following is None or line.rstrip()[-1:] not in ANY_HYPHEN or not (m := HYPHEN.search(line)):
         return False
     word = LETTERS.match(following)
     if not word or HAN.search(m[1]) or HAN.search(word[1]):
@@ -438,10 +459,9 @@ def examine(text: str, lang: Language, edges: Edges | None = None) -> tuple[list
     body = [i for i, k in enumerate(kinds) if k == "body"]
     following = before = None
     if edges:
-        around = {**edges, 0: lines}
-        side = lambda k, order: next((x for x in order(edges[k]) if x and judged(x, k, around, lang.forms) == "body"), None)
-        following = side(1, iter) if 1 in edges else None
-        before = side(-1, reversed) if -1 in edges else None
+        around = {**edges, 0: edge_lines(lines)}
+        side = lambda k, end: next((x for x, kind in marks(k, around, lang.forms)[end] if kind == "body"), None) if k in edges else None
+        following, before = side(1, 0), side(-1, 1)
     repaired: list[str] = []
     joined = HYPHEN.search(before)[1] if before and body and cut_word(before, lines[body[0]], lang) else ""
     taken = bool(joined)
@@ -458,7 +478,7 @@ def examine(text: str, lang: Language, edges: Edges | None = None) -> tuple[list
         joined = HYPHEN.search(line)[1] if is_cut else ""
         if bad or odd:
             found.append((i + 1, "misread"))
-        gap = n and any(kinds[j] == "blank" for j in range(body[n - 1] + 1, i)) and not any(kinds[j] in ("header", "page_number") for j in range(body[n - 1] + 1, i))
+        gap = n and i > body[n - 1] + 1 and any(kinds[j] == "blank" for j in range(body[n - 1] + 1, i)) and not any(kinds[j] in ("header", "page_number") for j in range(body[n - 1] + 1, i))
         if gap:
             repaired.append("")
         repaired.append(HYPHEN.sub(lambda m: m[1] + "\0", fixed) if is_cut else fixed)
@@ -506,11 +526,11 @@ def count_language(texts: DataFrame, share: float = SIZE) -> Language:
             for text in batch.column(0).to_pylist():
                 size += len(text)
                 if not text.isascii() and HAN.search(text):
-                    for line in text.translate(ONE_SIGN).split("\n"):
+                    for line in translated(text, ONE_SIGN).split("\n"):
                         if HAN.search(line):
                             line = line.strip()
                             han.update(map(add, line, line[1:]))
-                found = WORD.findall(text.lower().translate(ZEROS))
+                found = WORD.findall(translated(text.lower(), ZEROS))
                 words.update(found)
                 pairs.update(zip(found, found[1:]))
             if len(words) + len(pairs) + len(han) > 300_000:
@@ -548,11 +568,17 @@ class Observer:
             self.next[p[0]][p[1]] = n
         self.rare = 20 * max(LEAST, int(SIZE * sum(lang.han.values())))
         self.seen: dict[str, list[Event]] = {}
+        self.parts: dict[str, list[str]] = {}
 
-    def words(self, text: str) -> Counter:
+    def words(self, text: str) -> Iterator[str]:
         """Words of a text that may be misread."""
-        own = self.lang.words
-        return Counter(w for t in text.split() for w, _, _ in word_parts(t) if own.get(w, 0) < LEARN * 20 * self.lang.n_words)
+        for t in text.split():
+            if (found := self.parts.get(t)) is None:
+                own = self.lang.words
+                found = [w for w, _, _ in word_parts(t) if own.get(w, 0) < LEARN * 20 * self.lang.n_words]
+                if len(self.parts) < 300_000:
+                    self.parts[t] = found
+            yield from found
 
     def of_word(self, w: str) -> list[Event]:
         """('word', true, seen, word, weight) for each confusion that turns a much more frequent word into this one."""
@@ -577,7 +603,7 @@ class Observer:
 
     def of_han(self, line: str) -> list[Event]:
         """('han', true, seen, neighbours, weight) of a line's characters."""
-        s = line.strip().translate(ONE_SIGN)
+        s = translated(line.strip(), ONE_SIGN)
         n = list(map(self.lang.han.get, map(add, s, s[1:]), [0] * len(s)))
         out = []
         for i in range(1, len(n)):
@@ -606,9 +632,9 @@ def learn_confusions(pages: DataFrame, lang: Language) -> None:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 seen["size", "", "", ""] += len(text)
-                for w, n in eye.words(text).items():
+                for w in eye.words(text):
                     for *key, p in eye.of_word(w):
-                        seen[tuple(key)] += n * p
+                        seen[tuple(key)] += p
                 if not text.isascii():
                     for line in text.split("\n"):
                         if HAN.search(line):
@@ -651,31 +677,35 @@ def chances(lang: Language, sums: list[tuple[str, str, str, float]], share: floa
 def scanned_pages(records: DataFrame) -> DataFrame:
     """(record_table, record_id, text, paged, around) of the scanned texts of records(record_table, record_id, file_path, page_num, text).
 
-    paged: whether the text is a page of a known file; around: edge lines of the page itself and the pages up to two before and
-    behind, as (distance, lines). Pages meet by a join on file and page number, so that no file is held in one task;
+    paged: whether the text is a page of a known file; around: first and last lines of the page itself and the pages up to two before and
+    behind, each as "distance, form feed, first lines, form feed, last lines". Pages meet by a join on file and page number, so that no file is held in one task;
     of several records of one page, the neighbours see that of least id. Null, empty and other texts give no row.
     """
-    shape_ = "record_table string, record_id bigint, file_path string, page_num int, text string, lines array<string>"
+    shape_ = "record_table string, record_id bigint, file_path string, page_num int, text string, lines string"
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             split = [t.split("\n") for t in batch.column(4).to_pylist()]
             keep = [scanned(x) for x in split]
             kept = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([edge_lines(x) for x, k in zip(split, keep) if k], pa.list_(pa.string()))], names=["record_table", "record_id", "file_path", "page_num", "text", "lines"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(["\f".join("\n".join(e) for e in edge_lines([y.replace("\f", "") for y in x])) for x, k in zip(split, keep) if k], pa.string())], names=["record_table", "record_id", "file_path", "page_num", "text", "lines"])
 
     rows = records.where("length(text) > 0").select("record_table", F.col("record_id").cast("bigint").alias("record_id"), "file_path", F.col("page_num").cast("int").alias("page_num"), "text")
     own = cut(rows.mapInArrow(look, shape_))
     key = ["record_table", "file_path", "page_num"]
     pages = own.where("file_path is not null and page_num is not null").groupBy(*key).agg(F.min_by("lines", F.struct("record_id", "lines")).alias("lines"))
     distances = F.explode(F.array(*(F.lit(k) for k in sorted({*REACH, 0})))).alias("distance")
-    sides = pages.select(*key, "lines", distances).select("record_table", "file_path", (F.col("page_num") - F.col("distance")).alias("page_num"), F.struct("distance", "lines").alias("side"))
+    sides = pages.select(*key, "lines", distances).select("record_table", "file_path", (F.col("page_num") - F.col("distance")).alias("page_num"), F.concat_ws("\f", F.col("distance").cast("string"), "lines").alias("side"))
     around = sides.groupBy(*key).agg(F.sort_array(F.collect_list("side")).alias("around"))
     return own.drop("lines").join(around, key, "left").select("record_table", "record_id", "text", (F.col("file_path").isNotNull() & F.col("page_num").isNotNull()).alias("paged"), "around")
 
 
-def _edges(sides: list[dict] | None) -> Edges:
-    return {s["distance"]: s["lines"] for s in sides or ()}
+def _edges(sides: list[str] | None) -> Edges:
+    out: Edges = {}
+    for s in sides or ():
+        distance, top, bottom = s.split("\f")
+        out[int(distance)] = (top.split("\n"), bottom.split("\n"))
+    return out
 
 
 def learn_forms(pages: DataFrame, lang: Language) -> None:
@@ -687,9 +717,8 @@ def learn_forms(pages: DataFrame, lang: Language) -> None:
         for batch in batches:
             for sides in batch.column(0).to_pylist():
                 edges = _edges(sides)
-                for x in edges.get(0, ()):
-                    if x and not SENTENCE_END.search(x):
-                        seen[shape(x), judged(x, 0, edges, {})] += 1
+                for side in marks(0, edges, {}):
+                    seen.update((shape(x), kind) for x, kind in side if not SENTENCE_END.search(x))
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["shape", "kind", "n"])
 
     counts = cut(pages.where("size(around) > 1").select("around").mapInArrow(run, "shape string, kind string, n bigint").groupBy("shape", "kind").agg(F.sum("n").alias("n")))
