@@ -247,27 +247,33 @@ def test_spellings():
     assert "mass balance" in toxicity.plain("Assess the mass balance")
 
 
-CALLED = ["白痴", "人渣", "王八蛋", "idiot", "connard", "salaud ordure", "a白", "b 渣", "白 a", "白 痴 b", "ab白", "白a痴", "a白痴", "한글", "한글白", "白 한"]
+CALLED = ["白痴", "人渣", "王八蛋", "idiot", "connard", "salaud ordure", "a白", "渣 b", "白 a", "ab白", "白 ab", "a b ab", "痴 a白"]
 
 
-def unfiltered(text, token):
-    scorer = toxicity.Scorer({k: {token: 5.0} for k in toxicity.MODELS}, dict.fromkeys(toxicity.MODELS, 1.0))
-    whole = scorer.score(text)
-    scorer.calls = toxicity.Calls({token}, Counter())
-    return whole, scorer.score(text)
+def brute(text, wanted):
+    """Tokens by walking the sentences of the tokenizer."""
+    return Counter(t for words in toxicity.sentences(text) for ts in toxicity.tokens(words) for t in ts if t in wanted)
 
 
-@pytest.mark.parametrize(("text", "token"), [("白 痴", "白痴"), ("白·痴", "白痴"), ("白-痴", "白痴"), ("白_痴", "白痴"), ("白、痴", "白痴"), ("王\u3000八 - 蛋", "王八蛋"), ("connard\u00a0!", "connard"), ("你idiot啊", "idiot"), ("[idiot]", "idiot"), ("idiot2", "idiot"), ("a白痴", "a白"), ("ab 白", "ab白"), ("a b 白", "ab白"), ("白a", "白 a"), ("白痴b", "白 痴 b"), ("한글, a", "한글,")])
-def test_spellings_pass_the_filter(text, token):
-    whole, filtered = unfiltered(text, token)
-    assert filtered == whole and whole["abusive"] > 0
+@pytest.mark.parametrize(("text", "token"), [("白 痴", "白痴"), ("白·痴", "白痴"), ("白-痴", "白痴"), ("白_痴", "白痴"), ("白、痴", "白痴"), ("王\u3000八 - 蛋", "王八蛋"), ("connard\u00a0!", "connard"), ("你idiot啊", "idiot"), ("[idiot] [moron]", "moron"), ("#idiot #moron", "idiot"), ("_idiot_ _moron_", "idiot moron"), ("idiot\rmoron", "idiot moron"), ("idiot2", "idiot"), ("a白痴", "a白"), ("ab 白", "ab白"), ("白a", "白 a")])
+def test_spellings_are_met(text, token):
+    assert [t for _, t in toxicity.Matcher({token}).hits(toxicity.joined(text))] == [token]
+    assert brute(text, {token}) == {token: 1}
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(st.sampled_from("ab白痴渣한글 .、·-_'’*[2\n\u00a0!,"), max_size=12), st.sampled_from(CALLED))
-def test_the_filter_changes_no_score(text, token):
-    whole, filtered = unfiltered(text, token)
-    assert filtered == whole
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.sampled_from("ab白痴渣한글 .、·-_'’*[2\n\u00a0!,‹\t"), max_size=14), st.sets(st.sampled_from(CALLED), max_size=4))
+def test_the_matcher_meets_the_tokens_of_the_sentences(text, wanted):
+    t = toxicity.plain(text)
+    matcher = toxicity.Matcher(wanted)
+    assert Counter(x for _, x in matcher.hits(toxicity.joined(t))) == brute(t, wanted)
+    full = [w for w in toxicity.sentences(t) if any(x in wanted for ts in toxicity.tokens(w) for x in ts)]
+    strip = lambda words: "\0".join(words).strip("\0,").split("\0")
+    assert [strip(w) for w in matcher.sentences(t)] == [strip(w) for w in full]
+    scorer = toxicity.Scorer({k: dict.fromkeys(wanted, 5.0) for k in toxicity.MODELS}, dict.fromkeys(toxicity.MODELS, 1.0))
+    whole = scorer.score(text)
+    scorer.calls = matcher
+    assert scorer.score(text) == whole
 
 
 def test_toxic_documents(spark):
