@@ -38,7 +38,8 @@ DRIFT = -0.7
 PASSAGE = 4.0
 # Different documents labelled as of some kind that a token needs to be evidence at all: raters err, and one text proves nothing.
 SUPPORT = 2
-THRESHOLD = 1.0
+# A text is found if less than one harmless one in a hundred would score as it does.
+THRESHOLD = 2.0
 # Seed words, and phrases that count only as a whole, as a prior; in the order English, German, French, Chinese.
 SEEDS = {
     "abusive": "idiot idiots moron morons asshole bastard bitch scumbag dumbass halfwit imbecile clown jerk loser cretin dickhead ambulance vollidiot arschloch drecksack versager trottel dummkopf idiot hurensohn mistkerl verpiss connard connasse crétin imbécile abruti salaud ordure débile 傻逼 白痴 脑残 混蛋 王八蛋 人渣 废物 蠢货 贱人 狗东西 滚蛋 去死 闭嘴 滚远点 臭嘴 你妈 打断你的腿 扇烂 烧了你",
@@ -169,13 +170,15 @@ class Scorer:
     """Weights by kind of the tokens that tell; a position without any weighs `drift`.
 
     lam, worked out from the corpus, and k calibrate segment scores; k stands above what harmless labelled documents show
-    (0.0002 to 0.002), so that chances are rather too large than too small.
+    (0.0002 to 0.002), so that chances are rather too large than too small. To the
+    positions of a text those of a usual one are added, as else hardly anything would be by chance in a text of one sentence.
     """
 
     weights: dict[str, dict[str, float]]
     lam: dict[str, float]
     calls: Matcher | None = None
     k: float = 0.1
+    usual: float = 0.0
 
     def scan(self, here: list[list[str]], kind: str) -> list[tuple[int, int, float]]:
         """Maximal segments of a sentence, given its tokens; a position weighs as the most telling token that ends there."""
@@ -195,7 +198,7 @@ class Scorer:
         sents = [tokens(words) for words in (self.calls.sentences(t) if self.calls else sentences(t))]
         if not sents:
             return out
-        n = extent(t)[1]
+        n = extent(t)[1] + self.usual
         for kind in MODELS:
             least = math.log(max(1.0, self.k * n))
             lam = self.lam[kind]
@@ -344,8 +347,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = LABELLED_ROW
     return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).select("text", *((F.col(k) >= 0.5).alias(k) for k in KINDS))
 
 
-def count_tokens(docs: DataFrame, wanted: frozenset[str]) -> tuple[dict[str, Counter], Counter]:
-    """Over all documents, by language: counts of the wanted tokens, at most those of the labelled sample, and positions."""
+def count_tokens(docs: DataFrame, wanted: frozenset[str]) -> tuple[dict[str, Counter], Counter, int]:
+    """Over all documents, by language: counts of the wanted tokens, at most those of the labelled sample, and positions; and the number of texts."""
     calls = Matcher(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,6 +358,7 @@ def count_tokens(docs: DataFrame, wanted: frozenset[str]) -> tuple[dict[str, Cou
                 t = plain(text)
                 lang, n = extent(t)
                 seen[lang, ""] += n
+                seen[lang, "\0"] += 1
                 seen.update((lang, x) for _, x in calls.hits(joined(t)))
         keys = list(seen)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([seen[k] for k in keys], pa.int64())], names=["lang", "token", "n"])
@@ -363,7 +367,8 @@ def count_tokens(docs: DataFrame, wanted: frozenset[str]) -> tuple[dict[str, Cou
     counts: dict[str, Counter] = {k: Counter() for k in LANGUAGES}
     for r in rows:
         counts[r["lang"]][r["token"]] = r["n"]
-    return counts, Counter({lang: c.pop("", 0) for lang, c in counts.items()})
+    texts = sum(c.pop("\0", 0) for c in counts.values())
+    return counts, Counter({lang: c.pop("", 0) for lang, c in counts.items()}), texts
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Scorer:
@@ -373,7 +378,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
     labelled = [cut_up(r["text"]) for r in some]
     y = [{k: bool(r[k]) for k in KINDS} for r in some]
     wanted, harmless = wanted_tokens(labelled, [r["text"] for r in rows if not any(r[k] for k in KINDS)])
-    scorer = fit(labelled, y, wanted, harmless, *count_tokens(docs, wanted))
+    counts, positions, texts = count_tokens(docs, wanted)
+    scorer = fit(labelled, y, wanted, harmless, counts, positions)
+    scorer.usual = sum(positions.values()) / max(1, texts)
     scorer.calls = Matcher({t for w in scorer.weights.values() for t in w})
     return scorer
 
