@@ -5,7 +5,7 @@ in, and the bytes read again in the right one. Every chain that applies is tried
 description length of a stretch with some context is its zstandard-compressed size under the best of the
 languages' dictionaries, plus a charge for characters the corpus doesn't have. The chain whose total, with its
 own cost, is least wins, and the search goes on from there for texts garbled twice. Without a saving the text
-is left unchanged.
+is left unchanged; so it is where the words with the odd letters are as short to describe with letters of the same look.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.canonical import canonical
 from quire.session import spread
 
 SAMPLE_ROWS = 2000
@@ -36,6 +37,7 @@ OTHER_SCRIPT = ["cp437", "cp850", "cp1251", "koi8_r", "mac_roman", "cp866", "cp1
 MULTIBYTE = ["gb18030", "big5", "shift_jis", "euc_kr"]
 # Frequent function words that tell the languages of the sample apart.
 FUNCTION_WORDS = {"en": {"the", "of", "and", "was", "with", "in", "to"}, "fr": {"les", "des", "la", "ont", "le", "et", "une"}, "de": {"die", "der", "und", "das", "den", "mit", "nach"}}
+HAN = re.compile("[一-鿿]+")
 LOST = re.compile("�|锟斤|锟拷|斤拷")
 HAN_RUN = re.compile(r"[€㐀-䶿一-鿿！-￮　-〿぀-ㄯΑ-ωЀ-ё©-·×÷Ā-ǿ˙-˙‐-➿가-힣]+")
 FOREIGN_WORD = re.compile(r"(?<![^\W\d_])(?:[\u0370-\u03ff\u1f00-\u1fff]{2,}|[\u0400-\u052f]{2,}|[\u0530-\u058f]{2,}|[\u0590-\u05ff]{2,}|[\u0600-\u06ff]{2,}|[\u0900-\u0dff]{2,}|[\u0e00-\u0e7f]{2,}|[\u3040-\u30ff]{2,}|[\uac00-\ud7a3]{2,})(?![^\W\d_])")
@@ -74,6 +76,62 @@ def _to_bytes(run: str, codec: str) -> bytes:
     return bytes(table.get(c) or (0xA0 if c == " " else ord(c)) for c in run)
 
 
+@lru_cache(maxsize=None)
+def high_pair() -> re.Pattern:
+    """Two characters that may be the first bytes of UTF-8 in one of the one-byte encodings; a text without any such two has no stretch of it."""
+    table = [(c, b) for codec in MISREAD_AS for c, b in byte_of(codec).items()]
+    cls = lambda lo, hi: "[" + "".join(re.escape(c) for c in sorted({c for c, b in table if lo <= b <= hi})) + "]"
+    return re.compile(f"{cls(0xC2, 0xF4)}{cls(0x80, 0xBF)}|[ÃÂ] ")
+
+
+@lru_cache(maxsize=None)
+def byte_letters() -> frozenset[str]:
+    """The characters that a word read as one of OTHER_SCRIPT may have."""
+    return frozenset(map(chr, range(256))) | {c for codec in OTHER_SCRIPT for c in byte_of(codec)}
+
+
+@dataclass
+class Seen:
+    """A text with what the chains look for in it, found once for all of them."""
+
+    text: str
+    _pair: bool | None = None
+    _han: list[re.Match] | None = None
+    _high: list[re.Match] | None = None
+    _mixed: list[tuple[int, int, str]] | None = None
+
+    @property
+    def pair(self) -> bool:
+        if self._pair is None:
+            self._pair = high_pair().search(self.text) is not None
+        return self._pair
+
+    @property
+    def han(self) -> list[re.Match]:
+        if self._han is None:
+            self._han = list(HAN_RUN.finditer(self.text))
+        return self._han
+
+    @property
+    def high(self) -> list[re.Match]:
+        if self._high is None:
+            self._high = list(HIGH_RUN.finditer(self.text))
+        return self._high
+
+    @property
+    def mixed(self) -> list[tuple[int, int, str]]:
+        """Words with a Latin letter among the first letters and a character above Latin-1, all of which an encoding of OTHER_SCRIPT may give."""
+        if self._mixed is None:
+            odd = lambda w: not w.isascii() and max(w) > "ÿ" and byte_letters().issuperset(w[-1:]) and MIXED_WORD.search(w)
+            self._mixed = []
+            if any(map(odd, self.text.split())):
+                for t in re.finditer(r"\S+", self.text):
+                    m = odd(t[0])
+                    if m and byte_letters().issuperset(m[0]):
+                        self._mixed.append((t.start() + m.start(), t.end(), m[0]))
+        return self._mixed
+
+
 Stretch = tuple[int, int, str]
 
 
@@ -83,9 +141,12 @@ def high_pattern(codec: str) -> re.Pattern:
     return re.compile("[" + "".join(re.escape(c) for c in byte_of(codec)) + "]+")
 
 
-def utf8_stretches(text: str, codec: str) -> list[Stretch]:
+def utf8_stretches(seen: Seen, codec: str) -> list[Stretch]:
     """UTF-8 that was read as a one-byte encoding. Most of a run of characters above ASCII has to fit, as chance fits only parts."""
-    found = []
+    found: list[Stretch] = []
+    if not seen.pair:
+        return found
+    text = seen.text
     for m in utf8_pattern(codec).finditer(text):
         try:
             found.append((m.start(), m.end(), _to_bytes(m[0], codec).decode("utf-8")))
@@ -105,10 +166,10 @@ def utf8_stretches(text: str, codec: str) -> list[Stretch]:
     return out
 
 
-def han_stretches(text: str, codec: str) -> list[Stretch]:
+def han_stretches(seen: Seen, codec: str) -> list[Stretch]:
     """UTF-8 that was read as a two-byte encoding; the last byte of a run may be lost."""
-    out = []
-    for m in HAN_RUN.finditer(text):
+    out, text = [], seen.text
+    for m in seen.han:
         around = text[max(0, m.start() - 1) : m.start()] + text[m.end() : m.end() + 1]
         if m.end() - m.start() == 1 and not around.isascii():
             continue
@@ -127,10 +188,10 @@ def han_stretches(text: str, codec: str) -> list[Stretch]:
 HIGH_RUN = re.compile("[\x80-ÿ€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]{4,}")
 
 
-def two_byte_stretches(text: str, codec: str) -> list[Stretch]:
+def two_byte_stretches(seen: Seen, codec: str) -> list[Stretch]:
     """A two-byte encoding that was read as a one-byte Western one."""
     out = []
-    for m in HIGH_RUN.finditer(text):
+    for m in seen.high:
         try:
             out.append((m.start(), m.end(), _to_bytes(m[0], "cp1252").decode(codec)))
         except UnicodeDecodeError:
@@ -138,24 +199,24 @@ def two_byte_stretches(text: str, codec: str) -> list[Stretch]:
     return out
 
 
-def byte_stretches(text: str, codec: str) -> list[Stretch]:
+def byte_stretches(seen: Seen, codec: str) -> list[Stretch]:
     """Western one-byte text that was read as another one-byte encoding, word by word."""
     table = byte_of(codec)
     out = []
-    for m in MIXED_WORD.finditer(text):
-        raw = [b if (b := table.get(c)) else ord(c) for c in m[0]]
-        if max(raw) < 256 and any(c in table and table[c] >= 0xC0 for c in m[0]):
+    for a, b, word in seen.mixed:
+        raw = [n if (n := table.get(c)) else ord(c) for c in word]
+        if max(raw) < 256 and any(c in table and table[c] >= 0xC0 for c in word):
             try:
-                out.append((m.start(), m.end(), bytes(raw).decode("cp1252")))
+                out.append((a, b, bytes(raw).decode("cp1252")))
             except UnicodeDecodeError:
                 pass
     return out
 
 
-def han_word_stretches(text: str, codec: str) -> list[Stretch]:
+def han_word_stretches(seen: Seen, codec: str) -> list[Stretch]:
     """Western one-byte text that was read as a two-byte encoding."""
     out = []
-    for m in HAN_IN_WORD.finditer(text):
+    for m in HAN_IN_WORD.finditer(seen.text) if seen.han else ():
         try:
             out.append((m.start(), m.end(), m[0].encode(codec).decode("cp1252")))
         except (UnicodeEncodeError, UnicodeDecodeError):
@@ -219,16 +280,18 @@ class Model:
 
 def language(text: str) -> str | None:
     """Language of a clean text of the sample; None where nothing tells."""
-    if sum("一" <= c <= "鿿" for c in text) > 0.3 * len(text):
+    if not text.isascii() and sum(map(len, HAN.findall(text))) > 0.3 * len(text):
         return "zh"
-    n = {k: sum(w in v for w in text.lower().split()) for k, v in FUNCTION_WORDS.items()}
+    words = text.lower().split()
+    n = {k: sum(map(v.__contains__, words)) for k, v in FUNCTION_WORDS.items()}
     best = max(n, key=n.get)
     return best if n[best] >= 3 else None
 
 
 def sound_language(t: str) -> str | None:
     """Language of a text without signs of garbling."""
-    if LOST.search(t) or re.search("[\x80-\x9f]", t) or any(utf8_stretches(t, c) for c in MISREAD_AS[:6]):
+    seen = Seen(t)
+    if LOST.search(t) or re.search("[\x80-\x9f]", t) or any(utf8_stretches(seen, c) for c in MISREAD_AS[:6]):
         return None
     return language(t)
 
@@ -303,15 +366,19 @@ def _put(text: str, stretches: list[Stretch], a: int, b: int) -> str:
 def undo(text: str, model: Model) -> tuple[str, str] | None:
     """(text with the best chain undone, the chain's name), or None where no chain saves anything."""
     best: tuple[float, str, str] | None = None
-    kept: dict[tuple[int, int], float] = {}
+    kept: dict[tuple[int, int, bool], float] = {}
+    seen = Seen(text)
     for name, kind, find, codec in CHAINS:
         chosen: list[Stretch] = []
         saved = -CHAIN_COST[kind]
-        for window in _windows([x for x in find(text, codec) if model.plausible(x[2])]):
+        for window in _windows([x for x in find(seen, codec) if model.plausible(x[2])]):
             a, b = max(0, window[0][0] - CONTEXT), min(len(text), window[-1][1] + CONTEXT)
-            if (a, b) not in kept:
-                kept[a, b] = model.length(text[a:b])
-            gain = kept[a, b] - model.length(_put(text, window, a, b))
+            place = (a, b, kind == "byte")
+            if place not in kept:
+                kept[place] = model.length(text[a:b])
+                if kind == "byte":  # letters that only look alike, and ligatures, are no garbling
+                    kept[place] = min(kept[place], model.length(canonical(text[a:b])))
+            gain = kept[place] - model.length(_put(text, window, a, b))
             if gain > 0:
                 saved += gain
                 chosen += window
