@@ -166,10 +166,22 @@ def utf8_stretches(seen: Seen, codec: str) -> list[Stretch]:
     return out
 
 
+@lru_cache(maxsize=200_000)
+def begins_utf8(c: str, codec: str) -> bool:
+    """Whether the bytes of a character may begin a text in UTF-8."""
+    try:
+        raw = c.encode(codec)
+    except UnicodeEncodeError:
+        return False
+    return len(raw) == 1 and raw[0] < 0x80 or 0xC2 <= raw[0] <= 0xF4 and (len(raw) == 1 or 0x80 <= raw[1] <= 0xBF)
+
+
 def han_stretches(seen: Seen, codec: str) -> list[Stretch]:
     """UTF-8 that was read as a two-byte encoding; the last byte of a run may be lost."""
     out, text = [], seen.text
     for m in seen.han:
+        if not begins_utf8(text[m.start()], codec):
+            continue
         around = text[max(0, m.start() - 1) : m.start()] + text[m.end() : m.end() + 1]
         if m.end() - m.start() == 1 and not around.isascii():
             continue
