@@ -23,8 +23,8 @@ class HistoryIndex:
     with each call.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, parts: int = PARTS) -> None:
-        self.spark, self.parts = spark, parts
+    def __init__(self, spark: SparkSession, path: str | None = None, parts: int = PARTS, least: float = 0.70) -> None:
+        self.spark, self.parts, self.least = spark, parts, least
         self.path = path or f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
 
     def _read(self, name: str, schema: str) -> DataFrame:
@@ -44,7 +44,7 @@ class HistoryIndex:
 
     def append(self, texts: DataFrame) -> None:
         """Accept texts(id, text); copies within a task are written once."""
-        keyed = grams.keyed(texts).withColumn("part", F.pmod("key", F.lit(self.parts)).cast("int"))
+        keyed = grams.keyed(texts, self.least).withColumn("part", F.pmod("key", F.lit(self.parts)).cast("int"))
         keyed.write.mode("append").option("compression", "zstd").partitionBy("part").parquet(f"{self.path}/keys")
 
     def keys(self, batch_keys: DataFrame) -> DataFrame:
@@ -65,10 +65,10 @@ class HistoryIndex:
 
     def similar(self, batch: DataFrame, lookup: DataFrame, least: float) -> DataFrame:
         """(id_a of the batch, id_b accepted before, similarity) for batch(id, text)."""
-        asked = cut(grams.keyed(batch))
+        asked = cut(grams.keyed(batch, self.least))
         known = self._probed(asked)
         a, b = asked.alias("a"), known.alias("b")
-        met = a.join(b, (F.col("a.key") == F.col("b.key")) & grams.alike("a", "b")).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+        met = a.join(b, (F.col("a.key") == F.col("b.key")) & grams.alike("a", "b", self.least)).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
         pairs = cut(met)
         left = near_dup.involved_texts(batch, pairs.select(F.col("id_a").alias("id")).distinct()).toDF("id_a", "text_a")
         right = near_dup.involved_texts(lookup, pairs.select(F.col("id_b").alias("id")).distinct()).toDF("id_b", "text_b")
@@ -122,7 +122,7 @@ def admit(index: HistoryIndex, batch: DataFrame, lookup: DataFrame, key: str, co
     asked = cut(texts.join(nodes, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
     near = cut(index.similar(asked, lookup, least).select(F.col("id_a").alias("id")).distinct())
     rest = cut(asked.join(near, "id", "left_anti"))
-    pairs = cut(near_dup.candidate_pairs(grams.keyed(rest)))
+    pairs = cut(near_dup.candidate_pairs(grams.keyed(rest, least), least))
     edges = grams.verified(pairs.join(rest.toDF("id_a", "text_a"), "id_a").join(rest.toDF("id_b", "text_b"), "id_b"), least)
     late = keep_first(nodes, edges.select("id_a", "id_b"))
     bad = cut(near.unionByName(late).distinct())

@@ -9,6 +9,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import cut
+
 # Letters of other scripts whose shape is that of a Latin letter.
 LOOKALIKES = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "Һ": "h", "Ӏ": "I", "Ԁ": "d",
@@ -99,15 +101,14 @@ def same_look_classes(rows: DataFrame, key: str, text: str) -> DataFrame:
 def same_look_pairs(rows: DataFrame, key: str, text: str) -> DataFrame:
     """Pairs key_a < key_b whose texts differ as stored but look the same.
 
-    Only classes with at least two stored forms are joined, form against form, so exact copies of one
+    Forms are first paired as stored, and only then do the keys of both come in: so exact copies of one
     form, however many, never meet each other.
     """
-    classes = same_look_classes(rows, key, text)
-    mixed = classes.groupBy("look_hash").agg(F.min("raw_hash").alias("lo"), F.max("raw_hash").alias("hi")).where("lo <> hi").select("look_hash")
-    part = classes.join(mixed, "look_hash", "left_semi")
-    a, b = part.alias("a"), part.alias("b")
-    return (
-        a.join(b, (F.col("a.look_hash") == F.col("b.look_hash")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.raw_hash") != F.col("b.raw_hash")))
-        .select(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b"))
-        .distinct()
-    )
+    classes = cut(same_look_classes(rows, key, text))
+    forms = classes.select("look_hash", "raw_hash").distinct()
+    mixed = forms.groupBy("look_hash").agg(F.count("*").alias("n")).where("n > 1").select("look_hash")
+    part = forms.join(mixed, "look_hash", "left_semi")
+    pairs = part.toDF("look_hash", "raw_x").join(part.toDF("look_hash", "raw_y"), "look_hash").where("raw_x < raw_y").drop("look_hash")
+    keys = classes.select("raw_hash", "key")
+    near = pairs.join(keys.toDF("raw_x", "key_x"), "raw_x").join(keys.toDF("raw_y", "key_y"), "raw_y").where("key_x <> key_y")
+    return near.select(F.least("key_x", "key_y").alias("key_a"), F.greatest("key_x", "key_y").alias("key_b")).distinct()

@@ -2,15 +2,18 @@
 
 The global order of n-grams is that of a fixed 48-bit hash, so it needs no pass over the corpus and never
 changes as records arrive. FRAGMENTS ranges of it are the vertical fragments. A record's part in a fragment
-is its segment; the segment's key combines its first PREFIX n-grams, which for similarity s are the
-same in two records with a chance of about s ** PREFIX per fragment (more for short segments). With 32
-fragments and 5 n-grams, a pair at similarity 0.70 shares no key with a chance of 0.003, one at 0.75 with 0.0002.
+is its segment; the segment's key combines its first n-grams, `prefix_of(least)` of them, which for similarity s are the
+same in two records with a chance of about s ** prefix per fragment (more for short segments). For the similarity 0.70
+these are 5: such a pair shares no key with a chance of 0.003, one at 0.75 with 0.0002.
+
+Of a pair that shares a key, the overlaps are counted fragment by fragment and summed; the sizes of the segments
+bound the sum, which drops most false candidates before anything is counted.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,16 +22,34 @@ from pyspark.sql import functions as F
 
 SIZE = 5
 FRAGMENTS = 32
-PREFIX = 5
 BINS = 128
 MIN_LENGTH = 80
-# Least number of equal sketch bits of a pair at similarity 0.70: the mean of 108.8 less 3.8 deviations of 4.04.
-LEAST_BITS = 93
+# Chance that a pair at the least similarity shares no key, and deviations that its sketches may be apart more than usual (a chance of 0.0001).
+LOST = 0.003
+DEVIATIONS = 3.8
+LOWEST = 0.5
 SPLIT_AT = 1_000_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+def prefix_of(least: float) -> int:
+    """N-grams of a segment in its key: as many as keep the chance to lose a pair at `least` about LOST; at most 16.
+
+    Below LOWEST too few n-grams would be left to tell anything, so smaller similarities are refused.
+    """
+    if not LOWEST <= least <= 1:
+        raise ValueError(f"least has to be from {LOWEST} to 1")
+    needed = 1 - (1.1 * LOST) ** (1 / FRAGMENTS)
+    return min(16, int(math.log(needed) / math.log(least))) if least < 1 else 16
+
+
+def least_bits(least: float) -> int:
+    """Least number of equal sketch bits of a pair at similarity `least`; for 0.70 the mean of 108.8 less 3.8 deviations of 4.04."""
+    p = (1 + least) / 2
+    return max(0, int(BINS * p - DEVIATIONS * math.sqrt(BINS * p * (1 - p))))
+
+
 def normal(content: Column) -> Column:
     """Lower case, each run of ASCII white space as one space, trimmed."""
     return F.trim(F.regexp_replace(F.lower(content), r"[ \t\n\x0B\f\r]+", " "))
@@ -62,7 +83,7 @@ def _starts(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
 
 
-def segment_keys(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def segment_keys(grams: np.ndarray, prefix: int) -> tuple[np.ndarray, np.ndarray]:
     """(index of the text, key) of every segment that isn't empty."""
     bits = np.uint64(48 - (FRAGMENTS - 1).bit_length())
     seg = grams >> bits
@@ -70,7 +91,7 @@ def segment_keys(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     end = np.append(at[1:], len(grams))
     low = grams & np.uint64((1 << 48) - 1)
     key = seg[at] & np.uint64(FRAGMENTS - 1)
-    for j in range(PREFIX):
+    for j in range(prefix):
         pos = at + j
         there = pos < end
         key = _mix(key * _P + np.where(there, low[np.where(there, pos, at)], np.uint64(j + 1)) + np.uint64(j))
@@ -100,12 +121,14 @@ def parts(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
         yield a, texts[a:]
 
 
-def keyed(texts: DataFrame) -> DataFrame:
+def keyed(texts: DataFrame, least: float) -> DataFrame:
     """Rows (key, id, s1, s2) of texts(id BIGINT, text STRING): one for each segment that isn't empty.
 
     Copies within a task come out once, so that a hot text reaches its keys once per task at most.
     """
 
+    prefix = prefix_of(least)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -119,31 +142,55 @@ def keyed(texts: DataFrame) -> DataFrame:
                 grams = sorted_grams(part)
                 if not len(grams):
                     continue
-                doc, key = segment_keys(grams)
+                doc, key = segment_keys(grams, prefix)
                 words = sketches(grams, len(part))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[a + doc]), pa.array(words[doc, 0]), pa.array(words[doc, 1])], names=["key", "id", "s1", "s2"])
 
     return texts.select("id", "text").mapInArrow(run, "key bigint, id bigint, s1 bigint, s2 bigint")
 
 
-def alike(a: str, b: str) -> Column:
-    """Whether the sketches in the rows aliased a and b leave a similarity of 0.70 possible."""
+def alike(a: str, b: str, least: float, sketch: bool = True) -> Column:
+    """Whether the sketches in the rows aliased a and b leave a similarity of `least` possible; all do without the sketch."""
+    if not sketch:
+        return F.lit(True)
     differ = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in ("s1", "s2")), F.lit(0))
-    return differ <= BINS - LEAST_BITS
+    return differ <= BINS - least_bits(least)
 
 
-@lru_cache(maxsize=512)
-def _gram_array(text: str) -> np.ndarray:
-    return sorted_grams([text])
+def fragment_of(grams: np.ndarray) -> np.ndarray:
+    """The fragment of each n-gram of a text."""
+    return (grams >> np.uint64(48 - (FRAGMENTS - 1).bit_length())).astype(np.int64) & (FRAGMENTS - 1)
 
 
-def similarity(a: str, b: str) -> float:
-    """Shared n-grams over all distinct n-grams, counted once over the whole texts."""
-    x, y = _gram_array(a), _gram_array(b)
+def overlaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Shared n-grams of two texts by fragment."""
     both = np.concatenate((x, y))
     both.sort(kind="stable")
-    shared = int(np.count_nonzero(both[1:] == both[:-1]))
-    return shared / max(1, len(x) + len(y) - shared)
+    return np.bincount(fragment_of(both[1:][both[1:] == both[:-1]]), minlength=FRAGMENTS)
+
+
+def similarity(x: np.ndarray, y: np.ndarray, sizes_x: np.ndarray, sizes_y: np.ndarray, least: float = 0.0) -> float:
+    """Shared n-grams over all distinct n-grams: the overlaps of the fragments, counted separately and summed.
+
+    sizes: n-grams by fragment. 0 where these alone leave less than `least`, or where a text is too short for an n-gram.
+    """
+    n = len(x) + len(y)
+    most = int(np.minimum(sizes_x, sizes_y).sum())
+    if not n or most < least * (n - most) - 1e-9:
+        return 0.0
+    shared = int(overlaps(x, y).sum())
+    return shared / (n - shared)
+
+
+def gram_arrays(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(sorted n-grams, their number by fragment) of each text."""
+    out = []
+    for _, part in parts(texts):
+        grams = sorted_grams(part)
+        ends = np.searchsorted(grams, np.arange(1, len(part), dtype=np.uint64) << np.uint64(48)) if len(part) > 1 else []
+        for own in np.split(grams & np.uint64((1 << 48) - 1), ends):
+            out.append((own, np.bincount(fragment_of(own), minlength=FRAGMENTS)))
+    return out
 
 
 def verified(pairs: DataFrame, least: float) -> DataFrame:
@@ -151,9 +198,13 @@ def verified(pairs: DataFrame, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.to_pydict()
-            s = np.array([similarity(a, b) for a, b in zip(x["text_a"], x["text_b"])], dtype=np.float64)
-            keep = s >= least - 1e-12
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep)), pa.array(s[keep])], names=["id_a", "id_b", "similarity"])
+            for at in range(0, batch.num_rows, 1000):
+                some = batch.slice(at, 1000)
+                ids_a, ids_b, texts_a, texts_b = (c.to_pylist() for c in some.columns)
+                known = {**dict(zip(ids_a, texts_a)), **dict(zip(ids_b, texts_b))}
+                grams = dict(zip(known, gram_arrays(list(known.values()))))
+                s = np.array([similarity(x[0], y[0], x[1], y[1], least) for a, b in zip(ids_a, ids_b) for x, y in ((grams[a], grams[b]),)], dtype=np.float64)
+                keep = pa.array(s >= least - 1e-12)
+                yield pa.RecordBatch.from_arrays([some.column(0).filter(keep), some.column(1).filter(keep), pa.array(s).filter(keep)], names=["id_a", "id_b", "similarity"])
 
     return pairs.select("id_a", "id_b", "text_a", "text_b").mapInArrow(run, "id_a bigint, id_b bigint, similarity double")

@@ -36,29 +36,30 @@ def involved_texts(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return near.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
 
 
-def candidate_pairs(keyed: DataFrame) -> DataFrame:
+def candidate_pairs(keyed: DataFrame, least: float, sketch: bool = True) -> DataFrame:
     """Distinct (id_a, id_b), a < b, that share a segment key and whose sketches leave the similarity possible.
 
-    Both sides of the join are the same exchange. A key met by very many texts is split by AQE's skew join;
-    such texts agree in the first n-grams of a fragment, so their pairs are results, not waste.
+    Rows that copies in several tasks give are dropped by key and id, which no hot key keeps together. Then the rows meet by
+    key; that exchange lies right below the sort of the join, so that AQE splits a hot key over several tasks.
     """
-    rows = keyed.repartition("key").dropDuplicates(["key", "id"])
+    rows = keyed.groupBy("key", "id").agg(F.first("s1").alias("s1"), F.first("s2").alias("s2"))
     a, b = rows.alias("a"), rows.alias("b")
     return (
-        a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & grams.alike("a", "b"))
+        a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & grams.alike("a", "b", least, sketch))
         .select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
         .distinct()
     )
 
 
-def similar_texts(rows: DataFrame, key: str, content: str, least: float = 0.70) -> DataFrame:
-    """Pairs (id_a, id_b, similarity) of different normal texts with similarity of at least `least`.
+def similar_texts(rows: DataFrame, key: str, content: str, least: float = 0.70, sketch: bool = True) -> DataFrame:
+    """Pairs (id_a, id_b, similarity) of different normal texts with similarity of at least `least`, which may be from 0.5.
 
     Fragments give candidates, the sketch drops most false ones before anything but 32 bytes a row is
-    shuffled, and the shared n-grams of the rest are counted exactly. The result is cut from its lineage.
+    shuffled, and the overlaps of the rest are counted by fragment and summed. sketch=False leaves the sketch out: then
+    only pairs without a common key are lost. The result is cut from its lineage.
     """
     texts = spread(texts_of(rows, key, content))
-    pairs = cut(candidate_pairs(grams.keyed(texts)))
+    pairs = cut(candidate_pairs(grams.keyed(texts, least), least, sketch))
     ids = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
     found = cut(involved_texts(texts, ids))
     a = found.toDF("id_a", "text_a")
@@ -72,15 +73,21 @@ def members_of(rows: DataFrame, key: str, content: str) -> DataFrame:
 
 
 def similar_rows(rows: DataFrame, key: str, content: str, least: float = 0.70) -> DataFrame:
-    """Pairs (key_a, key_b), a < b, of rows whose contents differ as stored and are similar."""
+    """Pairs (key_a, key_b), a < b, of rows whose contents differ as stored and are similar.
+
+    Texts are first paired as stored, one row for each; only then do the keys of both come in. So rows of
+    equal content never meet each other, however many there are.
+    """
     pairs = similar_texts(rows, key, content, least)
-    members = members_of(rows, key, content)
-    mixed = members.groupBy("id").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("id")
-    edges = pairs.select("id_a", "id_b").unionByName(mixed.select(F.col("id").alias("id_a"), F.col("id").alias("id_b")))
-    x, y = members.toDF("key_x", "id_a", "raw_x"), members.toDF("key_y", "id_b", "raw_y")
-    near = edges.join(x, "id_a").join(y, "id_b")
+    members = cut(members_of(rows, key, content))
+    stored = members.select("id", "raw").distinct()
+    mixed = stored.groupBy("id").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("id")
+    forms = stored.join(mixed, "id", "left_semi")
+    one_look = forms.toDF("id_a", "raw_a").join(forms.toDF("id_b", "raw_b"), F.expr("id_a = id_b and raw_a < raw_b"))
+    edges = pairs.join(stored.toDF("id_a", "raw_a"), "id_a").join(stored.toDF("id_b", "raw_b"), "id_b").select("id_a", "raw_a", "id_b", "raw_b").unionByName(one_look)
+    near = edges.join(members.toDF("key_x", "id_a", "raw_a"), ["id_a", "raw_a"]).join(members.toDF("key_y", "id_b", "raw_b"), ["id_b", "raw_b"])
     return (
-        near.where("key_x <> key_y and raw_x <> raw_y")
+        near.where("key_x <> key_y")
         .select(F.least("key_x", "key_y").alias("key_a"), F.greatest("key_x", "key_y").alias("key_b"))
         .distinct()
     )

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import admission, grams, mixing, near_dup, packing, tokens
 from quire.llm import queries as llm
@@ -34,7 +35,55 @@ def jaccard(a, b):
 
 def test_similarity_counts_exactly():
     a, b = texts(1)[:2]
-    assert grams.similarity(a, b) == pytest.approx(jaccard(a, b))
+    (x, m), (y, n) = grams.gram_arrays([a, b])
+    assert grams.similarity(x, y, m, n) == pytest.approx(jaccard(a, b))
+    assert grams.overlaps(x, y).sum() == len(gram_set(a) & gram_set(b)) and grams.similarity(x, y, m, n, 0.999) == 0
+    assert [len(g) for g, _ in grams.gram_arrays(["", "abcd", "abcde", a])] == [0, 0, 1, len(gram_set(a))]
+
+
+def test_keys_and_bits_follow_the_least_similarity():
+    assert (grams.prefix_of(0.7), grams.least_bits(0.7)) == (5, 93) and grams.prefix_of(0.5) < 5 < grams.prefix_of(0.9) and grams.least_bits(0.5) < 93
+    with pytest.raises(ValueError):
+        grams.prefix_of(0.4)
+
+
+def test_smaller_similarities_are_found_as_well(spark):
+    t = texts(25, 9)
+    rows = spark.createDataFrame(list(enumerate(t)), "k bigint, c string")
+    want = {(i, j) for i in range(len(t)) for j in range(i + 1, len(t)) if jaccard(t[i], t[j]) >= 0.5}
+    got = {tuple(r) for r in near_dup.similar_rows(rows, "k", "c", 0.5).collect()}
+    assert got <= want and len(got) >= 0.97 * len(want) and any(jaccard(t[i], t[j]) < 0.6 for i, j in got)
+
+
+def test_a_hot_key_is_split(spark):
+    # a quarter of the rows under one key: the join has to be one that AQE splits
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = spark.range(6000).select(F.when(F.col("id") < 2000, -1).otherwise(F.col("id")).alias("key"), "id", F.lit(1).cast("long").alias("s1"), F.lit(1).cast("long").alias("s2"))
+        pairs = near_dup.candidate_pairs(rows, 0.7)
+        assert len(pairs.collect()) == 2000 * 1999 // 2
+        assert "skew=true" in pairs._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_copies_of_two_forms_meet_only_across(spark):
+    a, b = texts(1)[0], texts(1)[0].upper()
+    rows = spark.createDataFrame([(i, a) for i in range(50)] + [(50, b), (51, b)], "k bigint, c string")
+    got = {tuple(r) for r in near_dup.similar_rows(rows, "k", "c").collect()}
+    assert got == {(i, j) for i in range(50) for j in (50, 51)}
+
+
+def test_similarity_of_a_batch_is_that_of_brute_force(spark):
+    t = texts(4)
+    rows = spark.createDataFrame([(i, j, t[i], t[j]) for i in range(8) for j in range(i)], "id_a bigint, id_b bigint, text_a string, text_b string")
+    got = {(r["id_a"], r["id_b"]): r["similarity"] for r in grams.verified(rows, 0.6).collect()}
+    want = {(i, j): jaccard(t[i], t[j]) for i in range(8) for j in range(i) if jaccard(t[i], t[j]) >= 0.6}
+    assert got == pytest.approx(want)
 
 
 def test_near_duplicates_are_those_of_brute_force(spark):
