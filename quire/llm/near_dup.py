@@ -39,11 +39,10 @@ def involved_texts(texts: DataFrame, ids: DataFrame) -> DataFrame:
 def candidate_pairs(keyed: DataFrame, least: float, sketch: bool = True) -> DataFrame:
     """Distinct (id_a, id_b), a < b, that share a segment key and whose sketches leave the similarity possible.
 
-    Rows that copies in several tasks give are dropped by key and id, which no hot key keeps together. Then the rows meet by
-    key; that exchange lies right below the sort of the join, so that AQE splits a hot key over several tasks.
+    keyed has one row for each key of an id. Both sides of the join are one exchange, which lies right below the sort,
+    so that AQE splits a hot key over several tasks.
     """
-    rows = keyed.groupBy("key", "id").agg(F.first("s1").alias("s1"), F.first("s2").alias("s2"))
-    a, b = rows.alias("a"), rows.alias("b")
+    a, b = keyed.alias("a"), keyed.alias("b")
     return (
         a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & grams.alike("a", "b", least, sketch))
         .select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
@@ -59,7 +58,9 @@ def similar_texts(rows: DataFrame, key: str, content: str, least: float = 0.70,
     only pairs without a common key are lost. The result is cut from its lineage.
     """
     texts = spread(texts_of(rows, key, content))
-    pairs = cut(candidate_pairs(grams.keyed(texts, least), least, sketch))
+    # copies are dropped first, with a combine before the shuffle, so that a hot text costs a row a task
+    one = texts.groupBy("id").agg(F.min("text").alias("text"))
+    pairs = cut(candidate_pairs(grams.keyed(one, least), least, sketch))
     ids = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
     found = cut(involved_texts(texts, ids))
     a = found.toDF("id_a", "text_a")
