@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +36,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+SHUFFLING = re.compile(r"\b(?:\w*Join|Aggregate|Window|Repartition\w*|RebalancePartitions|Sort|Distinct|Deduplicate)\b")
+
+
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """Repartition only where the scan has fewer partitions than the cluster has cores."""
+    """Repartition a plain scan that has fewer partitions than the cluster has cores.
+
+    What comes from a shuffle is left as it is: to count its partitions would run it.
+    """
+    if SHUFFLING.search(df._jdf.queryExecution().optimizedPlan().toString()):
+        return df
     n = least or df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
