@@ -109,14 +109,17 @@ def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_refused(spark: SparkSession, d: str) -> DataFrame:
     """The incoming rows to refuse, and why, all batches in their order against an index of the history."""
-    encodings, chunks = table(spark, d, "encodings"), table(spark, d, "chunks")
-    accepted = chunks.select("chunk_id", "content").join(encodings.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    history = near_dup.texts_of(accepted, "chunk_id", "content").select("id", "text")
+    encodings, chunks = table(spark, d, "encodings"), table(spark, d, "chunks").select("chunk_id", "content")
+    # only ids meet the encodings; the texts of those accepted are picked where their copies are brought together
+    ids = near_dup.texts_of(chunks, "chunk_id", "content").select("key", "id")
+    accepted = ids.join(encodings.select(F.col("chunk_id").alias("key")).distinct(), "key", "left_semi").select("id").distinct()
+    texts = near_dup.texts_of(chunks, "chunk_id", "content").groupBy("id").agg(F.min("text").alias("text"))
     index = admission.HistoryIndex(spark)
     index.append_hashes(encodings.select(F.col("content_hash").alias("hash")))
-    index.append(spread(history))
+    index.append(texts.join(accepted, "id", "left_semi"), chunks.count())
     batch = table(spark, d, "incoming_chunks").select("incoming_id", "batch_no", "content")
-    refused = admission.admit(index, batch, history, "incoming_id", "content", ["batch_no", "incoming_id"])
+    refused = admission.admit(index, batch, "incoming_id", "content", ["batch_no", "incoming_id"])
+    index.drop()
     return refused.select(F.col("key").alias("incoming_id"), "reason")
 
 

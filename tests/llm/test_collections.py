@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import admission, grams, mixing, near_dup, packing, tokens
 from quire.llm import queries as llm
+from quire.session import cut
 
 WORDS = [a + b for a in ("ka", "to", "mi", "re", "su", "vel", "nor", "pix") for b in ("ra", "den", "lo", "quin", "st", "wem", "ik")]
 
@@ -135,27 +137,56 @@ def test_admission_at_once_and_batch_by_batch(spark):
         import hashlib
 
         index.append_hashes(spark.createDataFrame([(hashlib.md5(h.encode()).hexdigest().upper(),) for h in history], "hash string"))
-        index.append(lookup)
+        index.append(lookup, len(history))
         return index
 
-    at_once = {r["key"]: r["reason"] for r in admission.admit(fresh(), batch, lookup, "id", "c", ["b", "id"]).collect()}
+    at_once = {r["key"]: r["reason"] for r in admission.admit(fresh(), batch, "id", "c", ["b", "id"]).collect()}
     assert at_once == want
-    index, known, got = fresh(), lookup, {}
+    index, got = fresh(), {}
     for b in (0, 1, 2):
         part = batch.where(f"b = {b}")
         if part.isEmpty():
             continue
-        out = {r["key"]: r["reason"] for r in admission.admit(index, part, known, "id", "c", ["b", "id"]).collect()}
+        out = {r["key"]: r["reason"] for r in admission.admit(index, part, "id", "c", ["b", "id"]).collect()}
         got |= out
-        known = known.unionByName(near_dup.texts_of(part, "id", "c").select("id", "text"))
     assert set(got) == set(want)
+    index.drop()
+    assert not os.path.exists(index.path)
+
+
+def test_a_probe_reads_as_much_however_long_the_history_is(spark):
+    """Keys read for a batch of one text, of a history and of one of ten times its size."""
+    read = []
+    for n in (20, 200):
+        t = texts(n, 11)
+        rows = near_dup.texts_of(spark.createDataFrame([(str(i), h) for i, h in enumerate(t)], "k string, c string"), "k", "c").select("id", "text")
+        index = admission.HistoryIndex(spark, part_rows=32)
+        index.append(rows, len(t))
+        index.append_hashes(rows.select(F.md5("text").alias("hash")))
+        asked = cut(grams.keyed(rows.orderBy("id").limit(1), index.least))
+        keys = index._probe("keys", "key bigint, id bigint, s1 bigint, s2 bigint", "key", asked.select(F.col("key").alias("value"))).count()
+        assert index.known(rows.select(F.md5("text").alias("hash")).limit(2)).count() == 2
+        assert keys <= asked.count() * 32 * 1.5
+        assert index.similar(rows.orderBy("id").limit(1)).count() >= 1
+        read.append(keys / asked.count())
+        index.drop()
+    assert read[1] < 1.5 * read[0]
+
+
+def test_what_a_lost_append_leaves_is_not_read(spark):
+    index = admission.HistoryIndex(spark)
+    rows = near_dup.texts_of(spark.createDataFrame([("a", texts(1)[0])], "k string, c string"), "k", "c").select("id", "text")
+    index._write("texts", rows, "id", 4)
+    assert index.texts(rows.select("id")).count() == 0
+    index.append(rows, 1)
+    assert index.texts(rows.select("id")).count() == 1
+    index.drop()
 
 
 def test_contents_without_comparable_text_are_not_alike(spark):
     rows = [(1, "one short"), (2, "another"), (3, None), (4, None), (5, ""), (6, "one short"), (7, "")]
     batch = spark.createDataFrame(rows, "id bigint, c string")
-    none = spark.createDataFrame([], "id bigint, text string")
-    got = {r["key"]: r["reason"] for r in admission.admit(admission.HistoryIndex(spark), batch, none, "id", "c", ["id"]).collect()}
+    got = {r["key"]: r["reason"] for r in admission.admit(admission.HistoryIndex(spark), batch, "id", "c", ["id"]).collect()}
     assert got == {6: "copy", 7: "copy"}
 
 
@@ -206,8 +237,6 @@ def test_tokens_of_special_strings_and_nulls():
 
 
 def test_queries_have_the_columns_asked_for(spark):
-    import os
-
     from conftest import DATA
 
     if not os.path.isdir(DATA):
