@@ -22,6 +22,7 @@ DIM = 64
 WORDS = 3
 SLOTS = 1 << 18
 RECALL = 0.97
+FAR, FAR_RECALL = 0.5, 0.99
 
 
 @dataclass(frozen=True)
@@ -47,8 +48,14 @@ class Tables:
 
     @staticmethod
     def wide(n: int) -> Tables:
-        """For the nearest whatever their distance: few functions and many probes, as such neighbours differ much."""
-        return Tables(6, 1.8, 3, 140)
+        """For the nearest whatever their distance: few functions and many probes, as such neighbours differ much.
+
+        Functions and probes grow with n, and tables so that a pair at cosine FAR meets with a chance of FAR_RECALL: of 10^5 vectors
+        nearly all are visited, of 10^7 four tenths, so the work grows more slowly than the square of n.
+        """
+        functions = 6 + max(0, round(2 * np.log10(max(n, 1) / 1e5)))
+        one = Tables(functions, 1.8, 1, int(140 * 2 ** ((functions - 6) / 2)))
+        return replace(one, tables=int(np.ceil(np.log(1 - FAR_RECALL) / np.log1p(-success(one, FAR, 500, 4)))))
 
 
 def probe_sets(functions: int, most: int) -> list[tuple[int, ...]]:

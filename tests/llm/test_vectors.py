@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from quire.llm import similar_vectors as sv
 
@@ -36,11 +37,13 @@ def test_copies_rank_by_id_and_stay_few(spark):
     assert all(len(x) == 5 for x in by.values())
 
 
-def test_nearest_has_recall_and_excludes_itself(spark):
+@pytest.mark.parametrize("size", [800, 1_000_000])
+def test_nearest_has_recall_and_excludes_itself(spark, size):
+    """With the tables of this collection, and with those of a large one."""
     v = collection(800, 5)
     base = rows(spark, [(i, x.tolist(), "") for i, x in enumerate(v)])
     got = {}
-    for r in sv.nearest(base.where("id % 20 = 0"), base, "id", "v").collect():
+    for r in sv.nearest(base.where("id % 20 = 0"), base, "id", "v", t=sv.Tables.wide(size)).collect():
         got.setdefault(r["id"], []).append(r["neighbour"])
     s = v @ v.T
     np.fill_diagonal(s, -1)
