@@ -43,20 +43,72 @@ def dedup_stats(original: Column, kept: Column) -> list[Column]:
     return [n.alias("original_count"), k.alias("kept_count"), (n - k).alias("removed_count"), F.coalesce(F.round((n - k) / n, 4), F.lit(0.0)).alias("dedup_rate")]
 
 
-def _fingerprint(text: str) -> int:
-    grams = [text[i : i + 3] for i in range(len(text) - 2)] or [text]
-    words = np.array([int.from_bytes(hashlib.md5(g.encode()).digest()[8:], "big") for g in grams], dtype=np.uint64)
-    ones = np.unpackbits(words.view(np.uint8).reshape(-1, 8)[:, ::-1], axis=1).sum(0)
-    return int.from_bytes(np.packbits(2 * ones > len(grams)).tobytes(), "big", signed=True)
+CACHED_GRAMS = 1_000_000
+GRAMS_AT_ONCE = 500_000
+
+
+class Fingerprints:
+    """SimHash of texts in batches: each distinct trigram is hashed once, the bits are counted by numpy."""
+
+    def __init__(self) -> None:
+        self.known: dict[int, int] = {}
+
+    def _words(self, keys: np.ndarray) -> np.ndarray:
+        if len(self.known) > CACHED_GRAMS:
+            self.known.clear()
+        out = []
+        for k in keys.tolist():
+            if (word := self.known.get(k)) is None:
+                gram = chr(k >> 42) + chr(k >> 21 & 0x1FFFFF) + chr(k & 0x1FFFFF)
+                word = self.known[k] = _low(gram)
+            out.append(word)
+        return np.array(out, dtype=np.uint64)
+
+    def of(self, texts: list[str]) -> list[int]:
+        out: list[int] = []
+        part: list[str] = []
+        size = 0
+        for t in texts:
+            if part and size + len(t) > GRAMS_AT_ONCE:
+                out += self._of(part)
+                part, size = [], 0
+            part.append(t)
+            size += len(t)
+        return out + self._of(part) if part else out
+
+    def _of(self, texts: list[str]) -> list[int]:
+        lens = np.array([len(t) for t in texts])
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        counts = np.maximum(lens - 2, 0)
+        ones = np.zeros((len(texts), 64), dtype=np.int64)
+        if counts.any():
+            doc = np.repeat(np.arange(len(texts)), lens)
+            keys = (codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:])[doc[:-2] == doc[2:]]
+            distinct, at = np.unique(keys, return_inverse=True)
+            bits = np.unpackbits(self._words(distinct).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)[at]
+            starts = (np.cumsum(counts) - counts)[counts > 0]
+            ones[counts > 0] = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+        for i in np.flatnonzero(counts == 0):  # a text of one or two characters, or none, is its own gram
+            ones[i] = np.unpackbits(np.array([_low(texts[i])], dtype=">u8").view(np.uint8))
+        most = 2 * ones > np.maximum(counts, 1)[:, None]
+        return np.packbits(most, axis=1).view(">i8").ravel().tolist()
+
+
+def _low(gram: str) -> int:
+    return int.from_bytes(hashlib.md5(gram.encode("utf-8", "surrogatepass")).digest()[8:], "big")
 
 
 def simhash(c: Column) -> Column:
-    """64-bit SimHash: majority of each bit of the low 8 md5 bytes of the text's trigrams, ties to 0."""
+    """64-bit SimHash: majority of each bit of the low 8 md5 bytes of the text's trigrams, ties to 0. Null gives null."""
 
     @F.pandas_udf("bigint")
-    def prints(texts: pd.Series) -> pd.Series:
-        known = {t: _fingerprint(t) for t in texts.dropna().unique()}
-        return texts.map(known).astype("Int64")
+    def prints(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        made = Fingerprints()
+        for texts in parts:
+            distinct = texts.dropna().unique().tolist()
+            known = dict(zip(distinct, made.of(distinct)))
+            # by way of a list: a series of numbers and nulls would be of floats, which don't hold 64 bits
+            yield pd.Series(pd.array([known.get(t) for t in texts], dtype="Int64"))
 
     return prints(c)
 

@@ -105,7 +105,60 @@ _DETAIL = f"""(select query_id, count(distinct item) as n_retrieved, any_value(n
 _FIRST = "(select doc_id, text, min(doc_id) over (partition by text) as first_id from documents)"
 _NGRAMS = "regexp_extract_all(lower(text), '[a-z0-9À-ɏ一-鿿]{2,}')"
 
+
+def _simhash(rows: str, key: str, text: str) -> str:
+    """(key, fp) of rows with a text: the majority of each bit of the low 8 md5 bytes of the trigrams."""
+    bits = ", ".join(f"sum((h >> {i}) & 1) as b{i}" for i in range(64))
+    total = " + ".join(f"case when 2 * b{i} > n then {1 << i}::hugeint else 0 end" for i in range(64))
+    return f"""(select {key}, cast(case when v >= 9223372036854775808 then v - 18446744073709551616 else v end as bigint) as fp from (
+        select {key}, {total} as v from (select {key}, count(*) as n, {bits} from (
+            select {key}, cast('0x' || substr(md5(substr({text}, cast(i as bigint), 3)), 17, 16) as ubigint) as h
+            from (select {key}, {text}, unnest(range(1, greatest(length({text}) - 2, 1) + 1)) as i from {rows} where {text} is not null)) group by {key})))"""
+
+
+# Nodes are taken in their order; one goes if an earlier one that is linked to it has stayed.
+_WALK = """walk(rn, gone) as (select 0::bigint, []::bigint[] union all
+        select w.rn + 1, case when l.late is not null and len(list_filter(l.earlier, lambda x: not list_contains(w.gone, x))) > 0 then list_append(w.gone, w.rn + 1) else w.gone end
+        from walk w left join links l on l.late = w.rn + 1 where w.rn < (select count(*) from nodes)),
+    gone as (select unnest(gone) as rn from (select gone from walk order by rn desc limit 1))"""
+
+
+def _near_first(rows: str, key: str, text: str) -> str:
+    """With `rows` (a CTE's text) named r: prints(key, fp) and kept rows by SimHash, first ones stay."""
+    return f"""with recursive r as materialized ({rows}), prints as materialized (select {key}, fp from {_simhash("r", key, text)}),
+    nodes as materialized (select fp, place, row_number() over (order by place) as rn from (select fp, min({key}) as place from prints group by fp)),
+    links as materialized (select a.rn as late, list(b.rn) as earlier from nodes a join nodes b on b.rn < a.rn and bit_count(xor(a.fp, b.fp)) <= 3 group by a.rn),
+    {_WALK},
+    judged as (select p.{key}, p.fp, p.{key} = n.place and n.rn not in (select rn from gone) as kept from prints p join nodes n on n.fp = p.fp)"""
+
+
+_LINES = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+
 SQL: dict[str, str] = {
+    "simhash_fp": f"select doc_id, fp from {_simhash('documents', 'doc_id', 'text')}",
+    "simhash_links": f"""
+        with prints as materialized (select doc_id, fp from {_simhash('documents', 'doc_id', 'text')}), f as (select fp, count(*) as documents from prints group by fp)
+        select a.fp, a.documents, (select count(*) from f b where b.fp <> a.fp and bit_count(xor(a.fp, b.fp)) <= 3) as links from f a
+    """,
+    "dedup_simhash": _near_first("select doc_id, text from documents", "doc_id", "text") + " select doc_id, fp, kept from judged",
+    "dedup_global": _near_first("select chunk_id, content from (select distinct chunk_id, content from chunks) qualify content is null or chunk_id = min(chunk_id) over (partition by content)", "chunk_id", "content")
+    + " select chunk_id from judged where kept union all select chunk_id from r where content is null",
+    "dedup_embedding": f"""
+        with recursive nodes as materialized (select vec_id, cast(embedding as double[]) as v, row_number() over (order by vec_id) as rn from (select distinct vec_id, embedding from embeddings)),
+        links as materialized (select a.rn as late, list(b.rn) as earlier from nodes a join nodes b on b.rn < a.rn and list_cosine_similarity(a.v, b.v) >= 0.95 group by a.rn),
+        {_WALK}
+        select vec_id, rn not in (select rn from gone) as kept from nodes
+    """,
+    "chunk_merge_short": r"""
+        with recursive parts as materialized (select doc_id, string_split(regexp_replace(text, '([.。!?])[ \t\n\x0b\f\r]*', '\1' || chr(1), 'g'), chr(1)) as p from documents),
+        walk(doc_id, i, done, now) as (select doc_id, 1, []::varchar[], p[1] from parts union all
+            select w.doc_id, w.i + 1, case when length(w.now) < 20 then w.done else list_append(w.done, w.now) end, case when length(w.now) < 20 then w.now || chr(10) || p[w.i + 1] else p[w.i + 1] end
+            from walk w join parts using (doc_id) where w.i < len(p))
+        select doc_id, cast(unnest(range(len(done) + 1)) as integer) as chunk_index, unnest(list_append(done, now)) as content from walk w join parts using (doc_id) where w.i = len(p)
+    """,
+    "html_text": f"""
+        select doc_id, array_to_string(list_concat(['t'], list_filter(list_transform(flatten(list_transform(regexp_split_to_array(text, '{_LINES}'), lambda l: string_split({_strip('l')}, '  '))), lambda x: {_strip('x')}), lambda x: x <> '')), chr(10)) as content from documents
+    """,
     "scan_filter_ext": f"select distinct file_path, {_ext('file_path')} as ext from file_records where {_ext('file_path')} in ('pdf', 'docx', 'txt', 'md')",
     "loader_registry": f"select {_case(_ext('file_path'), LOADERS, chr(39) + 'none' + chr(39))} as loader, count(*) as files from (select distinct file_path from file_records) group by 1",
     "load_csv_join": "select n_regionkey, string_agg(n_nationkey || ' | ' || n_name || ' | ' || n_regionkey, chr(10) order by n_nationkey) as content, count(*) as row_count from nation group by 1",

@@ -41,7 +41,7 @@ def test_simhash_keep_first_is_the_sequential_loop(spark):
     got = {r["id"]: r["kept"] for r in dedup.dedup_simhash(rows, "t", "id", 6).collect()}
     kept: list[int] = []
     for i, t in enumerate(texts):
-        f = dedup._fingerprint(t)
+        f = dedup.Fingerprints().of([t])[0]
         near = any(bin((f ^ g) & (2**64 - 1)).count("1") <= 6 for g in kept)
         assert got[i] == (not near)
         if not near:
@@ -128,3 +128,10 @@ def test_stream_resumes_and_keeps_first(spark, tmp_path):
     spark.createDataFrame([("d", "y"), ("e", "z")], "chunk_id string, content string").coalesce(1).write.mode("append").parquet(src)
     incremental.run(spark, src, dst, state)
     assert {r["chunk_id"] for r in spark.read.parquet(dst).collect()} == {"a", "b", "e"}
+
+
+def test_fingerprints_beside_nulls_keep_all_bits(spark):
+    texts = ["a glossary of the estuary", None, "", "ab", "a glossary of the harvest"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").coalesce(1)
+    got = {r["id"]: r["fp"] for r in rows.select("id", dedup.simhash(F.col("t")).alias("fp")).collect()}
+    assert got[1] is None and [got[i] for i in (0, 2, 3, 4)] == dedup.Fingerprints().of([t for t in texts if t is not None])
