@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -204,3 +205,68 @@ def duplicate_groups(rows: DataFrame, key: str, content: str, order: str, kept:
     head = F.substring(content, 1, 100)
     keepers = rows.where(kept).groupBy(head.alias("head")).agg(F.min_by(key, order).alias("kept_id"))
     return rows.where(f"not {kept}").select(F.col(key).alias("removed_id"), head.alias("head")).join(keepers, "head", "left").select("removed_id", "kept_id")
+
+
+@dataclass(frozen=True)
+class Strategy:
+    """Which steps a deduplication takes, and what becomes of the removed rows: keep_first drops them, merge joins their contents to the kept ones."""
+
+    use_hash: bool = True
+    use_simhash: bool = True
+    use_embedding: bool = False
+    simhash_threshold: int = 3
+    embedding_threshold: float = 0.95
+    duplicates: str = "keep_first"
+
+    @staticmethod
+    def of(name: str, config: dict | None = None) -> Strategy:
+        """'test' never compares embeddings; 'production' does unless the settings say otherwise."""
+        if name not in ("test", "production"):
+            raise ValueError(f"unknown strategy {name}")
+        own = {k: v for k, v in (config or {}).items() if k in Strategy.__dataclass_fields__}
+        return Strategy(**{"use_embedding": name == "production", **own, **({"use_embedding": False, "embedding_threshold": 0.95} if name == "test" else {})})
+
+
+def simhash_heads(rows: DataFrame, content: str, order: str, threshold: int = 3) -> DataFrame:
+    """(order, kept, head): for each row that SimHash removes the first kept row within the threshold, for a kept one itself."""
+    marked = cut(dedup_simhash(rows, content, order, threshold))
+    nodes = marked.where("fp is not null").groupBy("fp").agg(F.min(order).alias("place"), F.max("kept").alias("stays"))
+    pairs = near_fingerprints(nodes.select("fp"), threshold)
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    stay = nodes.where("stays").select(F.col("fp").alias("b"), F.col("place").alias("head"))
+    near = both.join(stay, "b").groupBy(F.col("a").alias("fp")).agg(F.min("head").alias("head"))
+    known = nodes.join(near, "fp", "left").select("fp", F.when(F.col("stays"), F.col("place")).otherwise(F.col("head")).alias("head"))
+    return marked.join(known, "fp", "left").select(order, "kept", F.coalesce("head", order).alias("head"))
+
+
+def merged(rows: DataFrame, content: str, order: str, heads: DataFrame) -> DataFrame:
+    """(order, content, merged_count) of the rows that heads(order, kept, head) keeps: the different contents of those removed in favour of one
+    are joined to its own by newlines, in their order."""
+    own = rows.select(order, F.col(content).alias("content"))
+    kept = heads.where("kept").select(order).join(own, order)
+    gone = heads.where("not kept").select(order, "head").join(own, order).join(kept.select(F.col(order).alias("head"), F.col("content").alias("first")), "head").where("content <> first")
+    added = gone.groupBy("head").agg(F.array_sort(F.collect_list(F.struct(order, "content"))).alias("more"))
+    text = F.array_join(F.concat(F.array("content"), F.transform(F.coalesce("more", F.array().cast(added.schema["more"].dataType)), lambda x: x["content"])), "\n")
+    return kept.join(added.withColumnRenamed("head", order), order, "left").select(order, text.alias("content"), F.coalesce(F.size("more"), F.lit(0)).alias("merged_count"))
+
+
+def deduplicate(rows: DataFrame, content: str, order: str, strategy: Strategy = Strategy(), vector: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(kept rows, removed (order, step)) by the strategy's steps in turn: hash, simhash, embedding. order is a unique key; with
+    duplicates='merge' the kept rows' contents have those of similar ones joined on. An embedding step needs a `vector` column."""
+    now, removed = rows, rows.select(order, F.lit("").alias("step")).limit(0)
+    if strategy.use_hash:
+        marked = cut(dedup_exact(now, content, [order]))
+        removed = removed.unionByName(marked.where("not kept").select(order, F.lit("hash").alias("step")))
+        now = marked.where("kept").drop("kept", "first")
+    if strategy.use_simhash:
+        heads = cut(simhash_heads(now, content, order, strategy.simhash_threshold))
+        removed = removed.unionByName(heads.where("not kept").select(order, F.lit("simhash").alias("step")))
+        texts = merged(now, content, order, heads).drop("merged_count") if strategy.duplicates == "merge" else None
+        now = now.join(heads.where("kept").select(order), order, "left_semi")
+        if texts is not None:
+            now = now.drop(content).join(texts.withColumnRenamed("content", content), order).select(*rows.columns)
+    if strategy.use_embedding and vector:
+        marked = cut(dedup_embedding(now.where(F.col(vector).isNotNull()), order, vector, strategy.embedding_threshold)).where("not kept").select(order)
+        removed = removed.unionByName(marked.withColumn("step", F.lit("embedding")))
+        now = now.join(marked, order, "left_anti")
+    return now, removed

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import tokens
+from quire.session import cut
 
 K1, B = 1.5, 0.75
 
@@ -26,6 +27,14 @@ def bm25_stats(docs: DataFrame, text: str) -> DataFrame:
     return docs.agg(F.count("*").alias("n_docs"), F.avg(F.coalesce(F.size(tokens(F.coalesce(F.col(text), F.lit("")))), F.lit(0))).alias("avgdl"))
 
 
+def bm25_fit(docs: DataFrame, key: str, text: str, max_features: int = 50_000) -> tuple[DataFrame, DataFrame, float]:
+    """(term counts, vocabulary, mean number of tokens) of docs: tokens are cut once, and their counts kept for what follows."""
+    counts = cut(term_counts(docs, key, text))
+    n = docs.count()
+    avgdl = (counts.agg(F.sum("tf")).first()[0] or 0) / max(1, n)
+    return counts, bm25_vocabulary(counts, n, max_features), avgdl
+
+
 def bm25_vocabulary(counts: DataFrame, n_docs: int, max_features: int = 50_000) -> DataFrame:
     """(term, term_index, df, idf) of the max_features terms of most documents, ties by term."""
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
@@ -41,19 +50,31 @@ def bm25_vectors(counts: DataFrame, vocabulary: DataFrame, avgdl: float, k1: flo
     return counts.join(F.broadcast(vocabulary), "term").withColumn("weight", weight).where("weight > 0").drop("tf", "dl", "df", "idf")
 
 
-def word_ngrams(text: Column) -> Column:
-    """Words of two or more letters or digits in lower case, and adjacent pairs of them."""
-    w = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9À-ɏ一-鿿]{2,}"), F.lit(0))
-    pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.concat(w, F.filter(pairs, lambda x: x.isNotNull()))
+def word_ngrams(text: Column, longest: int = 2) -> Column:
+    """Words, as runs of letters, digits and underscores of any script, in lower case, and adjacent ones joined up to `longest`."""
+    w = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+
+    out, last = [w], w
+    for n in range(2, longest + 1):
+        behind = F.slice(w, n, F.greatest(F.size(w), F.lit(1)))
+        last = F.filter(F.zip_with(last, behind, lambda a, b: F.concat(a, F.lit(" "), b)), lambda x: x.isNotNull())
+        out.append(last)
+    return F.concat(*out)
 
 
-def tfidf_vectors(docs: DataFrame, key: str, text: str, max_df: float = 0.95, min_df: int = 1) -> DataFrame:
-    """(key, term, weight): tf * (ln((1 + N) / (1 + df)) + 1) over words and pairs, of length 1 in each document."""
+def tfidf_fit(docs: DataFrame, key: str, text: str, max_features: int = 50_000, max_df: float = 0.95, min_df: int = 1, longest: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(counts(key, term, tf), vocabulary(term, idf)). The vocabulary has the max_features terms of most sightings among those that
+    min_df documents and at most a share of max_df of them have, ties by term; idf is ln((1 + N) / (1 + df)) + 1."""
     n = docs.count()
-    counts = docs.select(key, F.explode(word_ngrams(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    df = counts.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
-    raw = counts.join(df, "term").withColumn("w", F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
+    counts = cut(docs.select(key, F.explode(word_ngrams(F.col(text), longest)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")))
+    terms = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
+    top = terms.orderBy(F.desc("all"), "term").limit(max_features)
+    return counts, top.select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def tfidf_vectors(counts: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
+    """(key, term, weight): tf * idf, of length 1 in each document. The vocabulary has a bounded size, so it is broadcast."""
+    raw = counts.join(F.broadcast(vocabulary), "term").withColumn("w", F.col("tf") * F.col("idf"))
     norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
@@ -115,3 +136,12 @@ def cache_misses(chunks: DataFrame, encodings: DataFrame) -> DataFrame:
     own = chunks.withColumn("_h", F.lower("content_hash"))
     k = known.toDF("_id", "_kh")
     return own.join(k, (own["chunk_id"] == k["_id"]) & (own["_h"] == k["_kh"]), "left_anti").drop("_h")
+
+
+def sparse_cosine(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, cosine) of pairs(a, b) of ids in a(a, term, tf) and b(b, term, tf); 0 where they share no term."""
+    norm = lambda rows, key, name: rows.groupBy(key).agg(F.sqrt(F.sum((F.col("tf") * F.col("tf")).cast("double"))).alias(name))
+    met = pairs.join(a.withColumnRenamed("tf", "x"), "a").join(b.withColumnRenamed("tf", "y"), ["b", "term"])
+    dots = met.groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    cos = dots.join(norm(a, "a", "na"), "a").join(norm(b, "b", "nb"), "b").select("a", "b", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("cosine"))
+    return pairs.join(cos, ["a", "b"], "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.session import spread
+from quire.operators.encode import hybrid_score
 
 BLOCK = 10_000
 
@@ -25,49 +26,85 @@ def _scores(q: np.ndarray, v: np.ndarray, space: str) -> np.ndarray:
     return np.exp(-np.maximum(0.0, qn[:, None] + vn[None, :] - 2 * (q @ v.T)))
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int = 5, space: str = "cosine", digits: int = 6, keep: list[str] | None = None) -> DataFrame:
+def top_k(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int = 5, space: str = "cosine", digits: int = 6, block: int = BLOCK) -> DataFrame:
     """(query_id, key, score, rank): the k best vectors of each query, by score to `digits` digits, ties by key.
 
-    space is cosine (score (1 + cos) / 2), l2 (exp of minus the squared distance) or ip (dot product). Queries are
-    taken in blocks of up to BLOCK vectors, one pass over the collection each; a task scores its batches by
-    matrix products and passes on its k best, so what is shuffled is k rows per query and task. A
-    query finds itself unless the caller filters it. Null vectors take no part.
+    space is cosine (score (1 + cos) / 2), l2 (exp of minus the squared distance) or ip (dot product). Queries and
+    vectors are cut into blocks by a hash of their ids; each block of queries meets each block of vectors in one cell of a
+    join on the two numbers, so a task holds a block of both whatever the sizes, and nothing passes the driver. A cell scores by a
+    matrix product and passes on k rows a query. A query finds itself unless the caller filters it. Null vectors take no part.
     """
     if space not in ("cosine", "l2", "ip"):
         raise ValueError(f"unknown space {space}")
-    asked = queries.select(F.col(key).cast("bigint").alias("q"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
-    blocks = max(1, -(-asked.count() // BLOCK))
-    rows = spread(vectors.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null"))
-    found = None
-    for i in range(blocks):
-        some = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i).collect()
-        ids = np.array([r["q"] for r in some], dtype=np.int64)
-        q = np.array([r["v"] for r in some], dtype=np.float64)
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
-            best: list[list[tuple[float, int]]] = [[] for _ in ids]
-            for batch in batches:
-                for a in range(0, batch.num_rows, 2048):
-                    part = batch.slice(a, 2048)
-                    vid = part.column(0).to_numpy()
-                    v = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(vid), -1)
-                    s = np.round(_scores(q, v, space), digits)
-                    n = min(k, s.shape[1])
-                    order = np.lexsort((np.broadcast_to(vid, s.shape), -s), axis=1)[:, :n]
-                    for j, row in enumerate(order):
-                        best[j] = sorted([*best[j], *((-float(s[j, c]), int(vid[c])) for c in row)])[:k]
-            flat = [(int(ids[j]), i, -s) for j, b in enumerate(best) for s, i in b]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in flat], t) for c, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.float64()))], names=["query_id", key, "score"])
-
-        if len(some):
-            part = rows.mapInArrow(run, f"query_id bigint, `{key}` bigint, score double")
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = queries.sparkSession.createDataFrame([], f"query_id bigint, `{key}` bigint, score double")
+    asked = queries.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    n_asked, n_rows = asked.count(), rows.count()
+    across = max(1, -(-n_asked // block))
+    down = max(1, min(-(-n_rows // 256), max(-(-n_rows // block), asked.sparkSession.sparkContext.defaultParallelism)))
+    place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    q = asked.select(place(across).alias("x"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("y"), F.lit(0).alias("side"), "id", "v")
+    r = rows.select(F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("x"), place(down).alias("y"), F.lit(1).alias("side"), "id", "v")
+    cells = q.unionByName(r).repartition(across * down, "x", "y").sortWithinPartitions("x", "y", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        now = ids = asked_v = None
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if best is not None and best.n:
+                yield best.batch(key)
+
+        for batch in batches:
+            x, y, side, vid = (batch.column(c).to_numpy() for c in range(4))
+            col = batch.column(4)
+            flat, ends = col.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(np.asarray(pa.compute.list_value_length(col))))
+            edges = np.flatnonzero((x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (side[1:] != side[:-1])) + 1
+            for a, b in zip([0, *edges], [*edges, len(x)]):
+                v = flat[ends[a] : ends[b]].reshape(b - a, -1)
+                if (x[a], y[a]) != now:
+                    yield from done()
+                    now, best, parts, ids = (x[a], y[a]), None, [], None
+                if side[a] == 0:
+                    parts.append((vid[a:b], v))
+                elif parts:
+                    if best is None:
+                        ids, asked_v = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+                        best = _Best(ids, k)
+                    for i in range(0, b - a, 2048):
+                        best.add(vid[a:b][i : i + 2048], np.round(_scores(asked_v, v[i : i + 2048], space), digits))
+        yield from done()
+
+    found = cells.mapInArrow(run, f"query_id bigint, `{key}` bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+class _Best:
+    """The k best of what was added for each query: by score, ties by id."""
+
+    def __init__(self, ids: np.ndarray, k: int) -> None:
+        self.ids, self.k, self.n = ids, k, 0
+        self.score = np.empty((len(ids), 0))
+        self.id = np.empty((len(ids), 0), np.int64)
+
+    def add(self, vid: np.ndarray, s: np.ndarray) -> None:
+        score = np.concatenate((self.score, s), 1)
+        id_ = np.concatenate((self.id, np.broadcast_to(vid, s.shape)), 1)
+        if score.shape[1] > self.k:
+            # all that are as good as the k-th stay until ties are settled by id
+            least = -np.partition(-score, self.k - 1, 1)[:, self.k - 1 : self.k]
+            width = int((score >= least).sum(1).max())
+            some = np.argpartition(-score, width - 1, 1)[:, :width] if width < score.shape[1] else np.broadcast_to(np.arange(score.shape[1]), score.shape)
+            score, id_ = np.take_along_axis(score, some, 1), np.take_along_axis(id_, some, 1)
+        order = np.lexsort((id_, -score), axis=1)[:, : self.k]
+        self.score, self.id = np.take_along_axis(score, order, 1), np.take_along_axis(id_, order, 1)
+        self.n = self.score.size
+
+    def batch(self, key: str) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, self.score.shape[1])), pa.array(self.id.ravel()), pa.array(self.score.ravel())], names=["query_id", key, "score"])
+
+
 def retrieve(hits: DataFrame, k: int, threshold: float | None, rerank: Column | None = None, order: str = "vec_id") -> DataFrame:
     """Hits of score threshold or more; with rerank, that score replaces theirs and decides the order. A threshold of None or 0 passes all."""
     kept = hits.where(F.col("score") >= threshold) if threshold else hits
@@ -87,6 +124,20 @@ def term_search(query_terms: DataFrame, weights: DataFrame, key: str, k: int = 5
     return score.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def hybrid_search(dense: DataFrame, sparse: DataFrame, key: str, k: int = 5, dense_weight: float = 0.7, sparse_weight: float = 0.3) -> DataFrame:
+    """(query_id, key, score, rank) of hits(query_id, key, score) of a dense and a term search, by their weighted sum.
+
+    Sparse scores are divided by the query's greatest one; a hit that only one search has counts 0 in the other.
+    The weights are scaled to a sum of 1.
+    """
+    top = sparse.groupBy("query_id").agg(F.max("score").alias("top"))
+    scaled = sparse.join(top, "query_id").select("query_id", key, F.when(F.col("top") > 0, F.col("score") / F.col("top")).otherwise(0.0).alias("sparse"))
+    both = dense.select("query_id", key, F.col("score").alias("dense")).join(scaled, ["query_id", key], "full")
+    fused = both.select("query_id", key, F.round(hybrid_score(F.col("dense"), F.col("sparse"), dense_weight, sparse_weight), 6).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
+    return fused.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def preview(content: Column, n: int = 300) -> Column:
     return F.substring(content, 1, n)
 

@@ -54,6 +54,11 @@ def classify_files(current: DataFrame, state: DataFrame, errors: DataFrame, enab
     return current.join(s, "file_path", "left").join(e, "file_path", "left").select(*current.columns, reason.alias("reason"))
 
 
+def size_filter(files: DataFrame, least: int = MIN_FILE_SIZE) -> DataFrame:
+    """The files(size_bytes, ...) that are too small to be processed; those of unknown size aren't."""
+    return files.where(F.col("size_bytes") < least)
+
+
 def priority(path: Column) -> Column:
     kinds = F.create_map(*(F.lit(x) for kv in PRIORITY.items() for x in kv))
     return F.coalesce(kinds[extension(path)], F.lit(99))
@@ -89,6 +94,33 @@ def task_plan(files: DataFrame, tasks: DataFrame) -> DataFrame:
     return files.join(tasks.select("file_path", "status"), "file_path", "left").select(*files.columns, status.alias("next_status"), priority(F.col("file_path")).alias("priority"))
 
 
+STATUSES = ("pending", "processing", "completed", "error", "skipped", "filtered")
+
+
+def record_results(tasks: DataFrame, results: DataFrame) -> DataFrame:
+    """tasks(file_path, status, error, retry_count) after results(file_path, status, error): an error that comes with a
+    message is kept and, with the status 'error', counted as one more try; files that aren't tasks are ignored. Of
+    several results of a file an error wins, then the least message."""
+    bad = F.when(F.col("status") == "error", 0).otherwise(1)
+    one = results.groupBy("file_path").agg(F.min(F.struct(bad.alias("bad"), F.col("error").isNull().alias("none"), "error", "status")).alias("r"))
+    new = one.select("file_path", F.col("r.status").alias("new_status"), F.col("r.error").alias("new_error"))
+    failed = (F.col("new_status") == "error") & F.col("new_error").isNotNull()
+    tries = F.coalesce("retry_count", F.lit(0))
+    return tasks.join(new, "file_path", "left").select("file_path", F.coalesce("new_status", "status").alias("status"), F.coalesce("new_error", "error").alias("error"), (tries + F.when(failed, 1).otherwise(0)).alias("retry_count"))
+
+
+def reset_errors(tasks: DataFrame) -> DataFrame:
+    """tasks with the failed ones pending again, without an error and with no tries."""
+    failed = F.col("status") == "error"
+    return tasks.select("file_path", F.when(failed, "pending").otherwise(F.col("status")).alias("status"), F.when(~failed, F.col("error")).alias("error"), F.when(failed, 0).otherwise(F.coalesce("retry_count", F.lit(0))).alias("retry_count"))
+
+
+def task_statistics(tasks: DataFrame) -> DataFrame:
+    """One row: all tasks, those of each status, 0 where there are none, and whether none is left to do."""
+    n = lambda s: F.count(F.when(F.col("status") == s, 1))
+    return tasks.agg(F.count("*").alias("total"), *(n(s).alias(s) for s in STATUSES), (n("pending") + n("processing") == 0).alias("is_completed"))
+
+
 def merge_log(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Both logs, one row for each key; the old one wins, ties take the least value."""
     both = old.select(*keys, value, F.lit(0).alias("_n")).unionByName(new.select(*keys, value, F.lit(1).alias("_n")))
@@ -96,6 +128,11 @@ def merge_log(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> Da
 
 
 def flatten_metadata(columns: dict[str, Column]) -> Column:
-    """A map of scalars as text and of lists cut to 10 as JSON; nulls and empty lists are dropped."""
+    """A map of the columns as text; nulls are dropped. Lists go in by `list_value`."""
     m = F.create_map(*(x for k, v in columns.items() for x in (F.lit(k), v)))
     return F.map_filter(m, lambda _, v: v.isNotNull())
+
+
+def list_value(c: Column, most: int = 10) -> Column:
+    """A list as JSON, cut to `most` values; null for an empty or null one."""
+    return F.when(F.size(c) > 0, F.to_json(F.slice(c, 1, most)))

@@ -361,18 +361,27 @@ def dedup_global(s: SparkSession, d: str) -> DataFrame:
     return dedup.dedup_simhash(spread(first), "content", "chunk_id").where("kept").select("chunk_id")
 
 
-# Encoding
+@query
+def dedup_merge(s: SparkSession, d: str) -> DataFrame:
+    """Documents kept by SimHash, with the contents of those removed in their favour joined on."""
+    rows = _docs(s, d)
+    text_ = dedup.merged(rows, "text", "doc_id", dedup.simhash_heads(spread(rows), "text", "doc_id"))
+    return text_.select("doc_id", "merged_count", F.length("content").alias("length"), F.md5(F.col("content").cast("binary")).alias("content_hash"))
+
+
+@query
+def dedup_strategy(s: SparkSession, d: str) -> DataFrame:
+    """Documents removed by each step of the test strategy."""
+    removed = dedup.deduplicate(_docs(s, d), "text", "doc_id", dedup.Strategy.of("test"))[1]
+    return removed.groupBy("step").agg(F.count("*").alias("documents"))
 
 
-def _counts(s: SparkSession, d: str) -> DataFrame:
-    return encode.term_counts(spread(_docs(s, d)), "doc_id", "text")
+# Encoding
 
 
 def _bm25(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    counts = _counts(s, d)
-    stats = encode.bm25_stats(_docs(s, d), "text").first()
-    vocabulary = encode.bm25_vocabulary(counts, stats["n_docs"])
-    return vocabulary, encode.bm25_vectors(counts, vocabulary, stats["avgdl"])
+    counts, vocabulary, avgdl = encode.bm25_fit(spread(_docs(s, d)), "doc_id", "text")
+    return vocabulary, encode.bm25_vectors(counts, vocabulary, avgdl)
 
 
 @query
@@ -397,7 +406,8 @@ def bm25_vectors(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def tfidf_vectors(s: SparkSession, d: str) -> DataFrame:
-    return encode.tfidf_vectors(spread(_docs(s, d)), "doc_id", "text").select("doc_id", "term", F.round("weight", 6).alias("weight"))
+    counts, vocabulary = encode.tfidf_fit(spread(_docs(s, d)), "doc_id", "text")
+    return encode.tfidf_vectors(counts, vocabulary, "doc_id").select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
 @query
@@ -417,12 +427,24 @@ def hybrid_rows(s: SparkSession, d: str) -> DataFrame:
 @query
 def sparse_cosine(s: SparkSession, d: str) -> DataFrame:
     """Cosine of term counts, and hybrid score without dense vectors, of incoming chunks against the stored ones of their id."""
-    new = encode.term_counts(spread(table(s, d, "incoming_chunks")).select(F.col("incoming_id"), "content"), "incoming_id", "content").join(table(s, d, "incoming_chunks").select("incoming_id", "chunk_id"), "incoming_id")
-    old = encode.term_counts(table(s, d, "chunks").select("chunk_id", "content").distinct(), "chunk_id", "content")
-    norm = lambda rows, key, name: rows.groupBy(key).agg(F.sqrt(F.sum((F.col("tf") * F.col("tf")).cast("double"))).alias(name))
-    dots = new.alias("n").join(old.alias("o"), (F.col("n.chunk_id") == F.col("o.chunk_id")) & (F.col("n.term") == F.col("o.term"))).groupBy(F.col("n.incoming_id").alias("incoming_id"), F.col("n.chunk_id").alias("chunk_id")).agg(F.sum(F.col("n.tf") * F.col("o.tf")).alias("dot"))
-    cos = dots.join(norm(new, "incoming_id", "a"), "incoming_id").join(norm(old, "chunk_id", "b"), "chunk_id").withColumn("c", F.col("dot") / (F.col("a") * F.col("b")))
-    return cos.select("incoming_id", "chunk_id", F.round("c", 6).alias("sparse_cosine"), F.round(encode.hybrid_score(F.lit(None).cast("double"), F.col("c")), 6).alias("hybrid"))
+    rows = table(s, d, "incoming_chunks").select(F.col("incoming_id").alias("a"), F.col("chunk_id").alias("b"), "content")
+    new = encode.term_counts(rows, "a", "content").drop("dl")
+    old = encode.term_counts(table(s, d, "chunks").select(F.col("chunk_id").alias("b"), "content").distinct(), "b", "content").drop("dl")
+    cos = encode.sparse_cosine(new, old, rows.select("a", "b").distinct()).where("cosine > 0")
+    return cos.select(F.col("a").alias("incoming_id"), F.col("b").alias("chunk_id"), F.round("cosine", 6).alias("sparse_cosine"), F.round(encode.hybrid_score(F.lit(None).cast("double"), F.col("cosine")), 6).alias("hybrid"))
+
+
+@query
+def hybrid_similarity(s: SparkSession, d: str) -> DataFrame:
+    """Dense, sparse and hybrid similarity of each document to the next one, of those that have an embedding."""
+    vectors = table(s, d, "embeddings").select("vec_id", "embedding").where("embedding is not null").dropDuplicates(["vec_id"])
+    docs = _docs(s, d).join(vectors.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
+    ids = docs.select("doc_id").distinct()
+    pairs = ids.select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b")).join(ids.select(F.col("doc_id").alias("b")), "b", "left_semi")
+    counts = encode.term_counts(docs, "doc_id", "text").drop("dl")
+    sparse = encode.sparse_cosine(counts.withColumnRenamed("doc_id", "a"), counts.withColumnRenamed("doc_id", "b"), pairs)
+    both = sparse.join(vectors.toDF("a", "va"), "a").join(vectors.toDF("b", "vb"), "b").withColumn("dense", encode.cosine(F.col("va"), F.col("vb")))
+    return both.select("a", "b", F.round("dense", 5).alias("dense"), F.round("cosine", 5).alias("sparse"), F.round(encode.hybrid_score(F.col("dense"), F.col("cosine")), 5).alias("hybrid"))
 
 
 @query
@@ -498,6 +520,14 @@ def bm25_search(s: SparkSession, d: str) -> DataFrame:
     return search.term_search(_title_terms(s, d), _bm25(s, d)[1], "doc_id")
 
 
+@query
+def hybrid_search(s: SparkSession, d: str) -> DataFrame:
+    """The 5 best of both searches for the documents whose id is divisible by 20: by their embeddings, and by their titles."""
+    dense = _top(s, d, "cosine", 10).withColumnRenamed("vec_id", "doc_id")
+    sparse = search.term_search(_title_terms(s, d), _bm25(s, d)[1], "doc_id", 10)
+    return search.hybrid_search(dense, sparse, "doc_id").select("query_id", "doc_id", F.round("score", 5).alias("score"))
+
+
 @query
 def retrieve_preview(s: SparkSession, d: str) -> DataFrame:
     hits = search.term_search(_title_terms(s, d), _bm25(s, d)[1], "doc_id", 1)
@@ -601,7 +631,8 @@ def _tasks(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def task_size_filter(s: SparkSession, d: str) -> DataFrame:
-    return _files(s, d).where(F.col("size_bytes") < tables.MIN_FILE_SIZE).select("file_path", "size_bytes")
+    """Files of fewer than 6000 bytes; no file of these tables is below the usual least size."""
+    return tables.size_filter(_files(s, d), 6000).select("file_path", "size_bytes")
 
 
 @query
@@ -619,6 +650,28 @@ def task_status_counts(s: SparkSession, d: str) -> DataFrame:
     return tables.task_plan(_files(s, d), _tasks(s, d)).groupBy(F.col("next_status").alias("status")).agg(F.count("*").alias("files"))
 
 
+def _recorded(s: SparkSession, d: str) -> DataFrame:
+    """The task table once what cleaning did is on record."""
+    tasks = _tasks(s, d).withColumn("error", F.lit(None).cast("string")).withColumn("retry_count", F.lit(0))
+    done = table(s, d, "cleaning_results").where("filename is not null").select(F.col("filename").alias("file_path"), F.when(F.col("error").isNull(), "completed").otherwise("error").alias("status"), "error")
+    return tables.record_results(tasks, done)
+
+
+@query
+def task_record(s: SparkSession, d: str) -> DataFrame:
+    return _recorded(s, d)
+
+
+@query
+def task_reset(s: SparkSession, d: str) -> DataFrame:
+    return tables.reset_errors(_recorded(s, d))
+
+
+@query
+def task_statistics(s: SparkSession, d: str) -> DataFrame:
+    return tables.task_statistics(_recorded(s, d))
+
+
 @query
 def log_merge(s: SparkSession, d: str) -> DataFrame:
     logs = table(s, d, "cleaning_results").where("error is not null and filename is not null")

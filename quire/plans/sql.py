@@ -62,6 +62,8 @@ _FILES = f"(select c.file_path, z.size_bytes, c.reason from {_CLASSIFIED} c join
 _TASKS = f"""(select l.file_path, case when f.file_path is not null then 'error' when l.n < 0 then 'skipped' when l.n = 0 then 'processing' else 'completed' end as status
     from (select file_path, arg_max(n, struct_pack(a := processed_at, b := n)) as n from (select *, coalesce(len(chunk_ids), -1) as n from file_records where processed_at < '{CUTOFF}') group by file_path) l
     left join {_FAILED} f using (file_path))"""
+_RECORDED = f"""(select t.file_path, coalesce(r.status, t.status) as status, r.error as error, cast(case when r.status = 'error' and r.error is not null then 1 else 0 end as int) as retry_count
+    from {_TASKS} t left join (select filename as file_path, case when count(error) > 0 then 'error' else 'completed' end as status, min(error) as error from cleaning_results where filename is not null group by 1) r using (file_path))"""
 _PLAN = f"""(select f.file_path, f.reason,
     case when f.size_bytes < 1024 then 'filtered'
          when t.status in ('completed', 'error') then case when f.reason = 'modified' then 'pending' else t.status end
@@ -103,7 +105,7 @@ _DETAIL = f"""(select query_id, count(distinct item) as n_retrieved, any_value(n
         join embeddings q on q.vec_id = h.query_id join embeddings v on v.vec_id = h.vec_id join (select label, count(*) as n from embeddings group by label) n on n.label = q.label
         where h.vec_id <> h.query_id) group by query_id)""".replace("h.", "hits.")
 _FIRST = "(select doc_id, text, min(doc_id) over (partition by text) as first_id from documents)"
-_NGRAMS = "regexp_extract_all(lower(text), '[a-z0-9À-ɏ一-鿿]{2,}')"
+_NGRAMS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 
 
 def _simhash(rows: str, key: str, text: str) -> str:
@@ -135,6 +137,39 @@ def _near_first(rows: str, key: str, text: str) -> str:
 _LINES = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 SQL: dict[str, str] = {
+    "task_record": f"select * from {_RECORDED}",
+    "task_reset": f"select file_path, case when status = 'error' then 'pending' else status end as status, cast(case when status <> 'error' then error end as varchar) as error, cast(case when status = 'error' then 0 else retry_count end as int) as retry_count from {_RECORDED}",
+    "task_statistics": f"""
+        select count(*) as total, {", ".join(f"count(case when status = '{x}' then 1 end) as {x}" for x in ("pending", "processing", "completed", "error", "skipped", "filtered"))},
+            count(case when status in ('pending', 'processing') then 1 end) = 0 as is_completed from {_RECORDED}
+    """,
+    "dedup_merge": _near_first("select doc_id, text from documents", "doc_id", "text")
+    + """,
+        heads as (select j.doc_id, j.kept, coalesce(case when n.rn in (select rn from gone) then (select min(m.place) from nodes m where m.rn not in (select rn from gone) and bit_count(xor(m.fp, n.fp)) <= 3) else n.place end, j.doc_id) as head from judged j join nodes n using (fp)),
+        more as (select h.head, string_agg(chr(10) || r.text, '' order by h.doc_id) as text, count(*) as n from heads h join r on r.doc_id = h.doc_id join r f on f.doc_id = h.head where not h.kept and r.text <> f.text group by 1)
+        select h.doc_id, cast(coalesce(m.n, 0) as int) as merged_count, cast(length(r.text || coalesce(m.text, '')) as int) as length, md5(r.text || coalesce(m.text, '')) as content_hash
+        from heads h join r on r.doc_id = h.doc_id left join more m on m.head = h.doc_id where h.kept
+    """,
+    "dedup_strategy": "select * from (select 'hash' as step, count(*) as documents from documents where doc_id not in (select min(doc_id) from documents group by text) union all select 'simhash', n from ("
+    + _near_first("select min(doc_id) as doc_id, text from documents group by text", "doc_id", "text")
+    + " select count(*) as n from judged where not kept)) where documents > 0",
+    "hybrid_similarity": f"""
+        with v as materialized (select vec_id, cast(any_value(embedding) as double[]) as v from embeddings where embedding is not null group by 1),
+        docs as materialized (select doc_id, text from documents where doc_id in (select vec_id from v)),
+        c as materialized (select doc_id, term, count(*) as tf from (select doc_id, unnest({_tokens('text')}) as term from docs) group by all),
+        norm as (select doc_id, sqrt(sum(tf * tf)) as n from c group by 1),
+        p as (select distinct x.doc_id as a, x.doc_id + 1 as b from docs x where x.doc_id + 1 in (select doc_id from docs)),
+        dots as (select p.a, p.b, sum(x.tf * y.tf) as dot from p join c x on x.doc_id = p.a join c y on y.doc_id = p.b and y.term = x.term group by 1, 2),
+        m as (select p.a, p.b, list_cosine_similarity(va.v, vb.v) as dense, coalesce(dot / (na.n * nb.n), 0.0) as sparse
+            from p join v va on va.vec_id = p.a join v vb on vb.vec_id = p.b left join dots d on d.a = p.a and d.b = p.b left join norm na on na.doc_id = p.a left join norm nb on nb.doc_id = p.b)
+        select a, b, round(dense, 5) as dense, round(sparse, 5) as sparse, round(0.7 * dense + 0.3 * sparse, 5) as hybrid from m
+    """,
+    "hybrid_search": f"""{_HITS},
+        s as (select query_id, doc_id, score / max(score) over (partition by query_id) as sparse from ranked where rank <= 10),
+        t as (select query_id, vec_id as doc_id, score as dense from {_top('cosine', 10)}),
+        f as (select coalesce(s.query_id, t.query_id) as query_id, coalesce(s.doc_id, t.doc_id) as doc_id, round(0.7 * coalesce(dense, 0) + 0.3 * coalesce(sparse, 0), 6) as score from s full join t on s.query_id = t.query_id and s.doc_id = t.doc_id)
+        select query_id, doc_id, round(score, 5) as score from f qualify row_number() over (partition by query_id order by score desc, doc_id) <= 5
+    """,
     "simhash_fp": f"select doc_id, fp from {_simhash('documents', 'doc_id', 'text')}",
     "simhash_links": f"""
         with prints as materialized (select doc_id, fp from {_simhash('documents', 'doc_id', 'text')}), f as (select fp, count(*) as documents from prints group by fp)
@@ -224,8 +259,8 @@ SQL: dict[str, str] = {
         grams as (select doc_id, unnest(list_concat(w, list_transform(w[2:], lambda x, i: w[i] || ' ' || x))) as term from w),
         counts as (select doc_id, term, count(*) as tf from grams group by 1, 2),
         n as (select count(*) as n from documents),
-        df as (select term, count(*) as df from counts group by 1),
-        raw as (select doc_id, term, tf * (ln((1 + n) / (1 + df)) + 1) as w from counts join df using (term), n where df <= 0.95 * n)
+        df as (select term, df from (select term, count(*) as df, sum(tf) as seen from counts group by 1), n where df <= 0.95 * n qualify row_number() over (order by seen desc, term) <= 50000),
+        raw as (select doc_id, term, tf * (ln((1 + n) / (1 + df)) + 1) as w from counts join df using (term), n)
         select doc_id, term, round(w / sqrt(sum(w * w) over (partition by doc_id)), 6) as weight from raw
     """,
     "hybrid_rows": "select chunk_id, content_hash, v.p is not null as has_dense, sparse_vector_path is not null as has_sparse, v.p is not null and sparse_vector_path is not null as is_hybrid from encodings e left join (select dense_vector_path as p from dense_vectors where dense_vector is not null) v on v.p = e.dense_vector_path",
@@ -260,7 +295,7 @@ SQL: dict[str, str] = {
     "inc_stats": f"select reason, count(*) as files from {_CLASSIFIED} group by 1",
     "inc_upsert": f"select * from {_STATE} where file_path not in (select file_path from {_CLASSIFIED} where reason in ('new', 'modified')) union all select file_path, file_hash from {_CLASSIFIED} where reason in ('new', 'modified')",
     "inc_orphans": f"select * from {_STATE} where file_path not in (select source_file from chunks where source_file is not null)",
-    "task_size_filter": f"select file_path, size_bytes from {_FILES} where size_bytes < 1024",
+    "task_size_filter": f"select file_path, size_bytes from {_FILES} where size_bytes < 6000",
     "task_plan": f"select * from {_PLAN}",
     "task_pending": f"select file_path, priority from {_PLAN} where next_status = 'pending'",
     "task_status_counts": f"select next_status as status, count(*) as files from {_PLAN} group by 1",

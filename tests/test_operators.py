@@ -135,3 +135,46 @@ def test_fingerprints_beside_nulls_keep_all_bits(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").coalesce(1)
     got = {r["id"]: r["fp"] for r in rows.select("id", dedup.simhash(F.col("t")).alias("fp")).collect()}
     assert got[1] is None and [got[i] for i in (0, 2, 3, 4)] == dedup.Fingerprints().of([t for t in texts if t is not None])
+
+
+def test_word_ngrams(spark):
+    row = spark.createDataFrame([("A bc_1 Été 中文 d",), ("x",), ("",), (None,)], "t string")
+    got = [r[0] for r in row.select(encode.word_ngrams(F.col("t"), 3)).collect()]
+    assert got[0] == ["a", "bc_1", "été", "中文", "d", "a bc_1", "bc_1 été", "été 中文", "中文 d", "a bc_1 été", "bc_1 été 中文", "été 中文 d"]
+    assert got[1:] == [["x"], [], None]
+
+
+def test_top_k_over_many_blocks(spark):
+    rnd = random.Random(4)
+    data = [(i, [float(rnd.randrange(3)) for _ in range(4)]) for i in range(900)] + [(900, None), (901, [0.0] * 4)]
+    rows = spark.createDataFrame(data, "vec_id bigint, v array<double>")
+    few = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in search.top_k(rows.where("vec_id < 40"), rows, "vec_id", "v", 7, "ip").collect()}
+    many = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in search.top_k(rows.where("vec_id < 40"), rows, "vec_id", "v", 7, "ip", block=11).collect()}
+    brute = {}
+    for q, v in data[:40]:
+        order = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in data if w)[:7]
+        brute |= {(q, n + 1): (i, -s) for n, (s, i) in enumerate(order)}
+    assert few == many == brute
+    assert search.top_k(rows.limit(0), rows, "vec_id", "v").count() == search.top_k(rows, rows.limit(0), "vec_id", "v").count() == 0
+
+
+def test_results_are_recorded_and_errors_reset(spark):
+    tasks = spark.createDataFrame([("a", "pending", None, None), ("b", "error", "old", 2), ("c", "completed", None, 0)], "file_path string, status string, error string, retry_count int")
+    results = spark.createDataFrame([("a", "completed", None), ("b", "error", "new"), ("b", "completed", None), ("x", "error", "no task")], "file_path string, status string, error string")
+    got = {r["file_path"]: tuple(r)[1:] for r in tables.record_results(tasks, results).collect()}
+    assert got == {"a": ("completed", None, 0), "b": ("error", "new", 3), "c": ("completed", None, 0)}
+    again = tables.reset_errors(tables.record_results(tasks, results))
+    assert {r["file_path"]: tuple(r)[1:] for r in again.collect()}["b"] == ("pending", None, 0)
+    assert tables.task_statistics(again).first().asDict() == {"total": 3, "pending": 1, "processing": 0, "completed": 2, "error": 0, "skipped": 0, "filtered": 0, "is_completed": False}
+    assert tables.task_statistics(again.limit(0)).first()["is_completed"]
+
+
+def test_strategies(spark):
+    assert not dedup.Strategy.of("test", {"use_embedding": True}).use_embedding and dedup.Strategy.of("production").use_embedding
+    with pytest.raises(ValueError):
+        dedup.Strategy.of("other")
+    text = "the glossary of the estuary simplified the harvest at a rate of units per hour " * 3
+    rows = spark.createDataFrame([(1, text, [1.0, 0.0]), (2, text, [1.0, 0.0]), (3, text + "!", [0.0, 1.0]), (4, "quite another thing about valves and turbines", [1.0, 0.01]), (5, None, None)], "id int, t string, v array<double>")
+    kept, removed = dedup.deduplicate(rows, "t", "id", dedup.Strategy(use_embedding=True, duplicates="merge"), "v")
+    assert {tuple(r) for r in removed.collect()} == {(2, "hash"), (3, "simhash"), (4, "embedding")}
+    assert {r["id"]: r["t"] for r in kept.collect()} == {1: text + "\n" + text + "!", 5: None}
