@@ -247,6 +247,7 @@ def merged(rows: DataFrame, content: str, order: str, heads: DataFrame) -> DataF
     gone = heads.where("not kept").select(order, "head").join(own, order).join(kept.select(F.col(order).alias("head"), F.col("content").alias("first")), "head").where("content <> first")
     added = gone.groupBy("head").agg(F.array_sort(F.collect_list(F.struct(order, "content"))).alias("more"))
     text = F.array_join(F.concat(F.array("content"), F.transform(F.coalesce("more", F.array().cast(added.schema["more"].dataType)), lambda x: x["content"])), "\n")
+    text = F.when(F.col("more").isNull(), F.col("content")).otherwise(text)
     return kept.join(added.withColumnRenamed("head", order), order, "left").select(order, text.alias("content"), F.coalesce(F.size("more"), F.lit(0)).alias("merged_count"))
 
 
