@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, SparkSession
@@ -55,7 +56,7 @@ def merge_lines(c: Column) -> Column:
     with an upper-case letter or a digit. Only the end of the line before and the start of the next
     decide, so no state is carried: the lines are zipped with those before them.
     """
-    trimmed = F.transform(F.split(c, "\n"), lambda x, i: F.struct(strip(x).alias("t"), i.alias("i")))
+    trimmed = F.transform(F.split(unify_newlines(c), "\n"), lambda x, i: F.struct(strip(x).alias("t"), i.alias("i")))
     lines = F.filter(trimmed, lambda x: x["t"] != "")
     before = F.concat(F.array(F.struct(F.lit("").alias("t"), F.lit(-1).alias("i"))), lines)
     glued = F.zip_with(
@@ -65,7 +66,7 @@ def merge_lines(c: Column) -> Column:
         .when((y["i"] + 1 != x["i"]) | y["t"].rlike(r"[.。!！?？;；:：]$") | x["t"].rlike(r"^[\p{Lu}\p{Nd}]"), F.concat(F.lit("\n\n"), x["t"]))
         .otherwise(F.concat(F.lit(" "), x["t"])),
     )
-    text = F.regexp_replace(F.array_join(glued, ""), " +", " ")
+    text = squeeze_blanks(F.array_join(glued, ""))
     return strip(F.regexp_replace(text, "\n{3,}", "\n\n"))
 
 
@@ -118,6 +119,13 @@ def quality_report(original: Column, cleaned: Column, min_length: int = 10, leas
     return F.struct(a.alias("original_length"), b.alias("cleaned_length"), ratio.alias("length_ratio"), valid.alias("char_set_valid"), long.alias("min_length_check"), (long & kept & valid).alias("passed"), issues.alias("issues"))
 
 
+def clean_with_report(c: Column, name: Column, steps: Callable[[Column], Column] = clean_structure, **limits) -> Column:
+    """Struct of a cleaning's result: filename, original and cleaned text, report, success and error. A null text is an error with an empty result."""
+    cleaned = F.when(c.isNull(), "").otherwise(steps(c))
+    error = F.when(c.isNull(), "no text")
+    return F.struct(F.coalesce(name, F.lit("")).alias("filename"), F.coalesce(c, F.lit("")).alias("original_text"), cleaned.alias("cleaned_text"), F.when(c.isNotNull(), quality_report(c, cleaned, **limits)).alias("quality_report"), c.isNotNull().alias("success"), error.alias("error"))
+
+
 def tokens(c: Column) -> Column:
     """Runs of ASCII letters in lower case, then single Han characters, then runs of digits."""
     low = F.lower(c)

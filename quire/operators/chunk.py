@@ -85,22 +85,43 @@ def chunk_text(text: str, size: int = 500, overlap: int = 50, separators: list[s
     return out
 
 
-def recursive_chunks(rows: DataFrame, key: str, text: str, size: int = 500, overlap: int = 50, min_length: int = 20) -> DataFrame:
-    """(key, chunk_index, start_pos, end_pos, content): chunks by separators, short ones dropped, numbered from 0."""
-    kind = dict(rows.dtypes)[key]
+def recursive_chunks(rows: DataFrame, key: str, text: str, size: int = 500, overlap: int = 50, min_length: int = 20, keep: tuple[str, ...] = (), merge: bool = False) -> DataFrame:
+    """(key, the columns of `keep`, chunk_index, start_pos, end_pos, content): chunks by separators, numbered from 0.
+
+    Short ones are dropped, or with merge=True joined by a newline to what follows, which then begins where they do. The
+    columns of `keep` are the document's metadata, the same on each of its chunks.
+    """
+    kinds = dict(rows.dtypes)
+    own = [key, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[], [], [], [], []]
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                kept = [c for c in chunk_text(t, size, overlap) if len(c[0]) >= min_length]
-                for i, (c, a, b) in enumerate(kept):
-                    for col, x in zip(cols, (k, i, a, b, c)):
+            at: list[int] = []
+            cols: list[list] = [[], [], [], []]
+            for row, t in enumerate(batch.column(len(own)).to_pylist()):
+                found = chunk_text(t, size, overlap)
+                found = merge_pieces(found, min_length) if merge else [c for c in found if len(c[0]) >= min_length]
+                for i, (c, a, b) in enumerate(found):
+                    at.append(row)
+                    for col, x in zip(cols, (i, a, b, c)):
                         col.append(x)
-            types = [batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[key, "chunk_index", "start_pos", "end_pos", "content"])
-
-    return rows.select(key, text).where(F.length(text) > 0).mapInArrow(run, f"`{key}` {kind}, chunk_index int, start_pos int, end_pos int, content string")
+            types = [pa.int32(), pa.int32(), pa.int32(), pa.string()]
+            index = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(index) for i in range(len(own))), *(pa.array(c, t) for c, t in zip(cols, types))], names=[*own, "chunk_index", "start_pos", "end_pos", "content"])
+
+    shape = "".join(f"`{c}` {kinds[c]}, " for c in own) + "chunk_index int, start_pos int, end_pos int, content string"
+    return rows.select(*own, text).where(F.length(text) > 0).mapInArrow(run, shape)
+
+
+def merge_pieces(found: list[tuple[str, int, int]], least: int) -> list[tuple[str, int, int]]:
+    """Chunks (content, start, end) with each short one joined by a newline to what follows; a short last one stays."""
+    out: list[tuple[str, int, int]] = []
+    for c, a, b in found:
+        if out and len(out[-1][0]) < least:
+            before = out.pop()
+            c, a = before[0] + "\n" + c, before[1]
+        out.append((c, a, b))
+    return out
 
 
 def merge_short(chunks: Column, least: int = 20) -> Column:

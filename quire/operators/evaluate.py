@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,3 +34,35 @@ def average_score(metrics: DataFrame) -> DataFrame:
     names = metrics.columns
     stacked = metrics.select(F.explode(F.array(*(F.col(c).cast("double") for c in names))).alias("v"))
     return stacked.agg(F.coalesce(F.avg("v"), F.lit(0.0)).alias("average_score"))
+
+
+def judged(samples: DataFrame, key: str, metrics: list[str], load_judge) -> DataFrame:
+    """(key, one column a metric, error) of samples(key, question, contexts, answer, ground_truth): scores by a judge.
+
+    load_judge() is called once a task and gives a callable from (metric, sample) to a score of 0 to 1, or None where it
+    can't tell. No score is made up: what the judge fails on is null, with its words in `error`.
+    """
+    fields = ["question", "contexts", "answer", "ground_truth"]
+    kind = dict(samples.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = load_judge()
+        for batch in batches:
+            out: list[list] = [[] for _ in (*metrics, "error")]
+            for row in batch.to_pylist():
+                errors = []
+                for col, m in zip(out, metrics):
+                    try:
+                        col.append(judge(m, {f: row[f] for f in fields}))
+                    except Exception as e:  # the row says what failed
+                        col.append(None)
+                        errors.append(f"{m}: {e}")
+                out[-1].append("; ".join(errors) or None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.float64()) for c in out[:-1]), pa.array(out[-1], pa.string())], names=[key, *metrics, "error"])
+
+    return samples.select(key, *fields).mapInArrow(run, f"`{key}` {kind}, " + "".join(f"`{m}` double, " for m in metrics) + "error string")
+
+
+def judged_metrics(scores: DataFrame, metrics: list[str]) -> DataFrame:
+    """One row: the mean of each metric over the samples that have it."""
+    return scores.agg(*(F.avg(m).alias(m) for m in metrics))

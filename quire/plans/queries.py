@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from quire.functions import rules, text
 from quire.operators import chunk, dedup, encode, evaluate, search, tables
-from quire.plans import sql
+from quire.plans import office, sql
 from quire.session import spread, table
-from quire.sources import parse
+from quire.sources import parse, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -76,6 +76,36 @@ def page_group(s: SparkSession, d: str) -> DataFrame:
     return pages.groupBy("file_path").agg(F.count("*").alias("pages"), F.min("page_num").alias("first_page"), F.max("page_num").alias("last_page"), F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("chars"))
 
 
+def _loaded(s: SparkSession, d: str) -> DataFrame:
+    """Suppliers as one file of each format, read by the parsers."""
+    rows = table(s, d, "supplier").select("s_suppkey", F.col("s_name").alias("title"), F.array(F.concat(F.lit("key "), F.col("s_suppkey").cast("string")), F.concat(F.lit("nation "), F.col("s_nationkey").cast("string"))).alias("lines"), F.explode(F.array(*map(F.lit, office.WRITERS))).alias("kind"))
+    files = rows.select(F.concat_ws(".", F.col("s_suppkey").cast("string"), "kind").alias("path"), office.written(F.col("kind"), F.col("title"), F.col("lines")).alias("content"))
+    return parse.load(files)
+
+
+@query
+def load_files(s: SparkSession, d: str) -> DataFrame:
+    """Text, author, title and counts of files of every format, and the error of those that need a recogniser."""
+    m = F.col("metadata")
+    return _loaded(s, d).select("path", "loader", "content", "error", m["title"].alias("title"), m["author"].alias("author"), F.coalesce(m["slide_count"], m["sheet_count"], m["row_count"]).alias("parts"), m["encoding"].alias("encoding"))
+
+
+@query
+def load_slides(s: SparkSession, d: str) -> DataFrame:
+    """The slides of the presentations."""
+    return parse.page_rows(_loaded(s, d))
+
+
+@query
+def page_elements(s: SparkSession, d: str) -> DataFrame:
+    """Pages put together from their lines, of which only the first one of a page bears its number."""
+    pages = table(s, d, "loaded_pages").where("content is not null").groupBy("file_path", "page_num").agg(F.min_by("content", F.struct("page_id", "content")).alias("content"))
+    lines = pages.select("file_path", "page_num", F.posexplode(F.split("content", "\n")).alias("line", "text")).where(F.length(F.trim("text")) > 0)
+    first = lines.groupBy("file_path", "page_num").agg(F.min("line").alias("first"))
+    marked = lines.join(first, ["file_path", "page_num"]).select("file_path", (F.col("page_num") * 100_000 + F.col("line")).alias("element_no"), F.when(F.col("line") == F.col("first"), F.col("page_num")).alias("page_num"), "text")
+    return parse.pages_of_elements(marked).select("file_path", "page_num", F.md5(F.col("content").cast("binary")).alias("content_hash"))
+
+
 @query
 def file_metadata(s: SparkSession, d: str) -> DataFrame:
     """Name, extension and size of every file record, 0 where the size isn't known."""
@@ -113,6 +143,20 @@ def clean_drop_empty(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "chunks").where(F.length(text.clean_structure(F.col("content"))) > 0).select("chunk_id")
 
 
+@query
+def clean_report(s: SparkSession, d: str) -> DataFrame:
+    """Texts cleaned again with their reports; rows without a text are errors."""
+    r = table(s, d, "cleaning_results").select("result_id", text.clean_with_report(F.col("original_text"), F.col("filename")).alias("r"))
+    q = F.col("r.quality_report")
+    return r.select("result_id", "r.filename", "r.success", "r.error", F.md5(F.col("r.cleaned_text").cast("binary")).alias("cleaned_hash"), q["cleaned_length"].alias("cleaned_length"), q["passed"].alias("passed"))
+
+
+@query
+def out_cleaned(s: SparkSession, d: str) -> DataFrame:
+    """What is written of each cleaned text: the head with its lengths, and the text."""
+    return sinks.cleaned_text(table(s, d, "cleaning_results")).select(F.md5(F.col("value").cast("binary")).alias("value_hash"), F.length("value").alias("length"))
+
+
 def _rule(s: SparkSession, d: str, *names: str) -> DataFrame:
     return table(s, d, "loaded_pages").select("page_id", rules.apply_rules(F.col("content"), only=set(names) or None).alias("content"))
 
@@ -199,6 +243,13 @@ def chunk_recursive(s: SparkSession, d: str) -> DataFrame:
     return chunk.recursive_chunks(spread(table(s, d, "documents")), "doc_id", "text")
 
 
+@query
+def chunk_metadata(s: SparkSession, d: str) -> DataFrame:
+    """Recursive chunks with the metadata of their documents: by language and source, documents and whether any has no chunk but should."""
+    chunks = chunk.recursive_chunks(spread(table(s, d, "documents")), "doc_id", "text", keep=("lang", "source", "title"))
+    return chunks.where("chunk_index = 0").select("doc_id", "lang", "source", "title")
+
+
 @query
 def chunk_filter_short(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "chunks").where(F.length("content") >= 20).select("chunk_id", "chunk_index")
@@ -220,6 +271,18 @@ def content_hash(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "chunks").select("chunk_id", F.md5(c).alias("md5"), F.sha2(c, 256).alias("sha256"), F.coalesce(F.md5(c) == F.lower("content_hash"), F.lit(False)).alias("as_stored"))
 
 
+@query
+def out_dedup_report(s: SparkSession, d: str) -> DataFrame:
+    """The report of an exact deduplication of the documents."""
+    removed = dedup.deduplicate(_docs(s, d), "text", "doc_id", dedup.Strategy(use_simhash=False))[1]
+    return sinks.dedup_report(removed, _docs(s, d), CUTOFF)
+
+
+@query
+def out_embedding_meta(s: SparkSession, d: str) -> DataFrame:
+    return sinks.embedding_meta(table(s, d, "embeddings"), "embedding")
+
+
 @query
 def chunk_ids(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "chunks").select("chunk_id", F.concat("source_file", F.lit("#"), F.col("chunk_index").cast("string")).alias("rebuilt_id"))

@@ -137,6 +137,39 @@ def _near_first(rows: str, key: str, text: str) -> str:
 _LINES = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 SQL: dict[str, str] = {
+    "load_files": """
+        with k as (select unnest(['docx', 'pptx', 'xlsx', 'csv', 'html', 'txt', 'pdf']) as kind),
+        f as (select s_suppkey || '.' || kind as path, kind, s_name as t, 'key ' || s_suppkey as a, 'nation ' || s_nationkey as b from supplier, k)
+        select path, case kind when 'docx' then 'word' when 'pptx' then 'ppt' when 'xlsx' then 'excel' when 'txt' then 'text' else kind end as loader,
+            case kind when 'docx' then a || chr(10) || chr(10) || b when 'pptx' then a || chr(10) || chr(10) || b
+                when 'xlsx' then '=== Sheet: head ===' || chr(10) || t || chr(10) || '=== Sheet: body ===' || chr(10) || a || chr(10) || b
+                when 'csv' then t || ' | ' || a || chr(10) || t || ' | ' || b when 'html' then t || chr(10) || a || chr(10) || b
+                when 'txt' then t || chr(10) || a || chr(10) || b else '' end as content,
+            case kind when 'pdf' then 'ValueError: pdf needs a recogniser, which isn''t installed' end as error,
+            case when kind in ('docx', 'pptx', 'html') then t end as title, case when kind in ('docx', 'pptx') then t end as author,
+            case when kind in ('pptx', 'xlsx', 'csv') then '2' end as parts, case when kind in ('csv', 'html', 'txt') then 'utf-8' end as encoding from f
+    """,
+    "load_slides": "select s_suppkey || '.pptx' as path, 1 as page_num, 'key ' || s_suppkey as content from supplier union all select s_suppkey || '.pptx', 2, 'nation ' || s_nationkey from supplier",
+    "page_elements": r"""
+        select file_path, page_num, md5(array_to_string(list_filter(string_split(content, chr(10)), lambda x: trim(x) <> ''), chr(10))) as content_hash
+        from (select file_path, page_num, arg_min(content, struct_pack(a := page_id, b := content)) as content from loaded_pages where content is not null group by 1, 2)
+        where len(list_filter(string_split(content, chr(10)), lambda x: trim(x) <> '')) > 0
+    """,
+    "clean_report": f"""
+        select result_id, coalesce(filename, '') as filename, original_text is not null as success, case when original_text is null then 'no text' end as error, md5(c) as cleaned_hash,
+            case when original_text is not null then length(c) end as cleaned_length,
+            case when original_text is not null then length(c) >= 10 and (length(original_text) = 0 or length(c) / length(original_text) >= 0.1) and (length(c) = 0 or (length(c) - length(replace(c, '�', ''))) / length(c) <= 0.1) end as passed
+        from (select result_id, filename, original_text, {_clean('original_text')} as c from cleaning_results)
+    """,
+    "out_cleaned": """
+        select md5(v) as value_hash, cast(length(v) as int) as length from (select '原始文件: ' || coalesce(filename, '') || chr(10) || '原始长度: ' || length(coalesce(original_text, '')) || ' 字符' || chr(10) || '清洗后长度: ' || length(coalesce(cleaned_text, '')) || ' 字符' || chr(10) || repeat('=', 80) || chr(10) || chr(10) || coalesce(cleaned_text, '') as v from cleaning_results)
+    """,
+    "chunk_metadata": f"select doc_id, lang, source, title from documents where length({_strip('text')}) >= 20",
+    "out_dedup_report": f"""
+        select '{CUTOFF}' as timestamp, count(*) as original_count, count(distinct text) as kept_count, count(*) - count(distinct text) as removed_count,
+            case when count(*) > count(distinct text) then '{{"hash":' || (count(*) - count(distinct text)) || '}}' else '{{}}' end as by_step, round((count(*) - count(distinct text)) / count(*), 4) as dedup_rate from documents
+    """,
+    "out_embedding_meta": "select count(embedding) as count, case when min(len(embedding)) = max(len(embedding)) then max(len(embedding)) end as dim, 'float' as dtype from embeddings where embedding is not null",
     "task_record": f"select * from {_RECORDED}",
     "task_reset": f"select file_path, case when status = 'error' then 'pending' else status end as status, cast(case when status <> 'error' then error end as varchar) as error, cast(case when status = 'error' then 0 else retry_count end as int) as retry_count from {_RECORDED}",
     "task_statistics": f"""

@@ -44,3 +44,37 @@ def loaded_text(rows: DataFrame) -> DataFrame:
 def chunk_report(chunks: DataFrame) -> DataFrame:
     """(source_file, chunk_count) of each file; the chunks themselves are written beside it, partitioned, not nested."""
     return chunks.groupBy("source_file").agg(F.count("*").alias("chunk_count"))
+
+
+def cleaned_text(rows: DataFrame) -> DataFrame:
+    """One `value` a result of rows(filename, original_text, cleaned_text): a head with the lengths, a rule of 80 signs, an empty line, and the text."""
+    size = lambda c: F.length(F.coalesce(F.col(c), F.lit(""))).cast("string")
+    head = F.concat_ws("\n", F.concat(F.lit("原始文件: "), F.coalesce("filename", F.lit(""))), F.concat(F.lit("原始长度: "), size("original_text"), F.lit(" 字符")), F.concat(F.lit("清洗后长度: "), size("cleaned_text"), F.lit(" 字符")), F.lit("=" * 80))
+    return rows.select(F.concat(head, F.lit("\n\n"), F.coalesce("cleaned_text", F.lit(""))).alias("value"))
+
+
+def chunk_lines(chunks: DataFrame) -> DataFrame:
+    """One JSON object as `value` for each chunk, to be written beside chunk_report, partitioned by source_file."""
+    return chunks.select("source_file", F.to_json(F.struct(*(c for c in chunks.columns))).alias("value"))
+
+
+def dedup_report(removed: DataFrame, original: DataFrame, now: str) -> DataFrame:
+    """One row: timestamp, rows before and after, removed ones in all and as JSON by step, and the share removed."""
+    steps = original.select(F.lit(None).cast("string").alias("step")).unionByName(removed.select("step")).groupBy("step").agg(F.count("*").alias("n"))
+    n = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    entries = F.filter(F.array_sort(F.collect_list(F.struct("step", "n"))), lambda x: x["step"].isNotNull())
+    one = steps.agg(n(F.col("step").isNull()).alias("original_count"), n(F.col("step").isNotNull()).alias("removed_count"), F.to_json(F.map_from_entries(entries)).alias("by_step"))
+    return one.select(F.lit(now).alias("timestamp"), "original_count", (F.col("original_count") - F.col("removed_count")).alias("kept_count"), "removed_count", "by_step", F.coalesce(F.round(F.col("removed_count") / F.nullif("original_count", F.lit(0)), 4), F.lit(0.0)).alias("dedup_rate"))
+
+
+def embedding_meta(vectors: DataFrame, vector: str) -> DataFrame:
+    """One row: number of vectors that aren't null, their length if all have one, and their type."""
+    kind = dict(vectors.dtypes)[vector].removeprefix("array<").rstrip(">")
+    size = F.size(vector)
+    return vectors.where(F.col(vector).isNotNull()).agg(F.count("*").alias("count"), F.when(F.min(size) == F.max(size), F.max(size)).alias("dim"), F.lit(kind).alias("dtype"))
+
+
+def failed_report(rows: DataFrame, path: str) -> str:
+    """Write the failed rows of a stage; this report is saved whatever the mode."""
+    rows.write.mode("overwrite").json(path)
+    return path
