@@ -25,7 +25,8 @@ def balance(docs: DataFrame, targets: dict[str, float], rounds: int = 50, tol: f
 
     Among all rates that meet the token shares, these have the least token-weighted entropy relative to
     one copy of each document. Newton steps on the dual log sum_i t_i exp(lambda . (e_s(i) - p)); each
-    step is one aggregate over the documents, whose result has one row per target source.
+    step is one aggregate over docs(source, n_tokens). As all documents of a source have the same tilt, their
+    totals by source give the same steps, so that is what mix() passes.
     """
     names = sorted(targets)
     p = np.array([targets[s] for s in names])
@@ -72,12 +73,13 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None) ->
     tokens by about half of its shortest document.
     """
     want = {r["source"]: r for r in targets.where("target_share > 0").collect()}
-    have = {r["source"]: r["t"] for r in docs.groupBy("source").agg(F.sum("n_tokens").alias("t")).where("source is not null").where(F.col("source").isin(list(want) or [""])).collect() if r["t"]}
+    totals = cut(docs.where(F.col("source").isin(list(want) or [""]) & (F.col("n_tokens") > 0)).groupBy("source").agg(F.sum("n_tokens").alias("n_tokens")))
+    have = {r["source"]: r["n_tokens"] for r in totals.collect()}
     share = sum(want[s]["target_share"] for s in have)
     p = {s: want[s]["target_share"] / share for s in have}
     rates: dict[str, float] = {}
     if have:
-        lam = balance(docs.where(F.col("source").isin(list(have)) & (F.col("n_tokens") > 0)), p)
+        lam = balance(totals, p)
         tilt = {s: float(np.exp(v)) for s, v in lam.items()}
         scale = min(want[s]["max_repeats"] / tilt[s] for s in have)
         if total_tokens is not None:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quire.session import cut
 
 OPEN_WINDOWS = 64
-ITEMS_PER_TASK = 200_000
+ITEMS_PER_TASK = 50_000
 MERGE = 64
 PLACED = "container_kind string, window bigint, item bigint, part_no int, n_tokens bigint, open boolean"
 
