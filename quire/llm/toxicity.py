@@ -16,6 +16,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from operator import itemgetter
 
 import ahocorasick
 import pyarrow as pa
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.canonical import canonical
+from quire.session import cut
 
 FUNCTION_WORDS = {"en": (" the ", " of ", " and ", " you ", " in "), "fr": (" les ", " des ", " la ", " le ", " tu "), "de": (" die ", " der ", " und ", " den ", " du ")}
 LANGUAGES = ("en", "fr", "de", "zh")
@@ -229,21 +231,27 @@ def extent(t: str) -> tuple[str, int]:
 
 
 GAP = re.compile(r"[^a-zß-ÿœ一-鿿 ][^a-zß-ÿœ一-鿿]*| [^a-zß-ÿœ一-鿿]+")
-BEFORE_HAN = re.compile(" +(?=[一-鿿])")
-AFTER_HAN = re.compile("(?<=[一-鿿])(?=[a-zß-ÿœ])")
+HAN_SPACE = re.compile("(?<=[一-鿿\\t\\n]) +(?=[一-鿿\\t\\n])|^ +(?=[一-鿿])")
+SCRIPTS_MEET = re.compile("(?<=[一-鿿]) ?(?=[a-zß-ÿœ])|(?<=[a-zß-ÿœ])(?=[一-鿿])")
 
 
 @lru_cache(maxsize=100_000)
 def gap(run: str) -> str:
     """What stands between two words for a run of other characters: the end of a sentence, a comma, or nothing but space."""
-    return "\n " if END.search(run) else " " if all(x in SKIPPED for x in run.split()) else "\t "
+    return " \n " if END.search(run) else " " if all(x in SKIPPED for x in run.split()) else " \t "
 
 
 def joined(text: str) -> str:
-    """A plain text with a space before each word, nothing before a Han character, tabs for commas and line ends for ends
-    of sentences: the tokens of sentences() are its parts that begin and end with words."""
-    t = " " + GAP.sub(lambda m: gap(m[0]), text)
-    return t if t.isascii() else AFTER_HAN.sub(" ", BEFORE_HAN.sub("", t))
+    """A plain text with one space on both sides of each word, none between Han characters, tabs for commas and line ends for
+    ends of sentences: the tokens of sentences() are its parts that begin and end so."""
+    t = " " + GAP.sub(lambda m: gap(m[0]), text) + " "
+    return t if t.isascii() else HAN_SPACE.sub("", SCRIPTS_MEET.sub(" ", t))
+
+
+def pattern(token: str) -> str:
+    """How a token stands in a joined text."""
+    p = SCRIPTS_MEET.sub(" ", token)
+    return (p if HAN_RUN.match(p) else " " + p) + ("" if HAN_RUN.match(p[-1]) else " ")
 
 
 def words_of(sentence: str) -> list[str]:
@@ -266,12 +274,9 @@ class Matcher:
         if self._machine is None:
             self._machine = ahocorasick.Automaton()
             for t in self.wanted:
-                self._machine.add_word(t if HAN_RUN.match(t) else " " + t, t)
+                self._machine.add_word(pattern(t), t)
             self._machine.make_automaton()
-        if self.wanted:
-            for end, token in self._machine.iter(text):
-                if end + 1 == len(text) or HAN_RUN.match(token[-1]) or not UNIT.match(text[end + 1]) or HAN_RUN.match(text[end + 1]):
-                    yield end, token
+        return self._machine.iter(text) if self.wanted else iter(())
 
     def sentences(self, text: str) -> Iterator[list[str]]:
         """The words of each sentence of a plain text that has one of the tokens."""
@@ -359,7 +364,8 @@ def count_tokens(docs: DataFrame, wanted: frozenset[str]) -> tuple[dict[str, Cou
                 lang, n = extent(t)
                 seen[lang, ""] += n
                 seen[lang, "\0"] += 1
-                seen.update((lang, x) for _, x in calls.hits(joined(t)))
+                for x, k in Counter(map(itemgetter(1), calls.hits(joined(t)))).items():
+                    seen[lang, x] += k
         keys = list(seen)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([seen[k] for k in keys], pa.int64())], names=["lang", "token", "n"])
 
@@ -372,12 +378,15 @@ def count_tokens(docs: DataFrame, wanted: frozenset[str]) -> tuple[dict[str, Cou
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Scorer:
-    """Scorer from the labelled documents and the counts over all documents."""
-    rows = labelled_sample(docs, labels).collect()
-    some = [r for r in rows if any(r[k] for k in KINDS)]
-    labelled = [cut_up(r["text"]) for r in some]
-    y = [{k: bool(r[k]) for k in KINDS} for r in some]
-    wanted, harmless = wanted_tokens(labelled, [r["text"] for r in rows if not any(r[k] for k in KINDS)])
+    """Scorer from the labelled documents and the counts over all documents.
+
+    Of the labelled sample only the documents labelled as of some kind come to the driver; the others are counted where they are.
+    """
+    sample = cut(labelled_sample(docs, labels).withColumn("some", F.greatest(*KINDS)))
+    rows = sample.where("some").drop("some").collect()
+    labelled = [cut_up(r["text"]) for r in rows]
+    y = [{k: bool(r[k]) for k in KINDS} for r in rows]
+    wanted, harmless = wanted_tokens(labelled, sample.where("not some"))
     counts, positions, texts = count_tokens(docs, wanted)
     scorer = fit(labelled, y, wanted, harmless, counts, positions)
     scorer.usual = sum(positions.values()) / max(1, texts)
@@ -385,18 +394,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
     return scorer
 
 
-def wanted_tokens(labelled: list[Cut], harmless: list[str]) -> tuple[frozenset[str], Counter]:
-    """(tokens, their counts in harmless documents). The tokens that can get a weight: the seeds, and those of documents labelled as of some kind, but for the
-    ones that stand in harmless documents so much more often that their weight stays below the least."""
+def wanted_tokens(labelled: list[Cut], harmless: DataFrame) -> tuple[frozenset[str], Counter]:
+    """(tokens, their counts in harmless(text)). The tokens that can get a weight: the seeds, and those that SUPPORT different documents labelled as
+    of some kind have, but for the ones that stand in harmless documents so much more often that their weight stays below the least."""
     seeds = {t for k in KINDS for t in seed_tokens(k)}
     inside = Counter(t for _, sents in labelled for here in sents for ts in here for t in ts)
-    texts = {tuple(tuple(ts) for here in sents for ts in here) for _, sents in labelled}
-    support = Counter(t for text in texts for t in {t for ts in text for t in ts})
+    texts = {hash(tuple(t for here in sents for ts in here for t in ts)): {t for here in sents for ts in here for t in ts} for _, sents in labelled}
+    support = Counter(t for text in texts.values() for t in text)
     inside = Counter({t: x for t, x in inside.items() if support[t] >= SUPPORT})
-    outside: Counter = Counter()
-    calls = Matcher(inside.keys() | seeds)
-    for text in harmless:
-        outside.update(t for _, t in calls.hits(joined(plain(text))))
+    outside: Counter = sum(count_tokens(harmless, frozenset(inside.keys() | seeds))[0].values(), Counter())
     wanted = frozenset(seeds | {t for t, x in inside.items() if outside[t] + 0.5 <= 1.83 * (x + 0.5)})
     return wanted, Counter({t: outside[t] for t in wanted})
 
