@@ -197,10 +197,11 @@ class Scorer:
         if not text:
             return out
         t = plain(text)
-        sents = [tokens(words) for words in (self.calls.sentences(t) if self.calls else sentences(t))]
+        _, n, han = extent(t)
+        sents = [tokens(words) for words in (self.calls.sentences(t, han) if self.calls else sentences(t))]
         if not sents:
             return out
-        n = extent(t)[1] + self.usual
+        n += self.usual
         for kind in MODELS:
             least = math.log(max(1.0, self.k * n))
             lam = self.lam[kind]
@@ -218,20 +219,21 @@ def cut_up(text: str) -> Cut:
     return extent(t)[0], [tokens(words) for words in sentences(t)]
 
 
-def extent(t: str) -> tuple[str, int]:
-    """(language group, positions) of a plain text: by script and function words, and words plus Han characters.
+def extent(t: str) -> tuple[str, int, bool]:
+    """(language group, positions, whether it has Han characters) of a plain text: by script and function words, and words plus Han characters.
 
     Rates of tokens are compared within a language group.
     """
     han = sum(map(len, HAN_RUN.findall(t))) if not t.isascii() else 0
     n = han + t.count(" ") + 1
     if han > 0.3 * n:
-        return "zh", n
-    return max(FUNCTION_WORDS, key=lambda k: sum(t.count(w) for w in FUNCTION_WORDS[k])), n
+        return "zh", n, True
+    return max(FUNCTION_WORDS, key=lambda k: sum(t.count(w) for w in FUNCTION_WORDS[k])), n, han > 0
 
 
 GAP = re.compile(r"[^a-zß-ÿœ一-鿿 ][^a-zß-ÿœ一-鿿]*| [^a-zß-ÿœ一-鿿]+")
-HAN_SPACE = re.compile("(?<=[一-鿿\\t\\n]) +(?=[一-鿿\\t\\n])|^ +(?=[一-鿿])")
+LATIN = re.compile("[a-zß-ÿœ]+")
+HAN_SPACE = re.compile(" (?:(?<=[一-鿿\\t\\n] )|(?<=^ ))(?=[一-鿿\\t\\n])")
 SCRIPTS_MEET = re.compile("(?<=[一-鿿]) ?(?=[a-zß-ÿœ])|(?<=[a-zß-ÿœ])(?=[一-鿿])")
 
 
@@ -241,11 +243,13 @@ def gap(run: str) -> str:
     return " \n " if END.search(run) else " " if all(x in SKIPPED for x in run.split()) else " \t "
 
 
-def joined(text: str) -> str:
+def joined(text: str, han: bool = True) -> str:
     """A plain text with one space on both sides of each word, none between Han characters, tabs for commas and line ends for
-    ends of sentences: the tokens of sentences() are its parts that begin and end so."""
+    ends of sentences: the tokens of sentences() are its parts that begin and end so. han=False: it has no Han character."""
     t = " " + GAP.sub(lambda m: gap(m[0]), text) + " "
-    return t if t.isascii() else HAN_SPACE.sub("", SCRIPTS_MEET.sub(" ", t))
+    if not han or t.isascii():
+        return t
+    return HAN_SPACE.sub("", LATIN.sub(r" \g<0> ", t).replace("   ", " ").replace("  ", " "))
 
 
 def pattern(token: str) -> str:
@@ -278,9 +282,9 @@ class Matcher:
             self._machine.make_automaton()
         return self._machine.iter(text) if self.wanted else iter(())
 
-    def sentences(self, text: str) -> Iterator[list[str]]:
+    def sentences(self, text: str, han: bool = True) -> Iterator[list[str]]:
         """The words of each sentence of a plain text that has one of the tokens."""
-        t = joined(text)
+        t = joined(text, han)
         at = -1
         for end, _ in self.hits(t):
             if end > at:
@@ -361,10 +365,10 @@ def count_tokens(docs: DataFrame, wanted: frozenset[str]) -> tuple[dict[str, Cou
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 t = plain(text)
-                lang, n = extent(t)
+                lang, n, han = extent(t)
                 seen[lang, ""] += n
                 seen[lang, "\0"] += 1
-                for x, k in Counter(map(itemgetter(1), calls.hits(joined(t)))).items():
+                for x, k in Counter(map(itemgetter(1), calls.hits(joined(t, han)))).items():
                     seen[lang, x] += k
         keys = list(seen)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([seen[k] for k in keys], pa.int64())], names=["lang", "token", "n"])
