@@ -56,7 +56,8 @@ class HistoryIndex:
         return run
 
     def _finish(self, runs: Iterable[tuple[str, str, int]]) -> None:
-        self.spark.createDataFrame(list(runs), "name string, run string, parts int").coalesce(1).write.mode("append").parquet(f"{self.path}/runs")
+        lines = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(r).alias("run"), F.lit(p).alias("parts")) for n, r, p in runs)))
+        self.spark.range(0, 1, 1, 1).select(lines.alias("x")).select("x.*").write.mode("append").parquet(f"{self.path}/runs")
 
     def _probe(self, name: str, schema: str, by: str, asked: DataFrame) -> DataFrame:
         """The rows of the parts that the values asked(value) fall in; their numbers are all that reaches the driver."""
