@@ -18,6 +18,8 @@ def test_build_update_resume_and_retrieve(spark, tmp_path):
     hit = corpus.retrieve(spark.createDataFrame([(1, "glossary yrassolg number of the glossary")], "query_id bigint, query string"), 1).first()
     assert hit["source_file"].endswith("b.txt") and hit["rank"] == 1
     assert corpus.build(str(src)) == first
+    added = {r["run"]: r["count"] for r in corpus._read("chunk_log", "run int").groupBy("run").count().collect()}
+    assert set(added) == {1}  # the second run wrote no chunk again
 
     (src / "a.txt").write_text(paragraph("lantern"))
     (src / "b.txt").unlink()
@@ -27,4 +29,6 @@ def test_build_update_resume_and_retrieve(spark, tmp_path):
     corpus.build(str(src))
     contents = [r["content"] for r in corpus.table("chunks").collect()]
     assert any("lantern" in c for c in contents) and not any("glossary" in c or "harbour" in c for c in contents)
+    assert corpus._read("chunk_log", "source_file string, run int").where("run = 3").select("source_file").distinct().count() == 1
+    assert corpus.table("vectors").count() == corpus.table("chunks").count()
     assert corpus.table("vectors").join(corpus.table("chunks"), ["chunk_id", "content_hash"], "left_anti").count() == 0
