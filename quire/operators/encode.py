@@ -19,7 +19,8 @@ K1, B = 1.5, 0.75
 def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf, dl): one row per distinct term of a document; dl counts all its tokens."""
     bags = docs.select(key, tokens(F.col(text)).alias("t")).withColumn("dl", F.size("t"))
-    return bags.select(key, "dl", F.explode("t").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    # explode_outer, as for explode a filter on the whole token expression is put on the scan, which cuts each text twice more
+    return bags.select(key, "dl", F.explode_outer("t").alias("term")).where("term is not null").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def bm25_stats(docs: DataFrame, text: str) -> DataFrame:
@@ -66,7 +67,7 @@ def tfidf_fit(docs: DataFrame, key: str, text: str, max_features: int = 50_000,
     """(counts(key, term, tf), vocabulary(term, idf)). The vocabulary has the max_features terms of most sightings among those that
     min_df documents and at most a share of max_df of them have, ties by term; idf is ln((1 + N) / (1 + df)) + 1."""
     n = docs.count()
-    counts = cut(docs.select(key, F.explode(word_ngrams(F.col(text), longest)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")))
+    counts = cut(docs.select(key, F.explode_outer(word_ngrams(F.col(text), longest)).alias("term")).where("term is not null").groupBy(key, "term").agg(F.count("*").alias("tf")))
     terms = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
     top = terms.orderBy(F.desc("all"), "term").limit(max_features)
     return counts, top.select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
