@@ -116,9 +116,9 @@ def value(number: str) -> int | None:
 
 
 def counts_on(line: str, other: str, pages: int | None) -> bool:
-    """Whether two lines are of one style of page numbers; `pages` apart, or by an unknown number of pages."""
+    """Whether two lines are of one style of page numbers, slightly misread or not; `pages` apart, or by an unknown number of pages."""
     x, y = style(line), style(other)
-    if x != y or not numbered(x):
+    if not numbered(x) or x != y and not (len(x) > 4 and nearly(x, y)):
         return False
     for a, b in zip(NUMBER.findall(line), NUMBER.findall(other)):
         v, w = value(a), value(b)

@@ -121,6 +121,7 @@ def test_page_numbers_of_any_style_count_on():
     body = ["The glossary of the estuary and the pump of the station was drained"] * 8
     edges = {k: ocr.edge_lines([*body, f"Blatt <{40 + k}>"]) for k in (-1, 1, 2)}
     assert ocr.layout([*body, "Blatt <40>"], {}, edges)[-1] == "page_number"
+    assert ocr.layout([*body, "B1att <40>"], {}, edges)[-1] == "page_number"
     assert ocr.layout([*body, "Blatt <57>"], {}, edges)[-1] == "body"
     assert ocr.layout([*body, "was drained at", "80", "Blatt <40>"], {}, edges)[-2] == "body"
 
