@@ -9,16 +9,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def retrieval_detail(retrieved: DataFrame, relevant: DataFrame, queries: DataFrame) -> DataFrame:
+def retrieval_detail(retrieved: DataFrame, relevant: DataFrame, queries: DataFrame, n_relevant: DataFrame | None = None) -> DataFrame:
     """(query_id, n_retrieved, n_relevant, hits, precision, recall) for each query; sets, so repeats count once.
 
-    Nothing retrieved gives a precision of 0, nothing relevant a recall of 0.
+    Nothing retrieved gives a precision of 0, nothing relevant a recall of 0. Where the relevant items of a query are too many to be
+    listed, n_relevant(query_id, n_relevant) gives their number, and `relevant` needs only those among the retrieved.
     """
     got = retrieved.select("query_id", "item").distinct()
     want = relevant.select("query_id", "item").distinct()
     hits = got.join(want, ["query_id", "item"], "left_semi").groupBy("query_id").agg(F.count("*").alias("hits"))
     n_got = got.groupBy("query_id").agg(F.count("*").alias("n_retrieved"))
-    n_want = want.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
+    n_want = n_relevant if n_relevant is not None else want.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
     all_ = queries.select("query_id").distinct().join(n_got, "query_id", "left").join(n_want, "query_id", "left").join(hits, "query_id", "left").fillna(0)
     share = lambda n: F.when(F.col(n) > 0, F.col("hits") / F.col(n)).otherwise(F.lit(0.0))
     return all_.select("query_id", "n_retrieved", "n_relevant", "hits", share("n_retrieved").alias("precision"), share("n_relevant").alias("recall"))

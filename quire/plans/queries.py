@@ -627,8 +627,10 @@ def meta_flatten(s: SparkSession, d: str) -> DataFrame:
 def _detail(s: SparkSession, d: str) -> DataFrame:
     asked = _asked(s, d).select(F.col("vec_id").alias("query_id"), "label")
     hits = search.top_k(_asked(s, d), table(s, d, "embeddings"), "vec_id", "embedding", 6).where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("item"))
-    relevant = asked.join(table(s, d, "embeddings").select(F.col("vec_id").alias("item"), "label"), "label").where("item <> query_id")
-    return evaluate.retrieval_detail(hits, relevant, asked)
+    items = table(s, d, "embeddings").select(F.col("vec_id").alias("item"), "label")
+    relevant = hits.join(asked, "query_id").join(items, ["item", "label"], "left_semi")
+    others = asked.join(items.groupBy("label").agg((F.countDistinct("item") - 1).alias("n_relevant")), "label").select("query_id", "n_relevant")
+    return evaluate.retrieval_detail(hits, relevant, asked, others)
 
 
 @query
