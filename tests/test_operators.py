@@ -178,3 +178,15 @@ def test_strategies(spark):
     kept, removed = dedup.deduplicate(rows, "t", "id", dedup.Strategy(use_embedding=True, duplicates="merge"), "v")
     assert {tuple(r) for r in removed.collect()} == {(2, "hash"), (3, "simhash"), (4, "embedding")}
     assert {r["id"]: r["t"] for r in kept.collect()} == {1: text + "\n" + text + "!", 5: None}
+
+
+@pytest.mark.parametrize(("threshold", "blocks"), [(3, None), (3, 6), (2, 5), (0, 1), (6, 8)])
+def test_near_fingerprints_are_brute_force(spark, threshold, blocks):
+    rnd = random.Random(7)
+    base = [rnd.getrandbits(64) for _ in range(20)]
+    prints = base + [b ^ sum(1 << i for i in rnd.sample(range(64), rnd.randrange(1, 8))) for b in base for _ in range(6)] + base[:2]
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    rows = spark.createDataFrame([(p,) for p in signed] + [(None,)], "fp bigint")
+    got = {tuple(r) for r in dedup.near_fingerprints(rows, threshold, blocks).collect()}
+    distinct = sorted(set(signed))
+    assert got == {(a, b) for i, a in enumerate(distinct) for b in distinct[i + 1 :] if bin((a ^ b) & (2**64 - 1)).count("1") <= threshold}
