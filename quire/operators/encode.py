@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import tokens
+from quire.functions.text import token_bag, tokens
 from quire.session import cut
 
 K1, B = 1.5, 0.75
@@ -36,18 +37,48 @@ def bm25_fit(docs: DataFrame, key: str, text: str, max_features: int = 50_000) -
     return counts, bm25_vocabulary(counts, n, max_features), avgdl
 
 
+class Bm25(NamedTuple):
+    """vocabulary(term, term_index, df, idf), number of documents, and their mean number of tokens."""
+
+    vocabulary: DataFrame
+    n_docs: int
+    avgdl: float
+
+
+def bm25_terms(docs: DataFrame, key: str, text: str, max_features: int = 50_000) -> Bm25:
+    """The vocabulary and means of bm25_fit where no counts are kept: terms are summed up where the texts are, so what is
+    shuffled and written grows with the terms, not with the documents. Rows that share a key count as one document in df."""
+    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    terms = lambda rows: rows.select(key, token_bag(F.col(text)).alias("t")).select(key, F.coalesce(F.array_size("t"), F.lit(0)).alias("dl"), F.posexplode_outer(F.array_distinct("t")).alias("pos", "term"))
+    seen = cut(terms(docs).groupBy("term").agg(F.count("term").alias("df"), F.sum(first.cast("bigint")).alias("rows"), F.sum(F.when(first, F.col("dl").cast("bigint"))).alias("tokens")))
+    n, tokens_ = seen.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    df = seen.select("term", "df").where("term is not null")
+    copied = docs.groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_n")).where("_n > 1").select("_k")
+    if not copied.isEmpty():
+        again = terms(docs.join(copied, F.col(key).eqNullSafe(F.col("_k")), "left_semi")).where("term is not null").groupBy(key, "term").agg((F.count("*") - 1).alias("more"))
+        df = df.join(again.groupBy("term").agg(F.sum("more").alias("more")), "term", "left").select("term", (F.col("df") - F.coalesce("more", F.lit(0))).alias("df"))
+    return Bm25(_most_used(df, n, max_features), n, tokens_ / max(1, n))
+
+
 def bm25_vocabulary(counts: DataFrame, n_docs: int, max_features: int = 50_000) -> DataFrame:
     """(term, term_index, df, idf) of the max_features terms of most documents, ties by term."""
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    return _most_used(counts.groupBy("term").agg(F.count("*").alias("df")), n_docs, max_features)
+
+
+def _most_used(df: DataFrame, n_docs: int, max_features: int) -> DataFrame:
     top = df.orderBy(F.desc("df"), "term").limit(max_features)
     rank = F.row_number().over(Window.orderBy(F.desc("df"), "term")) - 1  # of at most max_features rows
     return top.select("term", rank.alias("term_index"), "df", F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
 
 
+def bm25_weight(idf, tf, dl, avgdl: float, k1: float = K1, b: float = B):
+    """Of columns or of arrays."""
+    return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+
+
 def bm25_vectors(counts: DataFrame, vocabulary: DataFrame, avgdl: float, k1: float = K1, b: float = B) -> DataFrame:
     """(key..., term, term_index, weight) with weight above 0; the vocabulary has a bounded size, so it is broadcast."""
-    tf = F.col("tf")
-    weight = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / avgdl))
+    weight = bm25_weight(F.col("idf"), F.col("tf"), F.col("dl"), avgdl, k1, b)
     return counts.join(F.broadcast(vocabulary), "term").withColumn("weight", weight).where("weight > 0").drop("tf", "dl", "df", "idf")
 
 

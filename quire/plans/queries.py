@@ -577,10 +577,14 @@ def _title_terms(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").where("doc_id % 20 = 0 and title is not null").select(F.col("doc_id").alias("query_id"), F.explode(text.tokens(F.col("title"))).alias("term"))
 
 
+def _term_search(s: SparkSession, d: str, k: int) -> DataFrame:
+    return search.bm25_search(_title_terms(s, d), _docs(s, d), "doc_id", "text", encode.bm25_terms(spread(_docs(s, d)), "doc_id", "text"), k)
+
+
 @query
 def bm25_search(s: SparkSession, d: str) -> DataFrame:
     """The 5 best documents for the title of every document whose id is divisible by 20."""
-    return search.term_search(_title_terms(s, d), _bm25(s, d)[1], "doc_id")
+    return _term_search(s, d, 5)
 
 
 @query

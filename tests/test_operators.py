@@ -1,10 +1,15 @@
+import math
 import random
+import re
 import zipfile
+from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import chunk, dedup, encode, evaluate, search, tables
+from quire.plans.queries import QUERIES
 from quire.sources import files, parse, sinks
 from quire.streaming import incremental
 
@@ -190,3 +195,64 @@ def test_near_fingerprints_are_brute_force(spark, threshold, blocks):
     got = {tuple(r) for r in dedup.near_fingerprints(rows, threshold, blocks).collect()}
     distinct = sorted(set(signed))
     assert got == {(a, b) for i, a in enumerate(distinct) for b in distinct[i + 1 :] if bin((a ^ b) & (2**64 - 1)).count("1") <= threshold}
+
+
+def test_bm25_search_is_brute_force(spark):
+    rnd = random.Random(5)
+    words = ["ab", "cd", "ef", "gh", "12", "345", "土", "质"] + [f"w{'xyz'[i % 3]}{'abcdefgh'[i // 3]}" for i in range(24)]
+    texts = [(i, " ".join(rnd.choice(words[: 8 + i % 24]) for _ in range(rnd.randrange(1, 30)))) for i in range(300)]
+    texts += [(i + 300, t) for i, t in texts[:40]]  # copies tie
+    texts += [(7, texts[7][1]), (None, "ab 土"), (None, "ab 土"), (900, None), (901, ""), (902, "AB,cd12")]
+    asked = [(q, t) for q in range(25) for t in rnd.choices([*words, "absent"], k=6)] + [(3, None)]
+    docs, terms = spark.createDataFrame(texts, "id bigint, t string"), spark.createDataFrame(asked, "query_id bigint, term string")
+    got = {(r["query_id"], r["rank"]): (r["id"], r["score"]) for r in search.bm25_search(terms, docs, "id", "t", encode.bm25_terms(docs, "id", "t", 30), 7, block=9).collect()}
+
+    bags: dict = {}
+    for i, t in texts:
+        ts = re.findall("[a-z]+|[一-鿿]|[0-9]+", (t or "").lower())
+        bags.setdefault(i, []).append(ts)
+    df = Counter(x for rows in bags.values() for x in {x for ts in rows for x in ts})
+    top = dict(sorted(df.items(), key=lambda x: (-x[1], x[0]))[:30])
+    n, avgdl = len(texts), sum(len(ts) for rows in bags.values() for ts in rows) / len(texts)
+    want = {}
+    for q in range(25):
+        scores = {}
+        for i, rows in bags.items():
+            for x in {t for p, t in asked if p == q and t in top}:
+                if tf := sum(ts.count(x) for ts in rows):
+                    idf = math.log((n - top[x] + 0.5) / (top[x] + 0.5) + 1)
+                    scores[i] = scores.get(i, 0) + idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(next(ts for ts in rows if x in ts)) / avgdl))
+        for rank, (i, s) in enumerate(sorted(scores.items(), key=lambda x: (-round(x[1], 6), x[0] is None, x[0]))[:7], 1):
+            want[q, rank] = (i, pytest.approx(s, abs=1e-6))
+    assert got == want
+    assert search.bm25_search(terms.limit(0), docs, "id", "t", encode.bm25_terms(docs, "id", "t")).count() == 0
+    assert search.bm25_search(terms, docs.limit(0), "id", "t", encode.bm25_terms(docs.limit(0), "id", "t")).count() == 0
+
+
+def test_bm25_terms_is_bm25_fit(spark):
+    docs = spark.createDataFrame([(1, "a b a 土"), (1, "a c"), (2, "B, c 12"), (2, None), (None, "c"), (None, "c d")], "id bigint, t string")
+    _, vocabulary, avgdl = encode.bm25_fit(docs, "id", "t", 5)
+    fit = encode.bm25_terms(docs, "id", "t", 5)
+    assert sorted(fit.vocabulary.collect()) == sorted(vocabulary.collect())
+    assert (fit.n_docs, fit.avgdl) == (6, avgdl)
+
+
+def written(spark, folder) -> int:
+    """Bytes of all shuffles so far and of the checkpoints below the folder."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size())) + sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
+
+
+@pytest.mark.parametrize("name", ["bm25_search"])
+def test_search_writes_less_than_the_texts(spark, tmp_path, name):
+    rnd = random.Random(2)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(500)]
+    docs = [(i, " ".join(rnd.choice(words) for _ in range(250)), " ".join(rnd.choice(words[:60]) for _ in range(6))) for i in range(800)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, title string").write.parquet(f"{tmp_path}/documents.parquet")
+    vectors = [(i, [rnd.gauss(0, 1) for _ in range(4)], i % 3) for i in range(60)]
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    shared = Path(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    before = written(spark, shared)
+    QUERIES[name](spark, str(tmp_path)).collect()
+    assert written(spark, shared) - before < sum(len(t) for _, t, _ in docs)
