@@ -591,7 +591,7 @@ def bm25_search(s: SparkSession, d: str) -> DataFrame:
 def hybrid_search(s: SparkSession, d: str) -> DataFrame:
     """The 5 best of both searches for the documents whose id is divisible by 20: by their embeddings, and by their titles."""
     dense = _top(s, d, "cosine", 10).withColumnRenamed("vec_id", "doc_id")
-    sparse = search.term_search(_title_terms(s, d), _bm25(s, d)[1], "doc_id", 10)
+    sparse = _term_search(s, d, 10)
     return search.hybrid_search(dense, sparse, "doc_id").select("query_id", "doc_id", F.round("score", 5).alias("score"))
 
 
