@@ -117,16 +117,6 @@ def retrieve(hits: DataFrame, k: int, threshold: float | None, rerank: Column |
     return kept.drop("rank").withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def term_search(query_terms: DataFrame, weights: DataFrame, key: str, k: int = 5) -> DataFrame:
-    """(query_id, key, score, rank): the k documents of greatest sum of weights over the query's distinct terms.
-
-    query_terms(query_id, term) joins weights(key, term, weight) on the term; sums are built map-side first.
-    """
-    score = query_terms.distinct().join(weights, "term").groupBy("query_id", key).agg(F.round(F.sum("weight"), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
-    return score.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
 def bm25_search(query_terms: DataFrame, docs: DataFrame, key: str, text: str, fit: Bm25, k: int = 5, block: int = 200_000) -> DataFrame:
     """(query_id, key, score, rank): the k documents of greatest sum of BM25 weights over the query's distinct terms.
 

@@ -597,8 +597,9 @@ def hybrid_search(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def retrieve_preview(s: SparkSession, d: str) -> DataFrame:
-    hits = search.term_search(_title_terms(s, d), _bm25(s, d)[1], "doc_id", 1)
-    return hits.join(_docs(s, d), "doc_id").select("query_id", "doc_id", F.round("score", 4).alias("score"), search.preview(F.col("text")).alias("preview"))
+    # cut before the join, which then doesn't move whole texts
+    previews = _docs(s, d).select("doc_id", search.preview(F.col("text")).alias("preview"))
+    return _term_search(s, d, 1).join(previews, "doc_id").select("query_id", "doc_id", F.round("score", 4).alias("score"), "preview")
 
 
 @query

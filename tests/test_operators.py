@@ -244,7 +244,7 @@ def written(spark, folder) -> int:
     return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size())) + sum(p.stat().st_size for p in folder.rglob("*") if p.is_file())
 
 
-@pytest.mark.parametrize("name", ["bm25_search", "hybrid_search"])
+@pytest.mark.parametrize("name", ["bm25_search", "hybrid_search", "retrieve_preview"])
 def test_search_writes_less_than_the_texts(spark, tmp_path, name):
     rnd = random.Random(2)
     words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(500)]
