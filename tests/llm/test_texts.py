@@ -142,6 +142,66 @@ def test_suspended_compounds_are_not_cut():
     assert ocr.cut_word("the harv=", "est", lang) and not ocr.cut_word("the pump=", "est", lang)
 
 
+def test_each_line_is_not_looked_at_anew(monkeypatch):
+    """Lines of Han text have no words to take apart, and lines of text no style of a page number."""
+    looked = Counter()
+    for name in ("word_parts", "style"):
+        of = getattr(ocr, name)
+        monkeypatch.setattr(ocr, name, lambda x, of=of, name=name: looked.update([name]) or of(x))
+    lang = language()
+    for i in range(200):
+        ocr.decode_words(chr(0x5000 + i) + "站的泵在雨季之前已经排空，并由委员会复核" + chr(0x6000 + i), lang)
+        ocr.layout(["the reliable committee of the station was drained"] * 5 + [f"the pump {i} of the station was sealed before noon"], {}, {})
+    assert looked["word_parts"] == 0 and looked["style"] == 0
+
+
+@given(st.text(st.sampled_from("aBlO|iIvx19 -页第站的泵在雨季二十零〇é\u00a0#.\t"), max_size=24))
+def test_lines_that_may_be_page_numbers(line):
+    assert ocr.numbering(line) == ocr.numbered(ocr.style(line))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abB1 .,;泵站，一\n\r\t\u00a0é-😀"), max_size=20), max_size=6))
+def test_counts_of_texts(texts):
+    want = Counter()
+    for t in texts:
+        for line in t.split("\n"):
+            line = re.sub("[0-9A-Za-z]", "0", line.strip())
+            want.update(("h", a + b) for a, b in zip(line, line[1:]) if ocr.HAN.search(line))
+        found = ocr.WORD.findall(re.sub("[1-9]", "0", t.lower()))
+        want.update([*(("w", x) for x in found), *(("p", a + " " + b) for a, b in zip(found, found[1:]))])
+    seen, got = ocr.Tally(), Counter()
+    for n, t in enumerate(texts):
+        seen.add(t)
+        if n % 3 == 1:
+            seen.count()
+        if n % 4 == 3:
+            got.update({(r["kind"], r["key"]): r["n"] for b in [*_counted(seen)] for r in b.to_pylist()})
+    got.update({(r["kind"], r["key"]): r["n"] for b in [*_counted(seen)] for r in b.to_pylist()})
+    assert got == want
+
+
+def _counted(seen):
+    seen.count()
+    return seen.flush()
+
+
+@given(st.lists(st.text(st.sampled_from("泵站的，。 a1\n"), max_size=12), max_size=4))
+def test_han_that_may_be_misread(texts):
+    """As by the definition: a character between rare pairs, of which another would make frequent ones."""
+    lang = ocr.Language({}, {}, {"泵站": 5000, "站的": 4000, "的泵": 90, "泵的": 200, "站，": 3000, "，泵": 2500, "a的": 9, "0站": 2000}, 0)
+    eye, count = ocr.Observer(lang), lambda x: lang.han.get(x, 0)
+    for t in texts:
+        want = []
+        for line in t.split("\n"):
+            s = re.sub("[0-9A-Za-z]", "0", line.strip())
+            for a, c, b in zip(s, s[1:], s[2:]):
+                if ocr.HAN.search(s) and count(a + c) < eye.rare and count(c + b) < eye.rare and c != "0":
+                    fit = [x for x in "泵站的，。" if count(a + x) >= 20 * max(1, count(a + c)) and count(x + b) >= 20 * max(1, count(c + b))]
+                    want += [(x, c, a + b) for x in fit if x != c]
+        assert sorted(e[1:] for e, _ in eye.of_han(t)) == sorted(want)
+
+
 RECORD = "record_table string, record_id bigint, file_path string, page_num int, text string"
 
 
