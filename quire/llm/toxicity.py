@@ -71,7 +71,7 @@ HAN_GAP = re.compile(r"(?<=[一-鿿])[ *·.\-_、](?=[一-鿿])")
 MASKED = re.compile(r"(?<=[a-zß-ÿ])\*+|(?<=[一-鿿])\*")
 WORD = re.compile(r"[a-zß-ÿœ]+|[一-鿿]+|[.!?。！？；;]+|\n+|[^\sa-zß-ÿœ一-鿿.!?。！？；;]+")
 END = re.compile(r"[.!?。！？；;\n]")
-PIECE = re.compile(r"[a-zß-ÿœ]+|[一-鿿]+|\t")
+PIECE = re.compile(r"[^ \t\n一-鿿]+|[一-鿿]+|\t")
 # Signs that words stand on both sides of as if there were nothing.
 SKIPPED = "、·-_'’"
 MASK = "‹mask›"
@@ -234,19 +234,31 @@ def extent(t: str) -> tuple[str, int, bool]:
 GAP = re.compile(r"[^a-zß-ÿœ一-鿿 ][^a-zß-ÿœ一-鿿]*| [^a-zß-ÿœ一-鿿]+")
 LATIN = re.compile("[a-zß-ÿœ]+")
 HAN_SPACE = re.compile(" (?:(?<=[一-鿿\\t\\n] )|(?<=^ ))(?=[一-鿿\\t\\n])")
-SCRIPTS_MEET = re.compile("(?<=[一-鿿]) ?(?=[a-zß-ÿœ])|(?<=[a-zß-ÿœ])(?=[一-鿿])")
+SCRIPTS_MEET = re.compile("(?<=[一-鿿]) ?(?=[^ 一-鿿])|(?<=[^ 一-鿿])(?=[一-鿿])")
 
 
-@lru_cache(maxsize=100_000)
-def gap(run: str) -> str:
-    """What stands between two words for a run of other characters: the end of a sentence, a comma, or nothing but space."""
-    return " \n " if END.search(run) else " " if all(x in SKIPPED for x in run.split()) else " \t "
+def between(run: str) -> str:
+    """What stands between two words for a run of other characters: ends of sentences, commas, words of other scripts, or nothing but space."""
+    out: list[str] = []
+    for w in WORD.findall(run):
+        if END.match(w):
+            if out[-1:] == ["\t"]:
+                out.pop()
+            out.append("\n")
+        elif w[0].isalpha():
+            out.append(w)
+        elif w not in SKIPPED and out[-1:] not in (["\t"], ["\n"]):
+            out.append("\t")
+    return " ".join(["", *out, ""]) if out else " "
+
+
+gap = lru_cache(maxsize=100_000)(between)
 
 
 def joined(text: str, han: bool = True) -> str:
     """A plain text with one space on both sides of each word, none between Han characters, tabs for commas and line ends for
     ends of sentences: the tokens of sentences() are its parts that begin and end so. han=False: it has no Han character."""
-    t = " " + GAP.sub(lambda m: gap(m[0]), text) + " "
+    t = " " + GAP.sub(lambda m: gap(m[0]) if m.end() - m.start() < 50 else between(m[0]), text) + " "
     if not han or t.isascii():
         return t
     return HAN_SPACE.sub("", LATIN.sub(r" \g<0> ", t).replace("   ", " ").replace("  ", " "))
@@ -264,10 +276,13 @@ def words_of(sentence: str) -> list[str]:
 
 
 class Matcher:
-    """Finds the tokens of a set in joined texts, all of them and no other, in one pass over the characters."""
+    """Finds the tokens of a set in joined texts, all of them and no other, in one pass over the characters.
+
+    What is no token by its form, as '痴 a白' for '痴a白', is left out: it would stand in joined texts like the token.
+    """
 
     def __init__(self, wanted) -> None:
-        self.wanted = sorted(wanted)
+        self.wanted = sorted(t for t in wanted if any(t in ts for words in sentences(t) for ts in tokens(words)))
         self._machine = None
 
     def __getstate__(self):

@@ -337,6 +337,30 @@ def test_the_matcher_meets_the_tokens_of_the_sentences(text, wanted):
     assert scorer.score(text) == whole
 
 
+OTHER = ["글", "글白", "白 글", "a 글", "글 a", "한글", "白글白", "글a白", "идиот", "ты идиот", "글,한"]
+
+
+@pytest.mark.parametrize(("text", "token"), [("글白a", "글"), ("글白a", "글白"), ("白글a", "白 글"), ("ты, идиот!", "идиот"), ("ты · идиот", "ты идиот"), ("a 글.", "a 글"), ("白, 글 白", "글白")])
+def test_words_of_other_scripts_are_met(text, token):
+    assert [t for _, t in toxicity.Matcher({token}).hits(toxicity.joined(text))] == [token]
+    assert brute(text, {token}) == {token: 1}
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.text(st.sampled_from("ab白痴한글идиоты .、·-_'’2\n\u00a0!,‹\t"), max_size=14), st.sets(st.sampled_from([*OTHER, *CALLED]), max_size=6))
+def test_the_matcher_meets_the_tokens_of_all_scripts(text, wanted):
+    t = toxicity.plain(text)
+    matcher = toxicity.Matcher(wanted)
+    assert Counter(x for _, x in matcher.hits(toxicity.joined(t))) == brute(t, wanted)
+    full = [w for w in toxicity.sentences(t) if any(x in wanted for ts in toxicity.tokens(w) for x in ts)]
+    strip = lambda words: "\0".join(words).strip("\0,").split("\0")
+    assert [strip(w) for w in matcher.sentences(t)] == [strip(w) for w in full]
+    scorer = toxicity.Scorer({k: dict.fromkeys(wanted, 5.0) for k in toxicity.MODELS}, dict.fromkeys(toxicity.MODELS, 1.0))
+    whole = scorer.score(text)
+    scorer.calls = matcher
+    assert scorer.score(text) == whole
+
+
 def test_toxic_documents(spark):
     rnd = random.Random(4)
     harmless = ["The pump was drained.", "The valve of the station closed.", "The idiot-proof connector fits.", "A glossary was updated."]
